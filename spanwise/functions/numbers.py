@@ -11,6 +11,12 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("bigint")
 
 
+def round_exact(x: Column | str, digits: int) -> Column:
+    """Round half up in decimal arithmetic, so that a tie does not depend on binary noise."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x.cast("decimal(28,10)"), digits).cast("double")
+
+
 def saturation_pct(active: Column, maximum: Column) -> Column:
     """Whole percent of the maximum; NULL where there is no ceiling to be a percentage of."""
     return F.when(

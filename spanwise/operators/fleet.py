@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.functions.numbers import round_half_up
+from spanwise.functions.numbers import round_exact, round_half_up
 from spanwise.operators.ordered import newest_per_key
 from spanwise.operators.traces import duration, worst_status
 
@@ -153,7 +153,7 @@ def lag_metrics(collections: DataFrame, keep: int = 1000) -> DataFrame:
     return lists.join(counts, "source").select(
         "source",
         "collected",
-        F.round("mean", 2).alias("avg_lag_ms"),
+        round_exact("mean", 2).alias("avg_lag_ms"),
         at(0.5).alias("p50_lag_ms"),
         at(0.95).alias("p95_lag_ms"),
         F.element_at("lags", -1).alias("max_lag_ms"),
@@ -166,7 +166,7 @@ def rti(df: DataFrame) -> DataFrame:
     total = F.col(RTI_DIMENSIONS[0])
     for d in RTI_DIMENSIONS[1:]:
         total = total + F.col(d)
-    return df.withColumns({"rti": F.round(total / len(RTI_DIMENSIONS), 1), "gaps": gaps})
+    return df.withColumns({"rti": round_exact(total / len(RTI_DIMENSIONS), 1), "gaps": gaps})
 
 
 def journey_rti(scored: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
@@ -179,7 +179,7 @@ def journey_rti(scored: DataFrame, weights: Mapping[str, float] | None = None) -
             weight = F.when(test, F.lit(w)) if weight is None else weight.when(test, F.lit(w))
     unknown = F.max(F.col("rti").isNull().cast("int")) == 1
     return scored.groupBy().agg(
-        F.when(~unknown, F.round(F.sum(F.col("rti") * weight), 1)).alias("weighted_rti"),
+        F.when(~unknown, round_exact(F.sum(F.col("rti") * weight), 1)).alias("weighted_rti"),
         F.count(F.lit(1)).alias("journeys"),
     )
 
