@@ -27,7 +27,7 @@ def content_hash(fields: Mapping[str, Column]) -> Column:
 
 def sorted_attributes(attributes: Column) -> Column:
     """Attributes in canonical order; duplicates and ordered value arrays are kept."""
-    return F.array_sort(F.transform(attributes, F.to_json))
+    return F.array_sort(F.transform(attributes, lambda a: F.to_json(a)))
 
 
 def observation_key(df: DataFrame) -> Column:

@@ -11,13 +11,25 @@ _VERSION = r"^v?([0-9]+(?:\.[0-9]+)*)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?
 _FLOOR = r"^(?:[\^~]?\s*|>=\s*)v?([0-9]+(?:\.[0-9]+)*(?:-[0-9A-Za-z.-]+)?)$"
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, instead of repeating its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_version(text: Column) -> Column:
     """Struct (seg, pre, raw) for an exact version, NULL for a range or anything else."""
+
+    def build(p: Column) -> Column:
+        good = p["raw"].rlike(_VERSION) & F.forall(p["seg"], lambda s: s.isNotNull())
+        return F.when(
+            good,
+            F.struct(p["seg"].alias("seg"), F.nullif(p["pre"], F.lit("")).alias("pre"), p["raw"].alias("raw")),
+        )
+
     raw = F.trim(text)
     seg = F.transform(F.split(F.regexp_extract(raw, _VERSION, 1), r"\."), lambda s: s.try_cast("bigint"))
-    pre = F.regexp_extract(raw, _VERSION, 2)
-    good = raw.rlike(_VERSION) & F.forall(seg, lambda s: s.isNotNull())
-    return F.when(good, F.struct(seg.alias("seg"), F.when(pre != "", pre).alias("pre"), raw.alias("raw")))
+    parts = F.struct(seg.alias("seg"), F.regexp_extract(raw, _VERSION, 2).alias("pre"), raw.alias("raw"))
+    return _let(parts, build)
 
 
 def coerce_declared_range(text: Column) -> Column:
@@ -49,17 +61,25 @@ def _padded(v: Column, other: Column) -> Column:
 
 def compare_versions(a: Column, b: Column) -> Column:
     """-1, 0 or 1 over parsed versions; missing segments are 0, a release outranks its prerelease."""
-    x, y = _padded(a, b), _padded(b, a)
-    return (
-        F.when(a.isNull() | b.isNull(), F.lit(None))
-        .when(x < y, -1)
-        .when(x > y, 1)
-        .when(a["pre"].eqNullSafe(b["pre"]), 0)
-        .when(a["pre"].isNull(), 1)
-        .when(b["pre"].isNull(), -1)
-        .when(a["pre"] < b["pre"], -1)
-        .otherwise(1)
-    )
+
+    def order(v: Column) -> Column:
+        pre_a, pre_b = v["a"]["pre"], v["b"]["pre"]
+        return (
+            F.when(v["x"] < v["y"], -1)
+            .when(v["x"] > v["y"], 1)
+            .when(pre_a.eqNullSafe(pre_b), 0)
+            .when(pre_a.isNull(), 1)
+            .when(pre_b.isNull(), -1)
+            .when(pre_a < pre_b, -1)
+            .otherwise(1)
+        )
+
+    def padded(v: Column) -> Column:
+        x, y = _padded(v["a"], v["b"]), _padded(v["b"], v["a"])
+        both = F.struct(v["a"].alias("a"), v["b"].alias("b"), x.alias("x"), y.alias("y"))
+        return F.when(v["a"].isNotNull() & v["b"].isNotNull(), _let(both, order))
+
+    return _let(F.struct(a.alias("a"), b.alias("b")), padded)
 
 
 def _answer(result: str, *reason) -> Column:
@@ -78,9 +98,23 @@ def eval_constraint(op: Column, value: Column, actual: Column, actual_type: Colu
     was observed with ('boolean', 'string', ...); without it, every value counts as text.
     """
     kind = F.lit("string") if actual_type is None else F.coalesce(actual_type, F.lit("nothing"))
-    a, want = parse_version(F.when(kind == "string", actual)), parse_version(value)
-    line = F.coalesce(parse_version(F.concat(value, F.lit(".0"))), want)
-    order = compare_versions(a, want)
+    parsed = F.struct(
+        parse_version(F.when(kind == "string", actual)).alias("a"),
+        parse_version(value).alias("want"),
+        parse_version(F.concat(value, F.lit(".0"))).alias("line"),
+    )
+
+    def compared(p: Column) -> Column:
+        order = compare_versions(p["a"], p["want"])
+        line = F.coalesce(p["line"], p["want"])
+        step = F.struct(p["a"].alias("a"), p["want"].alias("want"), line.alias("line"), order.alias("order"))
+        return _let(step, lambda s: _judge(s, op, value, actual, kind))
+
+    return _let(parsed, compared)
+
+
+def _judge(step: Column, op: Column, value: Column, actual: Column, kind: Column) -> Column:
+    a, want, line, order = step["a"], step["want"], step["line"], step["order"]
     major = value.try_cast("bigint")
 
     def part(v: Column, i: int) -> Column:

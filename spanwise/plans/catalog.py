@@ -1,4 +1,4 @@
 """Every registered query and its oracle."""
 
-from spanwise.plans import catalog_correlation, catalog_requests  # noqa: F401
+from spanwise.plans import catalog_correlation, catalog_drift, catalog_requests  # noqa: F401
 from spanwise.plans.registry import ORACLES, QUERIES  # noqa: F401

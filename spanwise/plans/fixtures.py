@@ -1,7 +1,7 @@
 """Views that give the benchmark tables the shape of request evidence.
 
 The SQL is written once and runs in Spark and in DuckDB. The only translation is
-``epoch_ms(ts)``, which Spark spells ``timestampdiff``.
+``epoch_ms(ts)``, whole milliseconds since 1970.
 """
 
 from __future__ import annotations
@@ -132,6 +132,11 @@ def spark_sql_text(sql: str) -> str:
     return sql.replace("epoch_ms(", "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ")
 
 
+def duck_sql_text(sql: str) -> str:
+    """DuckDB rounds in epoch_ms; whole milliseconds are wanted."""
+    return re.sub(r"epoch_ms\((\w+)\)", r"(epoch_us(\1) // 1000)", sql)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -151,7 +156,7 @@ def duck_with(*names: str, **extra: str) -> str:
     """A WITH clause holding the named views for the DuckDB side."""
     parts = [f"{n} as ({VIEWS[n]})" for n in names]
     parts += [f"{n} as ({sql})" for n, sql in extra.items()]
-    return "with recursive " + ",\n".join(parts) + "\n"
+    return duck_sql_text("with recursive " + ",\n".join(parts) + "\n")
 
 
 def _attribute(key: str, string: Column | None = None, integer: Column | None = None) -> Column:
