@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanwise.functions.binding import let
+
 OPERATORS = ("exact", "majorEquals", "minorMatch", "gte", "gt", "lte", "lt", "boolEquals")
 
 _VERSION = r"^v?([0-9]+(?:\.[0-9]+)*)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
 _FLOOR = r"^(?:[\^~]?\s*|>=\s*)v?([0-9]+(?:\.[0-9]+)*(?:-[0-9A-Za-z.-]+)?)$"
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``, instead of repeating its expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def parse_version(text: Column) -> Column:
     """Struct (seg, pre, raw) for an exact version, NULL for a range or anything else."""
 
@@ -29,7 +26,7 @@ def parse_version(text: Column) -> Column:
     raw = F.trim(text)
     seg = F.transform(F.split(F.regexp_extract(raw, _VERSION, 1), r"\."), lambda s: s.try_cast("bigint"))
     parts = F.struct(seg.alias("seg"), F.regexp_extract(raw, _VERSION, 2).alias("pre"), raw.alias("raw"))
-    return _let(parts, build)
+    return let(parts, build)
 
 
 def coerce_declared_range(text: Column) -> Column:
@@ -77,9 +74,9 @@ def compare_versions(a: Column, b: Column) -> Column:
     def padded(v: Column) -> Column:
         x, y = _padded(v["a"], v["b"]), _padded(v["b"], v["a"])
         both = F.struct(v["a"].alias("a"), v["b"].alias("b"), x.alias("x"), y.alias("y"))
-        return F.when(v["a"].isNotNull() & v["b"].isNotNull(), _let(both, order))
+        return F.when(v["a"].isNotNull() & v["b"].isNotNull(), let(both, order))
 
-    return _let(F.struct(a.alias("a"), b.alias("b")), padded)
+    return let(F.struct(a.alias("a"), b.alias("b")), padded)
 
 
 def _answer(result: str, *reason) -> Column:
@@ -108,9 +105,9 @@ def eval_constraint(op: Column, value: Column, actual: Column, actual_type: Colu
         order = compare_versions(p["a"], p["want"])
         line = F.coalesce(p["line"], p["want"])
         step = F.struct(p["a"].alias("a"), p["want"].alias("want"), line.alias("line"), order.alias("order"))
-        return _let(step, lambda s: _judge(s, op, value, actual, kind))
+        return let(step, lambda s: _judge(s, op, value, actual, kind))
 
-    return _let(parsed, compared)
+    return let(parsed, compared)
 
 
 def _judge(step: Column, op: Column, value: Column, actual: Column, kind: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.attributes import http_status
+from spanwise.functions.binding import let
 from spanwise.functions.timing import span_kind
 from spanwise.operators.observations import with_obs_key
 from spanwise.operators.ordered import split_by_size
@@ -277,32 +278,35 @@ def trace_tree(spans: DataFrame, max_spans: int = MAX_TRACE_SPANS, boundary: boo
         F.array_sort(F.collect_list(F.when(F.col("conflicting"), F.col("span_id")))).alias("conflicts"),
         (F.min(F.coalesce("timing_valid", F.lit(False))) if boundary else F.lit(True)).alias("timed"),
     )
-    ids = F.transform("links", lambda x: x["span_id"])
-    parents = F.transform("links", lambda x: x["parent"])
-    walked = (
-        grouped.withColumns({"ids": ids, "parents": parents})
-        .withColumn(
-            "up", F.transform("parents", lambda p: F.nullif(F.array_position(F.col("ids"), p), F.lit(0)).cast("int"))
-        )
-        .withColumn(
-            # Each round doubles the climb; whoever still has an ancestor afterwards never gets out.
-            "far",
-            F.aggregate(
-                F.sequence(F.lit(1), F.ceil(F.log2(F.size("ids") + 1)).cast("int") + 1),
-                F.col("up"),
-                lambda acc, _: F.transform(acc, lambda i: F.element_at(acc, i)),
-            ),
-        )
-    )
-    roots = F.size(F.filter("parents", lambda p: p.isNull()))
-
     def bad_id(x: Column) -> Column:
         return F.coalesce(~x.rlike("^[a-f0-9]{16}$") | x.rlike("^0+$"), F.lit(True))
 
+    def place(v: Column) -> Column:
+        up = F.transform(
+            v["parents"], lambda p: F.nullif(F.array_position(v["ids"], p), F.lit(0)).cast("int")
+        )
+        return let(F.struct(v["ids"].alias("ids"), v["parents"].alias("parents"), up.alias("up")), judge)
+
+    def judge(w: Column) -> Column:
+        # Each round doubles the climb; whoever still has an ancestor afterwards never gets out.
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(w["ids"]) + 1)).cast("int") + 1)
+        far = F.aggregate(rounds, w["up"], lambda acc, _: F.transform(acc, lambda i: F.element_at(acc, i)))
+        missing = F.exists(
+            F.arrays_zip(w["parents"].alias("parent"), w["up"].alias("up")),
+            lambda x: x["parent"].isNotNull() & (bad_id(x["parent"]) | x["up"].isNull()),
+        )
+        return F.struct(
+            F.size(F.filter(w["parents"], lambda p: p.isNull())).alias("roots"),
+            F.exists(w["ids"], bad_id).alias("bad_ids"),
+            missing.alias("missing"),
+            F.exists(far, lambda i: i.isNotNull()).alias("cyclic"),
+        )
+
+    ids = F.transform("links", lambda x: x["span_id"])
+    parents = F.transform("links", lambda x: x["parent"])
+    walked = grouped.withColumn("walk", let(F.struct(ids.alias("ids"), parents.alias("parents")), place))
+    roots = F.col("walk.roots")
     bad_trace = F.coalesce(~F.col("trace_id").rlike("^[a-f0-9]{32}$") | F.col("trace_id").rlike("^0+$"), F.lit(True))
-    missing = F.exists(
-        F.arrays_zip("parents", "up"), lambda x: x["parents"].isNotNull() & (bad_id(x["parents"]) | x["up"].isNull())
-    )
     repeated = F.size("conflicts") > 0
     if boundary:
         repeated = repeated | (F.col("duplicates_collapsed") > 0)
@@ -313,9 +317,9 @@ def trace_tree(spans: DataFrame, max_spans: int = MAX_TRACE_SPANS, boundary: boo
                 F.when(bad_trace, "Invalid trace ID"),
                 F.when(roots != 1, F.concat(F.lit("Expected one root; observed "), roots.cast("string"))),
                 F.when(repeated, "Conflicting observations share a span ID"),
-                F.when(F.exists("ids", bad_id), "Invalid span ID"),
-                F.when(missing, "Missing or invalid parent"),
-                F.when(F.exists("far", lambda i: i.isNotNull()), "Cycle in parent links"),
+                F.when(F.col("walk.bad_ids"), "Invalid span ID"),
+                F.when(F.col("walk.missing"), "Missing or invalid parent"),
+                F.when(F.col("walk.cyclic"), "Cycle in parent links"),
                 F.when(~F.col("timed"), "Missing or invalid span timestamps"),
             )
         ).alias("reasons"),

@@ -22,6 +22,9 @@ ATTRIBUTE_VALUE = T.StructType(
         T.StructField("intValue", T.StringType()),
         T.StructField("doubleValue", T.DoubleType()),
         T.StructField("boolValue", T.BooleanType()),
+        T.StructField("arrayValue", T.StringType()),
+        T.StructField("kvlistValue", T.StringType()),
+        T.StructField("bytesValue", T.StringType()),
     ]
 )
 ATTRIBUTES = T.ArrayType(
@@ -54,7 +57,8 @@ SPANS = T.StructType(
 )
 
 _OTLP_ATTRIBUTE = (
-    "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>"
+    "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,"
+    "arrayValue:string,kvlistValue:string,bytesValue:string>>>"
 )
 OTLP_TRACES = (
     f"struct<resourceSpans:array<struct<resource:struct<attributes:{_OTLP_ATTRIBUTE}>,"

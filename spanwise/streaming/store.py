@@ -1,0 +1,96 @@
+"""A continuously updated evidence store: spans in, baselines and verdicts out.
+
+Every micro-batch writes below its own batch id, so running it again after a failure replaces what
+it wrote. Nothing is updated in place: a trace that grows gets a newer profile, and late bad
+evidence takes effect because the newest profile is the one that counts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from spanwise.operators import baseline, traces
+from spanwise.operators.observations import merge_observations, with_obs_key
+from spanwise.operators.ordered import newest_per_key
+
+BUCKETS = 256
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)).cast("int")
+
+
+class EvidenceStore:
+    """Tables ``spans``, ``profiles``, ``verdicts``, ``notifications`` and ``late`` below one folder."""
+
+    def __init__(self, spark: SparkSession, root: str, max_samples: int = baseline.MAX_SAMPLES):
+        self.spark, self.root, self.max_samples = spark, root.rstrip("/"), max_samples
+
+    def _path(self, table: str) -> str:
+        return f"{self.root}/{table}"
+
+    def _exists(self, table: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self._path(table))
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.exists(path)
+
+    def read(self, table: str, before: int | None = None) -> DataFrame | None:
+        """All batches of a table, or those before a batch id; NULL-object when there are none."""
+        if not self._exists(table):
+            return None
+        rows = self.spark.read.option("basePath", self._path(table)).parquet(self._path(table))
+        return rows if before is None else rows.filter(F.col("batch_id") < before)
+
+    def _write(self, rows: DataFrame, table: str, batch_id: int, by: str | None = None) -> DataFrame:
+        path = f"{self._path(table)}/batch_id={batch_id}"
+        writer = rows.write.mode("overwrite")
+        if by:
+            writer = writer.partitionBy(by)
+        writer.parquet(path)
+        # What was just written is the cheapest source for the next step, and cuts its lineage.
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        """Take one micro-batch of spans through merge, learning, judgement and notification."""
+        incoming = with_obs_key(batch).withColumn("bucket", _bucket())
+        retained = self.read("spans", before=batch_id)
+        if retained is not None:
+            retained = retained.drop("batch_id")
+            # Only the buckets of this batch are read (dynamic partition pruning on the join).
+            retained = retained.join(incoming.select("bucket").distinct(), "bucket", "left_semi")
+        additions = self._write(
+            merge_observations(retained, incoming, F.col("ingest_seq")), "spans", batch_id, by="bucket"
+        )
+        touched = additions.select("trace_id", "bucket").distinct()
+        current = additions
+        if retained is not None:
+            current = retained.join(touched, ["bucket", "trace_id"], "left_semi").unionByName(additions)
+        profiles = self._write(traces.trace_profile(current), "profiles", batch_id)
+        learned = self.baselines()
+        verdicts = baseline.baseline_verdict(profiles, learned)
+        earlier = self.read("verdicts", before=batch_id)
+        self._write(verdicts, "verdicts", batch_id)
+        added = additions.groupBy("trace_id").agg(F.count(F.lit(1)).alias("ingested"))
+        self._write(added, "notifications", batch_id)
+        if earlier is not None:
+            late = additions.join(earlier.select("trace_id").distinct(), "trace_id", "left_semi")
+            self._write(late.select("trace_id", "span_id", "observed_ms", "ingest_seq"), "late", batch_id)
+
+    def profiles(self) -> DataFrame:
+        """The newest profile of every trace."""
+        return newest_per_key(self.read("profiles"), ["trace_id"], [F.desc("batch_id")], 1).drop("batch_id")
+
+    def baselines(self) -> DataFrame:
+        return baseline.baselines(baseline.healthy_samples(self.profiles(), self.max_samples))
+
+    def verdicts(self) -> DataFrame:
+        """The newest verdict of every trace, with the batch that gave it."""
+        return newest_per_key(self.read("verdicts"), ["trace_id"], [F.desc("batch_id")], 1)
+
+    def start(self, spans: DataFrame, checkpoint: str, available_now: bool = True, every: str = "1 minute") -> StreamingQuery:
+        writer = spans.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
+        return writer.start()
