@@ -15,7 +15,7 @@ from spanwise.operators import baseline, traces
 from spanwise.operators.observations import merge_observations, with_obs_key
 from spanwise.operators.ordered import newest_per_key
 
-BUCKETS = 256
+BUCKETS = 64
 
 
 def _bucket() -> Column:
@@ -46,7 +46,8 @@ class EvidenceStore:
 
     def _write(self, rows: DataFrame, table: str, batch_id: int, by: str | None = None) -> DataFrame:
         path = f"{self._path(table)}/batch_id={batch_id}"
-        writer = rows.write.mode("overwrite")
+        # Rebalancing makes few, even files: small partitions are merged and a hot one is split.
+        writer = rows.hint("rebalance", *([by] if by else [])).write.mode("overwrite")
         if by:
             writer = writer.partitionBy(by)
         writer.parquet(path)
