@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanwise.operators import baseline, fleet, observations, traces
 from spanwise.plans.fixtures import VIEWS, duck_with, spans, view
 from spanwise.plans.registry import query
+from spanwise.session import keep
 
 # --- oracle building blocks -------------------------------------------------------------------
 
@@ -57,7 +58,8 @@ PROFILE_CTES = {k: LEARN_CTES[k] for k in ("ids", "flagged", "profile")}
 
 
 def learned_from(frame):
-    profile = traces.trace_profile(frame)
+    # One row per trace, read by the samples and by the verdicts.
+    profile = keep(traces.trace_profile(frame), "profiles")
     samples = baseline.healthy_samples(profile)
     return profile, samples, baseline.baselines(samples)
 
@@ -419,7 +421,7 @@ def _(spark, sf):
     from numbered n left join w on w.request_key = n.request_key and w.b = coalesce(n.b, 0)""",
 )
 def _(spark, sf):
-    return baseline.baseline_asof(traces.trace_profile(spans(spark, sf)))
+    return baseline.baseline_asof(keep(traces.trace_profile(spans(spark, sf)), "profiles"))
 
 
 # --- fleet ------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanwise.functions import attributes, context, identity, numbers, provenance, text, timing
-from spanwise.plans.fixtures import derive, duck_sql_text, duck_with, spans, view
+from spanwise.plans.fixtures import derive, duck_sql_text, duck_with, spans, spread, view
 from spanwise.plans.registry import query
 from spanwise.sources import changes, envelopes, inventory, manifests, monitoring, otlp, rules
 
@@ -33,7 +33,7 @@ def _re2_redact(column: str) -> str:
 
 @query("redact_text", f"with p as ({PLANTED_TEXT}) select doc_id, {_re2_redact('text')} as text from p")
 def _(spark, sf):
-    return derive(spark, sf, PLANTED_TEXT).select("doc_id", text.redact_text(F.col("text")).alias("text"))
+    return spread(derive(spark, sf, PLANTED_TEXT)).select("doc_id", text.redact_text(F.col("text")).alias("text"))
 
 
 @query(
@@ -47,7 +47,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return text.leak_audit(derive(spark, sf, PLANTED_TEXT), "text", ["doc_id"])
+    return text.leak_audit(spread(derive(spark, sf, PLANTED_TEXT)), "text", ["doc_id"])
 
 
 @query(
@@ -56,7 +56,7 @@ def _(spark, sf):
     union all select doc_id, 'database url', 1, 'post' from p where doc_id % 5 = 4""",
 )
 def _(spark, sf):
-    return text.bundle_audit(derive(spark, sf, PLANTED_TEXT), "text", ["doc_id"])
+    return text.bundle_audit(spread(derive(spark, sf, PLANTED_TEXT)), "text", ["doc_id"])
 
 
 RECORDS = """select event_id, concat('{"user":{"password":"p', cast(event_id as varchar(20)), '","note":"Bearer abc.x"},"card_no":"4111222233334444","items":[',

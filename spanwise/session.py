@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +47,15 @@ def shared_folder(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, name: str) -> str:
     """A folder no other run uses, below the shared one."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def keep(frame: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once and read it back.
+
+    For results that several consumers need (one row per trace, say): each of them would otherwise
+    recompute the whole plan behind it. The table outlives executors and lets the readers prune.
+    """
+    spark = frame.sparkSession
+    path = run_folder(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
