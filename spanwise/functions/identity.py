@@ -18,7 +18,7 @@ def canonical_json(fields: Mapping[str, Column]) -> Column:
 
 def canonical_map(entries: Column) -> Column:
     """JSON of a map with its keys sorted."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(entries))))
 
 
 def content_hash(fields: Mapping[str, Column]) -> Column:
@@ -27,7 +27,7 @@ def content_hash(fields: Mapping[str, Column]) -> Column:
 
 def sorted_attributes(attributes: Column) -> Column:
     """Attributes in canonical order; duplicates and ordered value arrays are kept."""
-    return F.array_sort(F.transform(attributes, lambda a: F.to_json(a)))
+    return F.sort_array(F.transform(attributes, lambda a: F.to_json(a)))
 
 
 def observation_key(df: DataFrame) -> Column:

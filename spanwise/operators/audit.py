@@ -354,7 +354,7 @@ def source_health(
         .when(c("last_outcome").isin("DISCONNECTED", "SOCKET_TIMEOUT"), "DISCONNECTED")
         .otherwise("DEGRADED")
     )
-    disabled = F.array_sort(F.map_keys(F.map_filter("capabilities", lambda _, on: ~on)))
+    disabled = F.sort_array(F.map_keys(F.map_filter("capabilities", lambda _, on: ~on)))
     return registry.join(latest, "source", "left").select(
         "source",
         state.alias("state"),

@@ -279,7 +279,9 @@ def deployment_evidence(spans: DataFrame, builds: DataFrame) -> DataFrame:
     return _bind(rows, builds)
 
 
-def boundary_findings(spans: DataFrame, builds: DataFrame, rules: DataFrame, now_ms: int) -> DataFrame:
+def boundary_findings(
+    spans: DataFrame, builds: DataFrame, rules: DataFrame, now_ms: int, edges: DataFrame | None = None
+) -> DataFrame:
     """Per observed boundary and applicable rule: VIOLATED, SATISFIED or UNKNOWN with what is missing.
 
     ``rules``: rule_id, from_package, from_op, from_value, to_package, op, value, when_key,
@@ -314,7 +316,8 @@ def boundary_findings(spans: DataFrame, builds: DataFrame, rules: DataFrame, now
         c("x.artifact_digest").alias("to_artifact_digest"),
     )
     tree = trace_tree(spans, boundary=True).select("trace_id", c("state").alias("tree"))
-    edges = service_edges(spans).join(client, ["trace_id", "client_span_id"]).join(server, ["trace_id", "server_span_id"])
+    observed = service_edges(spans) if edges is None else edges
+    edges = observed.join(client, ["trace_id", "client_span_id"]).join(server, ["trace_id", "server_span_id"])
     # Inventories meet the few boundary ends, not every span.
     rows = _bind(_bind(edges, builds, "from_"), builds, "to_").join(tree, "trace_id", "left")
     names = rows.withColumn("from_package", F.explode(F.array_distinct(F.transform("from_packages", lambda p: p["name"]))))
@@ -368,7 +371,7 @@ def boundary_findings(spans: DataFrame, builds: DataFrame, rules: DataFrame, now
     )
 
 
-def boundary_compatibility(spans: DataFrame, findings: DataFrame) -> DataFrame:
+def boundary_compatibility(spans: DataFrame, findings: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Every observed boundary with the verdict over its findings."""
     keys = ["trace_id", "client_span_id"]
     summed = findings.groupBy(*keys).agg(
@@ -377,7 +380,7 @@ def boundary_compatibility(spans: DataFrame, findings: DataFrame) -> DataFrame:
         F.min((F.col("status") == "SATISFIED").cast("int")).alias("satisfied"),
     )
     return (
-        service_edges(spans)
+        (service_edges(spans) if edges is None else edges)
         .join(summed, keys, "left")
         .select(
             "trace_id", "from_service", "to_service", "client_span_id", "server_span_id",

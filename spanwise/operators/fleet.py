@@ -46,7 +46,7 @@ def all_incidents(spans: DataFrame) -> DataFrame:
             F.sum(duration()).alias("total_ms"),
             F.min_by(F.struct("service", "duration_ms"), F.when(bad, F.col("ingest_seq"))).alias("first"),
             F.min(F.when(F.col("observed_ms") != 0, F.col("observed_ms"))).alias("observed_ms"),
-            F.array_sort(F.collect_set("service")).alias("services"),
+            F.sort_array(F.collect_set("service")).alias("services"),
         )
         .filter(F.col("severity") != "OK")
         .select(
@@ -84,7 +84,7 @@ def incident_clusters(spans: DataFrame, ids_per_cluster: int = 10) -> DataFrame:
         F.when(F.col("severity") == "ERROR", 0).otherwise(1).alias("s"), (-F.col("total_ms")).alias("t"), "trace_id"
     )
     ids = named.groupBy("service").agg(
-        F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["trace_id"]).alias("trace_ids")
+        F.transform(F.sort_array(F.collect_list(rank)), lambda r: r["trace_id"]).alias("trace_ids")
     )
     return counts.join(ids, "service").orderBy(F.desc("incidents"), "service")
 
@@ -99,7 +99,7 @@ def coverage(spans: DataFrame, inventoried: DataFrame, changes: DataFrame, advis
         .agg(
             F.count(F.lit(1)).alias("services_seen"),
             F.count("known").alias("services_with_inventory"),
-            F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("service")))).alias("services_unknown"),
+            F.sort_array(F.collect_list(F.when(F.col("known").isNull(), F.col("service")))).alias("services_unknown"),
         )
     )
     n_changes = changes.groupBy().agg(F.count(F.lit(1)).alias("changes_known"))
@@ -143,7 +143,7 @@ def lag_metrics(collections: DataFrame, keep: int = 1000) -> DataFrame:
         collections, ["source"], [F.desc("collected_ms"), F.desc("event_id")], keep
     )
     lists = recent.groupBy("source").agg(
-        F.array_sort(F.collect_list("lag_ms")).alias("lags"), F.avg("lag_ms").alias("mean")
+        F.sort_array(F.collect_list("lag_ms")).alias("lags"), F.avg("lag_ms").alias("mean")
     )
 
     def at(share: float) -> Column:

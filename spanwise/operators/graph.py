@@ -66,7 +66,7 @@ def causal_chains(edges: DataFrame) -> DataFrame:
     return edges.groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("direct_edges"),
         F.sum(causal.cast("bigint")).alias("cascade_edges"),
-        F.array_sort(F.collect_set(F.when(causal, F.col("to_id")))).alias("cascade_components"),
+        F.sort_array(F.collect_set(F.when(causal, F.col("to_id")))).alias("cascade_components"),
     )
 
 

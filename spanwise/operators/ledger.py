@@ -32,7 +32,7 @@ def ledger_append(
     indexed = running_total(rows, ["chain"], keys, F.lit(1).cast("bigint"), _order_block(order), "block_index")
     cut = indexed.withColumn("segment", F.floor(c("block_index") / segment))
     parts = cut.groupBy("chain", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("block_index", "payload"))).alias("blocks")
+        F.sort_array(F.collect_list(F.struct("block_index", "payload"))).alias("blocks")
     )
     digest = F.sha2(F.array_join(F.transform("blocks", lambda b: F.sha2(b["payload"], 256)), ""), 256)
     anchors = parts.select("chain", (c("segment") + 1).alias("segment"), digest.alias("anchor"))
@@ -68,7 +68,7 @@ def ledger_verify(ledger: DataFrame, segment: int = SEGMENT) -> DataFrame:
     before = ledger.select("chain", (c("block_index") + 1).alias("block_index"), c("hash").alias("linked_hash"))
     digests = (
         ledger.groupBy("chain", (F.floor(c("block_index") / segment) + 1).alias("segment"))
-        .agg(F.array_sort(F.collect_list(F.struct("block_index", "payload"))).alias("blocks"))
+        .agg(F.sort_array(F.collect_list(F.struct("block_index", "payload"))).alias("blocks"))
         .select(
             "chain",
             (c("segment") * segment).alias("block_index"),

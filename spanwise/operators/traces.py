@@ -9,7 +9,7 @@ from spanwise.functions.attributes import http_status
 from spanwise.functions.binding import let
 from spanwise.functions.timing import span_kind
 from spanwise.operators.observations import with_obs_key
-from spanwise.operators.ordered import split_by_size
+from spanwise.operators.ordered import oversized, split_by_size
 from spanwise.schema import MAX_TRACE_SPANS
 
 SERVER, CLIENT = 2, 3
@@ -37,7 +37,7 @@ def trace_summaries(spans: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("hop_count"),
             F.sum(duration()).alias("total_ms"),
             worst_status().alias("status"),
-            F.array_sort(F.collect_set("service")).alias("services"),
+            F.sort_array(F.collect_set("service")).alias("services"),
             slowest.alias("slowest_hop"),
         )
         .orderBy(F.desc("total_ms"), "trace_id")
@@ -68,7 +68,7 @@ def request_dna(spans: DataFrame, max_spans: int = MAX_TRACE_SPANS) -> DataFrame
         F.sum(duration()).alias("total_ms"),
         F.min_by("code", F.when(F.col("code").isNotNull(), seq)).alias("http_status"),
         F.max((F.col("status") == "ERROR").cast("int")).alias("errored"),
-        F.array_sort(F.collect_set("service")).alias("dependencies"),
+        F.sort_array(F.collect_set("service")).alias("dependencies"),
         F.min_by("deployment_environment", F.when(F.col("deployment_environment").isNotNull(), seq)).alias(
             "deployment_environment"
         ),
@@ -79,11 +79,11 @@ def request_dna(spans: DataFrame, max_spans: int = MAX_TRACE_SPANS) -> DataFrame
         .groupBy("trace_id", "service")
         .agg(F.max_by("service_version", seq).alias("version"))
         .groupBy("trace_id")
-        .agg(F.array_sort(F.collect_list(F.struct("service", "version"))).alias("service_versions"))
+        .agg(F.sort_array(F.collect_list(F.struct("service", "version"))).alias("service_versions"))
     )
     small, _ = split_by_size(rows, ["trace_id"], max_spans)
     paths = small.groupBy("trace_id").agg(
-        F.array_sort(F.collect_list(F.struct("ingest_seq", "service", "duration_ms"))).alias("hops")
+        F.sort_array(F.collect_list(F.struct("ingest_seq", "service", "duration_ms"))).alias("hops")
     )
     return (
         facts.join(versions, "trace_id", "left")
@@ -112,7 +112,7 @@ def request_path_chunks(spans: DataFrame, chunk: int = MAX_TRACE_SPANS) -> DataF
     """The path of every trace in pieces of bounded length, numbered in arrival order."""
     return (
         spans.groupBy("trace_id", F.floor((F.col("ingest_seq") - 1) / chunk).alias("chunk_no"))
-        .agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "service", "duration_ms"))).alias("hops"))
+        .agg(F.sort_array(F.collect_list(F.struct("ingest_seq", "service", "duration_ms"))).alias("hops"))
         .select(
             "trace_id",
             "chunk_no",
@@ -229,35 +229,42 @@ def structure_of(spans: DataFrame) -> DataFrame:
     """The set of hops of each trace; order of arrival means nothing here."""
     return (
         spans.groupBy("trace_id")
-        .agg(F.array_sort(F.collect_set(hop_name())).alias("structure"))
+        .agg(F.sort_array(F.collect_set(hop_name())).alias("structure"))
         .withColumn("signature", F.array_join("structure", "|"))
     )
 
 
 def unique_spans(spans: DataFrame) -> DataFrame:
-    """First observation of each span, with its exact copies counted and conflicts marked."""
-    seq = F.col("ingest_seq")
-    kept = [c for c in spans.columns if c not in ("trace_id", "span_id", "obs_key")]
+    """First observation of each span, with its exact copies counted and conflicts marked.
+
+    Only spans seen more than once are compared by content; the others pass through untouched.
+    """
+    keys = ["trace_id", "span_id"]
+    kept = [c for c in spans.columns if c not in (*keys, "obs_key")]
+    repeated = spans.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(*keys)
+    single = spans.join(repeated, keys, "left_anti").select(
+        *keys, *kept, F.lit(0).cast("bigint").alias("exact_copies"), F.lit(False).alias("conflicting")
+    )
     variants = (
         with_obs_key(spans)
-        .groupBy("trace_id", "span_id", "obs_key")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min_by(F.struct(*kept), seq).alias("first"))
+        .join(repeated, keys, "left_semi")
+        .groupBy(*keys, "obs_key")
+        .agg(F.count(F.lit(1)).alias("copies"), F.min_by(F.struct(*kept), "ingest_seq").alias("first"))
     )
-    return (
-        variants.groupBy("trace_id", "span_id")
+    several = (
+        variants.groupBy(*keys)
         .agg(
-            F.min_by(F.struct("copies", "first", "obs_key"), F.col("first.ingest_seq")).alias("kept"),
+            F.min_by(F.struct("copies", "first"), F.col("first.ingest_seq")).alias("kept"),
             F.count(F.lit(1)).alias("variants"),
         )
         .select(
-            "trace_id",
-            "span_id",
-            F.col("kept.obs_key").alias("obs_key"),
+            *keys,
             *[F.col(f"kept.first.{c}").alias(c) for c in kept],
             (F.col("kept.copies") - 1).alias("exact_copies"),
             (F.col("variants") > 1).alias("conflicting"),
         )
     )
+    return single.unionByName(several)
 
 
 def trace_tree(spans: DataFrame, max_spans: int = MAX_TRACE_SPANS, boundary: bool = False) -> DataFrame:
@@ -266,16 +273,23 @@ def trace_tree(spans: DataFrame, max_spans: int = MAX_TRACE_SPANS, boundary: boo
     Traces beyond ``max_spans`` get the limit as their reason and are never gathered. With
     ``boundary`` the stricter test applies: valid timing everywhere and no repeated span id at all.
     """
-    small, large = split_by_size(spans, ["trace_id"], max_spans)
     columns = ["trace_id", "span_id", "parent_span_id", "ingest_seq", "obs_key"]
     if boundary:
         columns.append("timing_valid")
-    unique = unique_spans(with_obs_key(small).select(*columns))
+    unique = unique_spans(with_obs_key(spans).select(*columns))
+    large = oversized(spans, ["trace_id"], max_spans)
+    # Deduplication copes with any trace; only the gathering below needs the small ones.
+    small = unique.join(large.select("trace_id"), "trace_id", "left_anti")
+    return tree_of(small, large, boundary)
+
+
+def tree_of(unique: DataFrame, large: DataFrame, boundary: bool = False) -> DataFrame:
+    """``trace_tree`` over spans that are unique already, and the traces beyond the limit."""
     link = F.struct("span_id", F.nullif("parent_span_id", F.lit("")).alias("parent"))
     grouped = unique.groupBy("trace_id").agg(
-        F.array_sort(F.collect_list(link)).alias("links"),
+        F.sort_array(F.collect_list(link)).alias("links"),
         F.sum("exact_copies").alias("duplicates_collapsed"),
-        F.array_sort(F.collect_list(F.when(F.col("conflicting"), F.col("span_id")))).alias("conflicts"),
+        F.sort_array(F.collect_list(F.when(F.col("conflicting"), F.col("span_id")))).alias("conflicts"),
         (F.min(F.coalesce("timing_valid", F.lit(False))) if boundary else F.lit(True)).alias("timed"),
     )
     def bad_id(x: Column) -> Column:

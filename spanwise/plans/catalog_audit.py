@@ -10,6 +10,7 @@ from spanwise.plans.catalog_drift import _STATE, BUILDS, _builds
 from spanwise.plans.catalog_requests import EDGES, UNCHECKED
 from spanwise.plans.fixtures import derive, duck_with, spans, view
 from spanwise.plans.registry import query
+from spanwise.session import keep
 
 # --- investigations ---------------------------------------------------------------------------
 
@@ -68,8 +69,9 @@ INVESTIGATION = {
 
 def _investigation(spark, sf):
     frame = _reported(spark, sf)
-    tree = traces.trace_tree(frame)
     unique, large = investigate.base_spans(frame)
+    unique = keep(unique, "unique-spans")
+    tree = keep(traces.tree_of(unique, large), "trees")
     outcomes = investigate.root_outcome(unique, tree)
     gaps = investigate.evidence_gaps(unique, large, tree, outcomes, **_evidence(spark, sf, frame))
     return tree, unique, outcomes, gaps
@@ -90,8 +92,9 @@ def _evidence(spark, sf, frame):
       case when root_ms is null then 'UNKNOWN' else 'OBSERVED' end as timing_provenance from outcomes""",
 )
 def _(spark, sf):
-    frame = _reported(spark, sf)
-    return investigate.root_outcome(investigate.base_spans(frame)[0], traces.trace_tree(frame))
+    unique, large = investigate.base_spans(_reported(spark, sf))
+    unique = keep(unique, "unique-spans")
+    return investigate.root_outcome(unique, traces.tree_of(unique, large))
 
 
 @query("error_signals", duck_with("spans", **INVESTIGATION) + "select * from signals")

@@ -10,6 +10,7 @@ from spanwise.operators import drift, traces
 from spanwise.plans.catalog_requests import EDGES
 from spanwise.plans.fixtures import derive, duck_with, spans
 from spanwise.plans.registry import query
+from spanwise.session import keep
 
 VERSION_PAIRS = """select p_partkey,
   concat(case when p_partkey % 11 = 0 then 'v' else '' end, cast(p_size % 4 as varchar(10)), '.', cast(p_partkey % 3 as varchar(10)),
@@ -279,6 +280,13 @@ _BOUNDARY_CTES = {
 }
 
 
+def _boundaries(spark, sf):
+    frame = _timed(spark, sf)
+    edges = keep(traces.service_edges(frame), "edges")
+    found = drift.boundary_findings(frame, _builds(spark, sf), _boundary_rules(spark), _NOW, edges)
+    return frame, drift.boundary_compatibility(frame, found, edges)
+
+
 @query(
     "deployment_evidence",
     duck_with("spans", builds=BUILDS)
@@ -298,9 +306,7 @@ def _(spark, sf):
 
 @query("boundary_compatibility", duck_with("spans", **_BOUNDARY_CTES) + "select * from boundaries")
 def _(spark, sf):
-    frame = _timed(spark, sf)
-    found = drift.boundary_findings(frame, _builds(spark, sf), _boundary_rules(spark), _NOW)
-    return drift.boundary_compatibility(frame, found)
+    return _boundaries(spark, sf)[1]
 
 
 @query(
@@ -311,9 +317,7 @@ def _(spark, sf):
     from intact t left join boundaries b using (trace_id) group by t.trace_id, t.intact""",
 )
 def _(spark, sf):
-    frame = _timed(spark, sf)
-    found = drift.boundary_findings(frame, _builds(spark, sf), _boundary_rules(spark), _NOW)
-    return drift.trace_compatibility(frame, drift.boundary_compatibility(frame, found))
+    return drift.trace_compatibility(*_boundaries(spark, sf))
 
 
 EXPECTED = """select concat('svc-', cast(n_nationkey % 5 as varchar(10))) as from_service, concat('svc-', cast(n_regionkey as varchar(10))) as to_service,

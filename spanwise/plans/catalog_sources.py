@@ -280,7 +280,7 @@ def _payloads(spark, sf):
         "ingest_seq", F.struct(resource.alias("attributes")).alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans")
     )
     grouped = view(spark, sf, "spans").groupBy("trace_id", F.floor(c("ingest_seq") / 100).alias("part")).agg(
-        F.array_sort(F.collect_list(entry)).alias("resourceSpans")
+        F.sort_array(F.collect_list(entry)).alias("resourceSpans")
     )
     return grouped.select(
         F.concat_ws("-", "trace_id", c("part").cast("string")).alias("payload_id"), c("part").alias("payload_seq"),

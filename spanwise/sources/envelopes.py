@@ -133,7 +133,7 @@ def request_dna_wide(flat: DataFrame, floor: float = 1.5) -> DataFrame:
         *[F.first(F.when(c("component_type") == tier, c("section")), ignorenulls=True).alias(name) for name, tier in DNA_SECTIONS.items()],
         F.sum("ms").alias("total_ms"),
         F.transform(
-            F.array_sort(F.collect_list(F.struct("at", c("component_type").alias("node"), c("ms").alias("duration_ms")))),
+            F.sort_array(F.collect_list(F.struct("at", c("component_type").alias("node"), c("ms").alias("duration_ms")))),
             lambda h: F.struct(h["node"].alias("node"), h["duration_ms"].alias("duration_ms")),
         ).alias("hop_deltas"),
         F.max_by("deviation", "rank").alias("first_deviation"),
