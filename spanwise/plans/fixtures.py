@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.session import keep
+from spanwise.session import keep, path_exists
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -164,7 +164,8 @@ _stored: dict[tuple[str, str, str], DataFrame] = {}
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """One written table per session, input and name."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _stored:
+    # Scratch folders may be cleared; a table that is gone is written again.
+    if key not in _stored or not path_exists(spark, _stored[key].inputFiles()[0]):
         _stored[key] = keep(build(), name)
     return _stored[key]
 

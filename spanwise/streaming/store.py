@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spanwise.operators import baseline, traces
 from spanwise.operators.observations import merge_observations, with_obs_key
 from spanwise.operators.ordered import newest_per_key
+from spanwise.session import path_exists
 
 BUCKETS = 64
 
@@ -31,15 +32,9 @@ class EvidenceStore:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _exists(self, table: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._path(table))
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(path)
-
     def read(self, table: str, before: int | None = None) -> DataFrame | None:
-        """All batches of a table, or those before a batch id; NULL-object when there are none."""
-        if not self._exists(table):
+        """All batches of a table, or those before a batch id; None when there are none."""
+        if not path_exists(self.spark, self._path(table)):
             return None
         rows = self.spark.read.option("basePath", self._path(table)).parquet(self._path(table))
         return rows if before is None else rows.filter(F.col("batch_id") < before)
