@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,13 +32,19 @@ def build_session(app_name: str = "spanwise", master: str | None = None, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a local one where none is configured (tests)."""
+    """The cluster's checkpoint folder.
+
+    Where none is set, a local master gets a fresh local folder; on a cluster that is an error, because
+    every executor would write to its own disk and the readers would see a part of the data.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context_dir.isDefined():
             configured = context_dir.get()
     if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", configured)
         spark.sparkContext.setCheckpointDir(configured)
