@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from spanwise.llm.common import held_out, text_bytes
 from spanwise.llm.textstats import COUNTS, count, with_counts
 
-FEATURES = ("length", "word_length", "upper", "symbols", "marks", "same_next", "distinct", "repeats", "dup_lines", "digits", "line_length")
+FEATURES = ("word_length", "upper", "symbols", "marks", "same_next", "distinct", "repeats", "dup_lines", "digits")
+#: Words (lines for the share of lines) of ordinary text that every share is mixed with, so that a text
+#: of a few words, whose shares say little, stays near ordinary.
+PRIOR_WORDS, PRIOR_LINES = 30, 10
 CUT = 0.3
 
 
@@ -36,26 +39,20 @@ class Model:
 
 
 def transform(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """One row of FEATURES per text: log ratios, so that junk of any strength stays within a few units."""
+    """One row of FEATURES per text: logs of smoothed shares, so that junk of any strength stays within a few units."""
     c = {k: np.asarray(v, float) for k, v in counts.items()}
-    words = c["n_words"]
-    letters = c["n_upper"] + c["n_lower"]
-
-    def share(part: np.ndarray, whole: np.ndarray, floor: float) -> np.ndarray:
-        return np.log(part / np.maximum(whole, 1) + floor)
-
+    words, chars = c["n_words"] + PRIOR_WORDS, c["word_chars"] + 5 * PRIOR_WORDS
+    letters = c["n_upper"] + c["n_lower"] + 5 * PRIOR_WORDS
     return np.column_stack([
-        np.log1p(words),
-        np.log1p(c["word_chars"] / np.maximum(words, 1)),
-        share(c["n_upper"], letters, 0.02),
-        share(c["n_symbols"], c["word_chars"], 0.01),
-        share(c["n_marks"], c["word_chars"], 0.02),
-        share(c["n_same_next"], words, 0.02),
-        np.log1p(c["n_distinct"]) - np.log1p(words),
-        share(c["n_repeat_words"], words, 0.02),
-        share(c["n_dup_lines"], c["n_lines"], 0.05),
-        share(c["n_digits"], c["word_chars"], 0.02),
-        np.log1p(words) - np.log(c["n_lines"]),
+        np.log(chars / words),
+        np.log(c["n_upper"] / letters + 0.02),
+        np.log(c["n_symbols"] / chars + 0.01),
+        np.log(c["n_marks"] / chars + 0.02),
+        np.log(c["n_same_next"] / words + 0.02),
+        np.log((c["n_distinct"] + PRIOR_WORDS) / words),
+        np.log(c["n_repeat_words"] / words + 0.02),
+        np.log(c["n_dup_lines"] / (c["n_lines"] + PRIOR_LINES) + 0.05),
+        np.log(c["n_digits"] / chars + 0.02),
     ])
 
 
