@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import quality_qda
+from spanwise.llm import minhash_circulant, quality_qda
 from spanwise.llm.common import small_batches, table
 from spanwise.session import keep
 
@@ -25,3 +25,10 @@ def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     vectors = keep(quality_qda.features(table(spark, sf_dir, "documents")), "op7-features")
     return quality_qda.score(vectors, quality_qda.fit(vectors, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_minhash_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents: doc_id, n_shingles, component_id, kept."""
+    small_batches(spark)
+    return minhash_circulant.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
