@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import minhash_circulant, quality_qda
+from spanwise.llm import bpe_segment_tree, minhash_circulant, quality_qda
 from spanwise.llm.common import small_batches, table
 from spanwise.session import keep
 
@@ -32,3 +33,10 @@ def op6_minhash_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents: doc_id, n_shingles, component_id, kept."""
     small_batches(spark)
     return minhash_circulant.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Ids of every document and back: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    small_batches(spark)
+    return bpe_segment_tree.digests(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
