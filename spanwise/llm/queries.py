@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import bpe_segment_tree, minhash_circulant, quality_qda
+from spanwise.llm import bpe_segment_tree, language_hd, minhash_circulant, quality_qda, quality_sketch
 from spanwise.llm.common import small_batches, table
 from spanwise.session import keep
 
@@ -40,3 +40,18 @@ def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str, vocabulary: str | Non
     """Ids of every document and back: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     small_batches(spark)
     return bpe_segment_tree.digests(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_quality_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive quality rules on every document: base counts, base_failed, kept, broken rules."""
+    small_batches(spark)
+    return quality_sketch.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: doc_id, held_out, lang_pred, score, margin."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return language_hd.predict(docs, *language_hd.prototypes(docs))
