@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import bpe_segment_tree, language_hd, minhash_circulant, quality_qda, quality_sketch
+from spanwise.llm import bpe_segment_tree, language_hd, minhash_circulant, quality_qda, quality_sketch, toxicity_kn
 from spanwise.llm.common import small_batches, table
 from spanwise.session import keep
 
@@ -55,3 +55,11 @@ def op4_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return language_hd.predict(docs, *language_hd.prototypes(docs))
+
+
+@query
+def op8_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: doc_id, held_out, score, evidence, predicted."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_kn.score(docs, toxicity_kn.fit(docs, table(spark, sf_dir, "labels")))
