@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import bpe_segment_tree, language_hd, minhash_circulant, quality_qda, quality_sketch, toxicity_kn
+from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, quality_qda, quality_sketch, token_files, toxicity_kn
 from spanwise.llm.common import small_batches, table
 from spanwise.session import keep
 
@@ -63,3 +63,21 @@ def op8_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return toxicity_kn.score(docs, toxicity_kn.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Token-id files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    small_batches(spark)
+    vocabulary = vocabulary or public_tokenizers.path("word_bpe_49k.json")
+    parts = token_files.finish(token_files.write(table(spark, sf_dir, "documents"), vocabulary))
+    return token_files.checksums(parts, vocabulary)
+
+
+@query
+def op5_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document: doc_id, template, n_shared, n_template, containment."""
+    return license_minhash.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_license_minhash"] = license_minhash.oracle()
