@@ -6,10 +6,12 @@ random permutation scatters the shingles over the universe; a second one, shifte
 so a shingle's K values are one contiguous slice of the table ``pi``. Bands of coordinates propose
 pairs, and a pair counts only after the exact Jaccard similarity of the full sets reaches the bound.
 
-Work never grows with the square of a group: documents with equal sets are one node; inside a band
-bucket every node first proposes to the bucket's smallest node only, and after links have been followed
-only nodes of *different* components that still share a bucket are paired. Both texts of a pair meet at
-a salted leader, so a hot leader is spread over many tasks and one set at a time is in memory.
+Large groups are never expanded into pairs: documents with equal sets are one node; in every round each
+node proposes to one node per band bucket, of the bucket's smallest component, and links are followed. Only
+nodes of *different* components that still share a bucket are then compared, signature with signature, in
+blocks of bounded size; a pair goes on to the exact check when its signatures agree in ESTIMATE of the
+coordinates (a pair of similarity 0.75 misses that with probability below 1e-4). Both sets of a pair meet
+at a salted leader, so a hot leader is spread over many tasks and two sets at a time are in memory.
 
 Defined results: a null text, an empty text and a text of white space have the empty set (n_shingles 0)
 and link with nothing; rows without a doc_id are ignored by linking and come back with their own null
@@ -36,9 +38,10 @@ WORDS, PERCENT = 5, 75
 #: 32 bands of 4 coordinates miss a pair of similarity 0.75 with probability (1 - 0.75 ** 4) ** 32 < 6e-6.
 BANDS, ROWS = 32, 4
 UNIVERSE_BITS = 22
-STAR_ROUNDS = 2
-#: Nodes per salted part of a leader's proposals.
-PART = 2000
+STAR_ROUNDS = 3
+#: Nodes per salted part of a leader's proposals, and per block of a bucket.
+PART, BLOCK = 500, 1024
+ESTIMATE = 0.6
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,39 +92,51 @@ def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, two words that identify the set, and the band keys (null for the empty set)."""
+    """doc_id, n_shingles, two words that identify the set, band keys and signature (null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, total, bounds = shingles(*text_bytes(batch.column("text")))
             n = len(batch)
-            id1, id2, keys = np.zeros(n, np.int64), np.zeros(n, np.int64), []
+            id1, id2, keys, lows = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
             for i in range(n):
                 own = total[bounds[i] : bounds[i + 1]]
                 if not len(own):
                     keys.append(None)
+                    lows.append(None)
                     continue
-                id1[i] = np.add.reduce(mix(own ^ np.uint64(0xA5A5))).view(np.int64)
-                id2[i] = np.add.reduce(mix(own + np.uint64(0x5A5A5A))).view(np.int64)
-                keys.append(band_keys(signature(own, bands * rows), bands, rows))
+                id1[i], id2[i] = _identity(own)
+                low = signature(own, bands * rows)
+                keys.append(band_keys(low, bands, rows))
+                lows.append(low.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(id1), pa.array(id2), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "id1", "id2", "bands"],
+                [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(id1), pa.array(id2), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())],
+                ["doc_id", "n_shingles", "id1", "id2", "bands", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, id1 bigint, id2 bigint, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, id1 bigint, id2 bigint, bands array<bigint>, signature binary")
+
+
+def _identity(own: np.ndarray) -> tuple[int, int]:
+    """Two words that identify a set."""
+    return int(np.add.reduce(mix(own ^ np.uint64(0xA5A5))).view(np.int64)), int(np.add.reduce(mix(own + np.uint64(0x5A5A5A))).view(np.int64))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted distinct shingles of the whole text, as bytes."""
+    """doc_id and the sorted distinct shingles of the whole text, as bytes; one row per doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, total, bounds = shingles(*text_bytes(batch.column("text")))
-            held = [total[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary())], ["doc_id", "shingles"])
+            held = [total[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            ids = [_identity(own) for own in held]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array([i for i, _ in ids], pa.int64()), pa.array([i for _, i in ids], pa.int64()),
+                pa.array([own.tobytes() for own in held], pa.binary()),
+            ], ["doc_id", "n", "id1", "id2", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles binary")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, id1 bigint, id2 bigint, shingles binary")
+    return rows.groupBy("doc_id").agg(F.max(F.struct("n", "id1", "id2", "shingles")).alias("s")).select("doc_id", "s.shingles")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -159,35 +174,94 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     )
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of one key after the other, from input sorted by key; a key's rows are few by construction."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = np.column_stack([batch.column(k).to_numpy() for k in keys])
+        cuts = np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            key = tuple(columns[lo])
+            if held and key != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def unlinked_pairs(member: DataFrame, signed: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+    """Pairs of different components that share a bucket and whose signatures are close enough, each once.
+
+    ``member`` has bucket, band, node, n_shingles and component_id. A bucket of more than BLOCK nodes is
+    compared block against block, each combination of blocks in a group of its own.
+    """
+    open_ = member.groupBy("bucket").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b"), F.count("*").alias("size")).where("a < b")
+    left = member.join(open_.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
+    left = left.join(signed.select("node", "signature"), "node").withColumn("own", F.abs(F.hash("node", F.lit(5))) % F.col("blocks"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select(
+        "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "band", "node", "component_id", "n_shingles", "signature",
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, ("bucket", "lo", "hi")):
+            band = group.column("band")[0].as_py()
+            node, component, size, side = (group.column(c).to_numpy() for c in ("node", "component_id", "n_shingles", "side"))
+            low = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(node), bands * rows)
+            inside = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+            first = np.arange(len(node)) if inside else np.flatnonzero(side == 0)
+            second = first if inside else np.flatnonzero(side == 1)
+            out: tuple[list, list] = ([], [])
+            for at in first:
+                to = second[second > at] if inside else second
+                to = to[component[to] != component[at]]
+                if not len(to):
+                    continue
+                to = to[100 * np.minimum(size[to], size[at]) >= percent * np.maximum(size[to], size[at])]
+                same = low[to] == low[at]
+                near = same.mean(axis=1) >= ESTIMATE
+                to, same = to[near], same[near]
+                to = to[same.reshape(len(to), bands, rows).all(axis=2).argmax(axis=1) == band]
+                out[0].append(np.minimum(node[to], node[at]))
+                out[1].append(np.maximum(node[to], node[at]))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], ["leader", "node"])
+
+    keys = ("bucket", "lo", "hi")
+    return left.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "leader bigint, node bigint")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     signed = keep(signatures(docs, bands, rows), "near-signatures")
-    named = signed.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "id1", "id2", "bands")).alias("s")).select("doc_id", "s.*")
+    named = signed.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "id1", "id2", "bands", "signature")).alias("s")).select("doc_id", "s.*")
     solid = named.where("n_shingles > 0")
-    nodes = solid.groupBy("n_shingles", "id1", "id2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = solid.groupBy("n_shingles", "id1", "id2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = keep(nodes, "near-nodes")
-    buckets = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    # One row per bucket and size class of its nodes; only buckets with two nodes or more can link.
+    buckets = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     buckets = keep(buckets.join(shared, "bucket"), "near-buckets")
-    sets = keep(_sets(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id")).dropDuplicates(["doc_id"]), "near-sets")
+    sets = keep(_sets(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id")), "near-sets")
 
     similar = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-    links = None
-    member = buckets.withColumn("component_id", F.col("node"))
-    for _ in range(STAR_ROUNDS):
-        lead = member.groupBy("bucket").agg(F.min(F.struct("component_id", "node", "n_shingles")).alias("h"), F.max("component_id").alias("top"))
-        lead = lead.where("h.component_id < top").select("bucket", "h.*").toDF("bucket", "a_c", "leader", "a_n")
+    links, member = None, buckets.withColumn("component_id", F.col("node"))
+    for turn in range(STAR_ROUNDS):
+        # The first leader of a bucket is its smallest node, the later ones any node of its smallest component.
+        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        lead = member.groupBy("bucket").agg(F.min(F.struct("component_id", order.alias("o"), "node", "n_shingles")).alias("h"), F.max("component_id").alias("top"))
+        lead = lead.where("h.component_id < top").select("bucket", F.col("h.component_id").alias("a_c"), F.col("h.node").alias("leader"), F.col("h.n_shingles").alias("a_n"))
         pairs = member.join(lead, "bucket").withColumnRenamed("n_shingles", "b_n").where((F.col("component_id") != F.col("a_c")) & similar).select("leader", "node").distinct()
         found = keep(verified(pairs, sets, percent), "near-links")
         links = found if links is None else links.unionByName(found)
         member = keep(_relabel(buckets, links), "near-members")
-    # What is left: nodes of different components in one bucket.
-    open_ = member.groupBy("bucket").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select("bucket")
-    left = member.join(open_, "bucket")
-    a, b = (left.select("bucket", F.col("component_id").alias(f"{x}_c"), F.col("node").alias(y), F.col("n_shingles").alias(f"{x}_n")) for x, y in (("a", "leader"), ("b", "node")))
-    pairs = a.join(b, "bucket").where((F.col("leader") < F.col("node")) & (F.col("a_c") != F.col("b_c")) & similar).select("leader", "node").distinct()
-    links = links.unionByName(keep(verified(pairs, sets, percent), "near-links"))
+    left = keep(unlinked_pairs(member, nodes, percent, bands, rows), "near-pairs")
+    links = links.unionByName(keep(verified(left, sets, percent), "near-links"))
     groups = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
 
     labelled = nodes.join(groups, "node", "left").select("n_shingles", "id1", "id2", F.coalesce("component_id", "node").alias("component_id"))
