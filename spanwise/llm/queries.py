@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, quality_qda, quality_sketch, token_files, toxicity_kn
+from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, quality_qda, quality_sketch, template_decontamination, token_files, toxicity_kn
 from spanwise.llm.common import small_batches, table
 from spanwise.session import keep
 
@@ -81,3 +81,10 @@ def op5_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_license_minhash"] = license_minhash.oracle()
+
+
+@query
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items: doc_id, item_id, n_windows, item_windows, coverage, kind."""
+    small_batches(spark)
+    return template_decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
