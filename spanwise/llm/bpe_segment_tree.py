@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 
 #: Fixed value: how this kind of vocabulary cuts a text into pretokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 300_000
+#: Entries of one generation of a cache; the generation before it is kept as well.
+CACHED = 400_000
 _NONE = 1 << 62
 _SHIFT = 32
+_PLACE = (1 << _SHIFT) - 1
 _SPACES_TOUCH = re.compile(r"\s \s")
 
 
@@ -56,14 +58,17 @@ class Bpe:
         self.byte_id = [0] * 256
         for c, b in letters.items():
             self.byte_id[b] = vocab[c]
-        # (left id, right id) -> (rank, merged id)
-        self.merges = {}
+        # A pair of ids, packed, has a rank (shifted, so that a position fits below it); a rank has a merged id.
+        self.ranks, self.merged = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[left] << _SHIFT | vocab[right]] = (rank << _SHIFT, vocab[left + right])
+            self.ranks[vocab[left] << _SHIFT | vocab[right]] = rank << _SHIFT
+            self.merged.append(vocab[left + right])
         self.pattern = regex.compile(PATTERN)
         self.tokens: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, str, bytes]] = {}
+        self.old_tokens: dict[str, tuple[int, ...]] = {}
+        self.old_pieces: dict[str, tuple[int, str, bytes]] = {}
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """The ids of one pretoken."""
@@ -71,64 +76,62 @@ class Bpe:
         n = len(ids)
         if n < 2:
             return tuple(ids)
-        merges = self.merges
-        size = 1 << (n - 2).bit_length()
+        rank, merged, pairs = self.ranks.get, self.merged, n - 1
+        size = 1 << (pairs - 1).bit_length()
         tree = [_NONE] * (2 * size)
-        for i in range(n - 1):
-            found = merges.get(ids[i] << _SHIFT | ids[i + 1])
-            if found:
-                tree[size + i] = found[0] | i
+        for i in range(pairs):
+            tree[size + i] = rank(ids[i] << _SHIFT | ids[i + 1], _NONE) | i
         for k in range(size - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
+            x, y = tree[2 * k], tree[2 * k + 1]
+            tree[k] = x if x < y else y
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(leaf: int, value: int) -> None:
-            k = size + leaf
-            tree[k] = value
-            k >>= 1
-            while k:
-                a, b = tree[2 * k], tree[2 * k + 1]
-                low = a if a < b else b
-                if tree[k] == low:
-                    break
-                tree[k] = low
-                k >>= 1
-
-        while (root := tree[1]) != _NONE:
-            i = root & 0xFFFFFFFF
+        while (root := tree[1]) < _NONE:
+            i = root & _PLACE
             j = after[i]
-            ids[i] = merges[ids[i] << _SHIFT | ids[j]][1]
-            ids[j] = -1
+            ids[i], ids[j] = merged[root >> _SHIFT], -1
             k = after[i] = after[j]
-            if j < n - 1:
-                put(j, _NONE)
+            # The leaves of the merged pair, of the pair it ends and of the pair before it; then their ancestors.
+            a = b = c = size + i
             if k < n:
                 before[k] = i
-                found = merges.get(ids[i] << _SHIFT | ids[k])
-                put(i, found[0] | i if found else _NONE)
+                tree[b] = rank(ids[i] << _SHIFT | ids[k], _NONE) | i
             else:
-                put(i, _NONE)
+                tree[b] = _NONE
+            if j < pairs:
+                c = size + j
+                tree[c] = _NONE
             h = before[i]
             if h >= 0:
-                found = merges.get(ids[h] << _SHIFT | ids[i])
-                put(h, found[0] | h if found else _NONE)
-        return tuple(t for t in ids if t >= 0)
+                a = size + h
+                tree[a] = rank(ids[h] << _SHIFT | ids[i], _NONE) | h
+            while a > 1:
+                a >>= 1
+                b >>= 1
+                c >>= 1
+                x, y = tree[2 * a], tree[2 * a + 1]
+                tree[a] = x if x < y else y
+                if b != a:
+                    x, y = tree[2 * b], tree[2 * b + 1]
+                    tree[b] = x if x < y else y
+                if c != b:
+                    x, y = tree[2 * c], tree[2 * c + 1]
+                    tree[c] = x if x < y else y
+        return tuple([t for t in ids if t >= 0])
 
     def piece(self, text: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids as text, and the bytes that the ids decode to."""
-        ids: list[int] = []
-        for token in self.pattern.findall(text):
-            own = self.tokens.get(token)
-            if own is None:
-                own = self.merge(token.encode())
-                if len(self.tokens) >= CACHED:
-                    self.tokens.clear()
-                self.tokens[token] = own
-            ids.extend(own)
-        out = (len(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids]))
-        if len(self.pieces) >= CACHED:
-            self.pieces.clear()
+        """Number of ids, the ids as text, and the bytes that the ids decode to; remembered."""
+        out = self.old_pieces.get(text)
+        if out is None:
+            ids: list[int] = []
+            tokens, old = self.tokens, self.old_tokens
+            for token in self.pattern.findall(text):
+                own = tokens.get(token)
+                if own is None:
+                    own = tokens[token] = old.get(token) or self.merge(token.encode())
+                ids.extend(own)
+            if len(tokens) >= CACHED:
+                self.old_tokens, self.tokens = tokens, {}
+            out = (len(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids]))
         self.pieces[text] = out
         return out
 
@@ -148,6 +151,8 @@ class Bpe:
 
     def encode(self, text: str) -> list[tuple[int, str, bytes]]:
         """The pieces of a whole text, in order; special strings are pieces of one id."""
+        if len(self.pieces) >= CACHED:
+            self.old_pieces, self.pieces = self.pieces, {}
         out: list[tuple[int, str, bytes]] = []
         if self.special is None or not self.special.search(text):
             self._ordinary(text, out)

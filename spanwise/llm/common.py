@@ -145,3 +145,23 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         twice[order[:-1]] |= same
         first[order[1:]] = ~same
     return twice, first
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of one key after the other, from input sorted by key; a key's rows are few by construction."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = np.column_stack([batch.column(k).to_numpy() for k in keys])
+        cuts = np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            key = tuple(columns[lo])
+            if held and key != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import mix, owners, text_bytes, words
+from spanwise.llm.common import mix, owners, runs, text_bytes, words
 from spanwise.llm.components import components
 from spanwise.session import keep
 
@@ -174,26 +174,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The rows of one key after the other, from input sorted by key; a key's rows are few by construction."""
-    held: list[pa.RecordBatch] = []
-    at = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        columns = np.column_stack([batch.column(k).to_numpy() for k in keys])
-        cuts = np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-            key = tuple(columns[lo])
-            if held and key != at:
-                yield pa.Table.from_batches(held)
-                held = []
-            at = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def unlinked_pairs(member: DataFrame, signed: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
     """Pairs of different components that share a bucket and whose signatures are close enough, each once.
 
@@ -210,7 +190,7 @@ def unlinked_pairs(member: DataFrame, signed: DataFrame, percent: int, bands: in
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, ("bucket", "lo", "hi")):
+        for group in runs(batches, ("bucket", "lo", "hi")):
             band = group.column("band")[0].as_py()
             node, component, size, side = (group.column(c).to_numpy() for c in ("node", "component_id", "n_shingles", "side"))
             low = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(node), bands * rows)
