@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, quality_qda, quality_sketch, template_decontamination, token_files, toxicity_kn
+from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, quality_qda, quality_sketch, suffix_dedup, template_decontamination, token_files, toxicity_kn
 from spanwise.llm.common import small_batches, table
 from spanwise.session import keep
 
@@ -88,3 +88,11 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Documents that hold benchmark items: doc_id, item_id, n_windows, item_windows, coverage, kind."""
     small_batches(spark)
     return template_decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat earlier ones: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.spans(docs, suffix_dedup.repeats(docs))
