@@ -42,7 +42,7 @@ def _is_letter() -> np.ndarray:
 
 @lru_cache(1 << 16)
 def _letter(code: int, dimensions: int, seed: int) -> np.ndarray:
-    words = mix(np.arange(dimensions // 64, dtype=np.uint64) + np.uint64(code) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    words = mix(np.arange(dimensions // 64, dtype=np.uint64) + np.uint64((code * 0x9E3779B97F4A7C15 + seed) % (1 << 64)))
     bits = np.unpackbits(words.view(np.uint8))
     return (bits.astype(np.int8) << 1) - 1
 

@@ -24,7 +24,7 @@ from spanwise.session import keep
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: A group of this many documents trusts its own quartiles as much as its parent's.
-BORROW = 200
+BORROW = 30
 
 
 @dataclass(frozen=True)
