@@ -383,9 +383,9 @@ def correlation_quality(df: DataFrame, expected_hops: int = 10) -> DataFrame:
 
 
 EXPLANATIONS: Mapping[str, str] = {
-    "LEVEL_1_EXACT": "All hops carry the exact trace identifier [%s].",
-    "LEVEL_2_PROTOCOL": "Hops were associated by protocol identity; the trace id was missing on a boundary of [%s].",
-    "LEVEL_3_TOPOLOGY": "Hops were associated by process and host topology for [%s].",
+    "LEVEL_1_EXACT": "Joined on trace id %s.",
+    "LEVEL_2_PROTOCOL": "Joined on protocol keys where %s has no trace id.",
+    "LEVEL_3_TOPOLOGY": "Joined on host or process for %s.",
 }
 
 
@@ -396,7 +396,7 @@ def explain_correlation(df: DataFrame) -> DataFrame:
         made = F.format_string(sentence, F.col("trace_id").cast("string"))
         test = F.col("method") == method
         text = F.when(test, made) if text is None else text.when(test, made)
-    other = F.format_string("Only partial evidence links the hops of [%s].", F.col("trace_id").cast("string"))
+    other = F.format_string("No identity level covers all of %s.", F.col("trace_id").cast("string"))
     return df.withColumns(
         {
             "correlation_status": F.when(F.col("confidence") >= 0.8, "STRONGLY_SUPPORTED").otherwise(

@@ -255,14 +255,14 @@ def _bind(rows: DataFrame, builds: DataFrame, prefix: str = "") -> DataFrame:
         return F.coalesce(x == "", F.lit(True))
 
     reason = (
-        F.when(~F.coalesce(c(digest).rlike("^sha256:[a-f0-9]{64}$"), F.lit(False)), "missing or invalid digest")
-        .when(F.coalesce(c("_matches"), F.lit(0)) != 1, "no unique inventory for this service and digest")
+        F.when(~F.coalesce(c(digest).rlike("^sha256:[a-f0-9]{64}$"), F.lit(False)), "DIGEST_INVALID")
+        .when(F.coalesce(c("_matches"), F.lit(0)) != 1, "INVENTORY_NOT_UNIQUE")
         .when(
             blank(c("_i.declared_by")) | blank(c("_i.evidence")) | c("_i.packages").isNull(),
-            "inventory lacks attribution, evidence or packages",
+            "INVENTORY_UNATTRIBUTED",
         )
-        .when(blank(c(version)) | blank(c("_i.declared_version")), "missing reported or declared version")
-        .when(c(version) != c("_i.declared_version"), "reported version disagrees with inventory")
+        .when(blank(c(version)) | blank(c("_i.declared_version")), "VERSION_MISSING")
+        .when(c(version) != c("_i.declared_version"), "VERSION_DISAGREES")
     )
     return joined.withColumns(
         {

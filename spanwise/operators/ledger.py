@@ -15,32 +15,64 @@ SEGMENT = 1000
 
 
 def ledger_append(
-    conclusions: DataFrame, chain: str, order: Sequence[str], content: Sequence[str], segment: int = SEGMENT
+    conclusions: DataFrame, chain: str, order: Sequence[str], content: Sequence[str], existing: DataFrame | None = None,
+    segment: int = SEGMENT,
 ) -> DataFrame:
-    """Hash-chained blocks per chain key: (chain, block_index, payload, previous_hash, hash).
+    """The new hash-chained blocks per chain key: (chain, block_index, payload, previous_hash, hash).
 
-    A chain is cut into segments of ``segment`` blocks. Inside one, each block holds the hash of
-    the one before. The first block of a later segment holds a digest over all payloads of the
-    segment before it, which depends on no other hash, so long chains are built in parallel and
-    altering any payload still breaks a link.
+    Every block depends on all blocks before it. Inside a segment of ``segment`` blocks it holds the hash of
+    the one before; the first block of a segment holds the chain's *anchor*, a running hash over the digests
+    of all earlier segments. Digests are made in parallel and only they (``segment`` times fewer than blocks)
+    are folded in order. With ``existing``, numbering and anchors go on from its last segment, the only part
+    of it that is read besides its highest index.
     """
     c = F.col
     keys = [c(k) for k in order]
     rows = conclusions.select(
         c(chain).alias("chain"), *order, canonical_json({k: c(k) for k in content}).alias("payload")
     )
-    indexed = running_total(rows, ["chain"], keys, F.lit(1).cast("bigint"), _order_block(order), "block_index")
-    cut = indexed.withColumn("segment", F.floor(c("block_index") / segment))
-    parts = cut.groupBy("chain", "segment").agg(
+    indexed = running_total(rows, ["chain"], keys, F.lit(1).cast("bigint"), _order_block(order), "block_index").select("chain", "block_index", "payload")
+    if existing is None:
+        return _link(indexed, None, segment)
+    heads = existing.groupBy("chain").agg(F.max("block_index").alias("top"))
+    fresh = indexed.join(heads, "chain", "left").select("chain", (c("block_index") + F.coalesce(c("top") + 1, F.lit(0))).alias("block_index"), "payload")
+    tail = existing.join(heads, "chain").filter(c("block_index") >= F.floor(c("top") / segment) * segment)
+    starts = tail.filter(c("block_index") % segment == 0).select("chain", F.floor(c("block_index") / segment).alias("first"), c("previous_hash").alias("start"))
+    made = _link(fresh.unionByName(tail.select("chain", "block_index", "payload")), starts, segment)
+    return made.join(heads, "chain", "left").filter(c("top").isNull() | (c("block_index") > c("top"))).drop("top")
+
+
+def _segments(blocks: DataFrame, segment: int) -> DataFrame:
+    parts = blocks.withColumn("segment", F.floor(F.col("block_index") / segment)).groupBy("chain", "segment").agg(
         F.sort_array(F.collect_list(F.struct("block_index", "payload"))).alias("blocks")
     )
     digest = F.sha2(F.array_join(F.transform("blocks", lambda b: F.sha2(b["payload"], 256)), ""), 256)
-    anchors = parts.select("chain", (c("segment") + 1).alias("segment"), digest.alias("anchor"))
-    anchored = parts.join(anchors, ["chain", "segment"], "left").withColumn("start", F.coalesce("anchor", F.lit(GENESIS)))
+    return parts.withColumn("digest", digest)
+
+
+def _anchors(parts: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """chain, segment and the anchor its first block holds: a fold over the digests of the segments before."""
+    digests = parts.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("segment", "digest"))).alias("digests"))
+    if starts is None:
+        digests = digests.withColumn("start", F.lit(GENESIS))
+    else:
+        digests = digests.join(starts, "chain", "left").withColumn("start", F.coalesce("start", F.lit(GENESIS)))
+    made = F.aggregate(
+        "digests", F.array("start"),
+        lambda acc, d: F.concat(acc, F.array(F.sha2(F.concat_ws("|", F.element_at(acc, -1), d["digest"]), 256))),
+    )
+    zipped = F.arrays_zip(F.transform("digests", lambda d: d["segment"]).alias("segment"), F.slice(made, 1, F.size("digests")).alias("anchor"))
+    return digests.select("chain", F.explode(zipped).alias("z")).select("chain", "z.segment", "z.anchor")
+
+
+def _link(blocks: DataFrame, starts: DataFrame | None, segment: int) -> DataFrame:
+    c = F.col
+    parts = _segments(blocks, segment)
+    anchored = parts.join(_anchors(parts, starts), ["chain", "segment"])
     empty = F.array().cast("array<struct<block_index:bigint,payload:string,previous_hash:string,hash:string>>")
 
     def link(acc: Column, b: Column) -> Column:
-        previous = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], c("start"))
+        previous = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], c("anchor"))
         made = F.struct(
             b["block_index"].alias("block_index"),
             b["payload"].alias("payload"),
@@ -63,23 +95,17 @@ def block_hash(chain: Column, index: Column, previous: Column, payload: Column)
 
 
 def ledger_verify(ledger: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Per chain: is it intact, and if not, the first bad block and why. Every block is checked alone."""
+    """Per chain: is it intact, and if not, the first bad block and why. Every block is checked alone.
+
+    Anchors are worked out anew from all payloads, so re-hashing a forged block and its neighbours moves the
+    break to the next segment or, when everything after it is re-hashed, changes ``head_hash``.
+    """
     c = F.col
     before = ledger.select("chain", (c("block_index") + 1).alias("block_index"), c("hash").alias("linked_hash"))
-    digests = (
-        ledger.groupBy("chain", (F.floor(c("block_index") / segment) + 1).alias("segment"))
-        .agg(F.sort_array(F.collect_list(F.struct("block_index", "payload"))).alias("blocks"))
-        .select(
-            "chain",
-            (c("segment") * segment).alias("block_index"),
-            F.sha2(F.array_join(F.transform("blocks", lambda b: F.sha2(b["payload"], 256)), ""), 256).alias("anchor"),
-        )
-    )
-    rows = ledger.join(before, ["chain", "block_index"], "left").join(digests, ["chain", "block_index"], "left")
+    anchors = _anchors(_segments(ledger, segment), None).select("chain", (c("segment") * segment).alias("block_index"), "anchor")
+    rows = ledger.join(before, ["chain", "block_index"], "left").join(anchors, ["chain", "block_index"], "left")
     opens = c("block_index") % segment == 0
-    expected = (
-        F.when(c("block_index") == 0, F.lit(GENESIS)).when(opens, c("anchor")).otherwise(c("linked_hash"))
-    )
+    expected = F.when(opens, c("anchor")).otherwise(c("linked_hash"))
     problem = (
         F.when(~c("previous_hash").eqNullSafe(expected), "LINK_BROKEN").when(
             ~c("hash").eqNullSafe(block_hash(c("chain"), c("block_index"), c("previous_hash"), c("payload"))),
@@ -163,8 +189,8 @@ def settlements(balances: DataFrame) -> DataFrame:
 def apply_offline_queue(queue: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """First operation per idempotency key that the ledger does not hold yet.
 
-    ``queue``: idempotency_key, queued_seq and the operation. Chain the result with
-    ``ledger_append``.
+    ``queue``: idempotency_key, queued_seq and the operation. Chain the result with ``ledger_append``,
+    giving it the ledger as ``existing``.
     """
     first = newest_per_key(queue, ["idempotency_key"], [F.asc("queued_seq")], 1)
     if ledger is None:

@@ -83,9 +83,3 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 def oversized(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Keys of the groups beyond the limit, with their sizes."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") > limit)
-
-
-def split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of groups within the limit, sizes of the groups beyond it)."""
-    large = oversized(df, keys, limit)
-    return df.join(large.select(*keys), list(keys), "left_anti"), large

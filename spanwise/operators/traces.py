@@ -9,10 +9,13 @@ from spanwise.functions.attributes import http_status
 from spanwise.functions.binding import let
 from spanwise.functions.timing import span_kind
 from spanwise.operators.observations import with_obs_key
-from spanwise.operators.ordered import oversized, split_by_size
-from spanwise.schema import MAX_TRACE_SPANS
+from spanwise.operators.ordered import oversized
+from spanwise.session import keep
 
 SERVER, CLIENT = 2, 3
+#: Hops of a path that are put together first, and spans of a trace that one row may hold while its tree is
+#: judged. Both say how the work is cut up; no answer depends on them.
+CHUNK = GATHER = 1000
 
 
 def hop_name() -> Column:
@@ -52,11 +55,11 @@ def _observed_http(spans: DataFrame) -> Column:
     return F.coalesce(value["intValue"], value["stringValue"]).try_cast("int")
 
 
-def request_dna(spans: DataFrame, max_spans: int = MAX_TRACE_SPANS) -> DataFrame:
+def request_dna(spans: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The observed shape of each request; nothing is filled in.
 
-    The path and hop latencies of a trace beyond ``max_spans`` are not held in one row: read them
-    from ``request_path_chunks``, which is complete for every trace.
+    Paths and hop latencies are complete for traces of any size: chunks of arrival numbers are put
+    together first and then joined in order. ``request_path_chunks`` gives them as rows.
     """
     seq = F.col("ingest_seq")
     rows = spans.select(
@@ -81,9 +84,11 @@ def request_dna(spans: DataFrame, max_spans: int = MAX_TRACE_SPANS) -> DataFrame
         .groupBy("trace_id")
         .agg(F.sort_array(F.collect_list(F.struct("service", "version"))).alias("service_versions"))
     )
-    small, _ = split_by_size(rows, ["trace_id"], max_spans)
-    paths = small.groupBy("trace_id").agg(
-        F.sort_array(F.collect_list(F.struct("ingest_seq", "service", "duration_ms"))).alias("hops")
+    parts = rows.groupBy("trace_id", F.floor((seq - 1) / chunk).alias("chunk_no")).agg(
+        F.sort_array(F.collect_list(F.struct("ingest_seq", "service", "duration_ms"))).alias("part")
+    )
+    paths = parts.groupBy("trace_id").agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "part"))), lambda p: p["part"])).alias("hops")
     )
     return (
         facts.join(versions, "trace_id", "left")
@@ -108,7 +113,7 @@ def request_dna(spans: DataFrame, max_spans: int = MAX_TRACE_SPANS) -> DataFrame
     )
 
 
-def request_path_chunks(spans: DataFrame, chunk: int = MAX_TRACE_SPANS) -> DataFrame:
+def request_path_chunks(spans: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The path of every trace in pieces of bounded length, numbered in arrival order."""
     return (
         spans.groupBy("trace_id", F.floor((F.col("ingest_seq") - 1) / chunk).alias("chunk_no"))
@@ -123,7 +128,11 @@ def request_path_chunks(spans: DataFrame, chunk: int = MAX_TRACE_SPANS) -> DataF
 
 
 def dna_diff(golden: DataFrame, live: DataFrame, key: str) -> DataFrame:
-    """What is known to differ between two DNA records with the same key."""
+    """What is known to differ between two DNA records with the same key.
+
+    ``is_identical`` is NULL where nothing differs but a path is unknown on either side.
+    """
+    known = F.col("g_path").isNotNull() & F.col("path").isNotNull()
     g = golden.select(key, F.col("path").alias("g_path"), F.col("total_ms").alias("g_total"), F.col("http_status").alias("g_http"))
     diffs = F.array_compact(
         F.array(
@@ -149,9 +158,10 @@ def dna_diff(golden: DataFrame, live: DataFrame, key: str) -> DataFrame:
     )
     return (
         live.join(g, key)
-        .select("trace_id", key, diffs.alias("deviations"))
+        .select("trace_id", key, diffs.alias("deviations"), known.alias("known"))
         .withColumn("diff_count", F.size("deviations"))
-        .withColumn("is_identical", F.col("diff_count") == 0)
+        .withColumn("is_identical", F.when(F.col("diff_count") > 0, False).when(F.col("known"), True))
+        .drop("known")
     )
 
 
@@ -267,33 +277,81 @@ def unique_spans(spans: DataFrame) -> DataFrame:
     return single.unionByName(several)
 
 
-def trace_tree(spans: DataFrame, max_spans: int = MAX_TRACE_SPANS, boundary: bool = False) -> DataFrame:
+def trace_tree(spans: DataFrame, boundary: bool = False, gather: int = GATHER) -> DataFrame:
     """Is each trace one intact tree? (state, reasons, copies collapsed, conflicting spans)
 
-    Traces beyond ``max_spans`` get the limit as their reason and are never gathered. With
-    ``boundary`` the stricter test applies: valid timing everywhere and no repeated span id at all.
+    Traces of any size get the same answer. With ``boundary`` the stricter test applies: valid timing
+    everywhere and no repeated span id at all.
     """
     columns = ["trace_id", "span_id", "parent_span_id", "ingest_seq", "obs_key"]
     if boundary:
         columns.append("timing_valid")
-    unique = unique_spans(with_obs_key(spans).select(*columns))
-    large = oversized(spans, ["trace_id"], max_spans)
-    # Deduplication copes with any trace; only the gathering below needs the small ones.
-    small = unique.join(large.select("trace_id"), "trace_id", "left_anti")
-    return tree_of(small, large, boundary)
+    return tree_of(unique_spans(with_obs_key(spans).select(*columns)), boundary, gather)
 
 
-def tree_of(unique: DataFrame, large: DataFrame, boundary: bool = False) -> DataFrame:
-    """``trace_tree`` over spans that are unique already, and the traces beyond the limit."""
-    link = F.struct("span_id", F.nullif("parent_span_id", F.lit("")).alias("parent"))
-    grouped = unique.groupBy("trace_id").agg(
-        F.sort_array(F.collect_list(link)).alias("links"),
+def tree_of(unique: DataFrame, boundary: bool = False, gather: int = GATHER) -> DataFrame:
+    """``trace_tree`` over spans that are unique already.
+
+    Traces of up to ``gather`` spans are walked in one row each; larger ones by joins, one per doubling of
+    the climb. Whether there are larger ones is counted when the plan is built.
+    """
+    large = oversized(unique, ["trace_id"], gather).select("trace_id")
+    if large.isEmpty():
+        return _judged(_walked(unique, boundary), boundary)
+    large = keep(large, "large-traces")
+    small = unique.join(large, "trace_id", "left_anti")
+    return _judged(_walked(small, boundary).unionByName(_climbed(unique.join(large, "trace_id", "left_semi"), boundary)), boundary)
+
+
+def _bad_id(x: Column) -> Column:
+    return F.coalesce(~x.rlike("^[a-f0-9]{16}$") | x.rlike("^0+$"), F.lit(True))
+
+
+def _trace_facts(boundary: bool) -> list[Column]:
+    return [
         F.sum("exact_copies").alias("duplicates_collapsed"),
         F.sort_array(F.collect_list(F.when(F.col("conflicting"), F.col("span_id")))).alias("conflicts"),
-        (F.min(F.coalesce("timing_valid", F.lit(False))) if boundary else F.lit(True)).alias("timed"),
-    )
-    def bad_id(x: Column) -> Column:
-        return F.coalesce(~x.rlike("^[a-f0-9]{16}$") | x.rlike("^0+$"), F.lit(True))
+        (F.min(F.coalesce("timing_valid", F.lit(False))) if boundary else F.min(F.lit(True))).alias("timed"),
+    ]
+
+
+_FACTS = ("trace_id", "duplicates_collapsed", "conflicts", "timed", "roots", "bad_ids", "missing", "cyclic")
+
+
+def _climbed(unique: DataFrame, boundary: bool) -> DataFrame:
+    """The facts of large traces without gathering one: parents are looked up and climbed by joins."""
+    kept = ["exact_copies", "conflicting", *(["timing_valid"] if boundary else [])]
+    c = F.col
+    rows = keep(unique.select("trace_id", "span_id", F.nullif("parent_span_id", F.lit("")).alias("parent"), *kept), "large-spans")
+    facts = rows.groupBy("trace_id").agg(
+        *_trace_facts(boundary), F.sum(c("parent").isNull().cast("int")).cast("int").alias("roots"), F.max(_bad_id(c("span_id"))).alias("bad_ids")
+    )
+    ids = rows.select("trace_id", c("span_id").alias("parent"), F.lit(True).alias("present"))
+    parents = rows.filter(c("parent").isNotNull()).groupBy("trace_id", "parent").agg(F.count(F.lit(1)).alias("children"))
+    missing = (
+        parents.join(ids, ["trace_id", "parent"], "left").groupBy("trace_id")
+        .agg(F.max(_bad_id(c("parent")) | c("present").isNull()).alias("missing"))
+    )
+    # Each round doubles the climb and drops whoever got out; spans on or below a cycle are left.
+    up = rows.filter(c("parent").isNotNull()).select("trace_id", "span_id", c("parent").alias("up"))
+    up = keep(up.join(ids.select("trace_id", c("parent").alias("up")), ["trace_id", "up"], "left_semi").select("trace_id", "span_id", "up"), "climb")
+    left = up.count()
+    while left:
+        above = up.select("trace_id", c("span_id").alias("up"), c("up").alias("next"))
+        up = keep(up.join(above, ["trace_id", "up"]).select("trace_id", "span_id", c("next").alias("up")), "climb")
+        now = up.count()
+        if now == left:
+            break
+        left = now
+    cyclic = up.select("trace_id").distinct().withColumn("cyclic", F.lit(True))
+    out = facts.join(missing, "trace_id", "left").join(cyclic, "trace_id", "left").fillna(False, ["missing", "cyclic"])
+    return out.select(*_FACTS)
+
+
+def _walked(unique: DataFrame, boundary: bool) -> DataFrame:
+    """The same facts for traces that fit one row."""
+    link = F.struct("span_id", F.nullif("parent_span_id", F.lit("")).alias("parent"))
+    grouped = unique.groupBy("trace_id").agg(F.sort_array(F.collect_list(link)).alias("links"), *_trace_facts(boundary))
 
     def place(v: Column) -> Column:
         up = F.transform(
@@ -307,11 +365,11 @@ def tree_of(unique: DataFrame, large: DataFrame, boundary: bool = False) -> Data
         far = F.aggregate(rounds, w["up"], lambda acc, _: F.transform(acc, lambda i: F.element_at(acc, i)))
         missing = F.exists(
             F.arrays_zip(w["parents"].alias("parent"), w["up"].alias("up")),
-            lambda x: x["parent"].isNotNull() & (bad_id(x["parent"]) | x["up"].isNull()),
+            lambda x: x["parent"].isNotNull() & (_bad_id(x["parent"]) | x["up"].isNull()),
         )
         return F.struct(
             F.size(F.filter(w["parents"], lambda p: p.isNull())).alias("roots"),
-            F.exists(w["ids"], bad_id).alias("bad_ids"),
+            F.exists(w["ids"], _bad_id).alias("bad_ids"),
             missing.alias("missing"),
             F.exists(far, lambda i: i.isNotNull()).alias("cyclic"),
         )
@@ -319,36 +377,32 @@ def tree_of(unique: DataFrame, large: DataFrame, boundary: bool = False) -> Data
     ids = F.transform("links", lambda x: x["span_id"])
     parents = F.transform("links", lambda x: x["parent"])
     walked = grouped.withColumn("walk", let(F.struct(ids.alias("ids"), parents.alias("parents")), place))
-    roots = F.col("walk.roots")
+    return walked.select("trace_id", "duplicates_collapsed", "conflicts", "timed", "walk.*").select(*_FACTS)
+
+
+def _judged(facts: DataFrame, boundary: bool) -> DataFrame:
+    roots = F.col("roots")
     bad_trace = F.coalesce(~F.col("trace_id").rlike("^[a-f0-9]{32}$") | F.col("trace_id").rlike("^0+$"), F.lit(True))
     repeated = F.size("conflicts") > 0
     if boundary:
         repeated = repeated | (F.col("duplicates_collapsed") > 0)
-    judged = walked.select(
+    judged = facts.select(
         "trace_id",
         F.array_compact(
             F.array(
                 F.when(bad_trace, "Invalid trace ID"),
                 F.when(roots != 1, F.concat(F.lit("Expected one root; observed "), roots.cast("string"))),
                 F.when(repeated, "Conflicting observations share a span ID"),
-                F.when(F.col("walk.bad_ids"), "Invalid span ID"),
-                F.when(F.col("walk.missing"), "Missing or invalid parent"),
-                F.when(F.col("walk.cyclic"), "Cycle in parent links"),
+                F.when(F.col("bad_ids"), "Invalid span ID"),
+                F.when(F.col("missing"), "Missing or invalid parent"),
+                F.when(F.col("cyclic"), "Cycle in parent links"),
                 F.when(~F.col("timed"), "Missing or invalid span timestamps"),
             )
         ).alias("reasons"),
         "duplicates_collapsed",
         "conflicts",
     )
-    refused = large.select(
-        "trace_id",
-        F.array(F.lit("Analysis span limit exceeded")).alias("reasons"),
-        F.lit(0).cast("bigint").alias("duplicates_collapsed"),
-        F.array().cast("array<string>").alias("conflicts"),
-    )
-    return judged.unionByName(refused).withColumn(
-        "state", F.when(F.size("reasons") == 0, "OBSERVED_TREE").otherwise("UNKNOWN")
-    )
+    return judged.withColumn("state", F.when(F.size("reasons") == 0, "OBSERVED_TREE").otherwise("UNKNOWN"))
 
 
 def _servers_below(spans: DataFrame) -> DataFrame:

@@ -69,11 +69,10 @@ INVESTIGATION = {
 
 def _investigation(spark, sf):
     frame = _reported(spark, sf)
-    unique, large = investigate.base_spans(frame)
-    unique = keep(unique, "unique-spans")
-    tree = keep(traces.tree_of(unique, large), "trees")
+    unique = keep(investigate.base_spans(frame), "unique-spans")
+    tree = keep(traces.tree_of(unique), "trees")
     outcomes = investigate.root_outcome(unique, tree)
-    gaps = investigate.evidence_gaps(unique, large, tree, outcomes, **_evidence(spark, sf, frame))
+    gaps = investigate.evidence_gaps(unique, tree, outcomes, **_evidence(spark, sf, frame))
     return tree, unique, outcomes, gaps
 
 
@@ -92,14 +91,13 @@ def _evidence(spark, sf, frame):
       case when root_ms is null then 'UNKNOWN' else 'OBSERVED' end as timing_provenance from outcomes""",
 )
 def _(spark, sf):
-    unique, large = investigate.base_spans(_reported(spark, sf))
-    unique = keep(unique, "unique-spans")
-    return investigate.root_outcome(unique, traces.tree_of(unique, large))
+    unique = keep(investigate.base_spans(_reported(spark, sf)), "unique-spans")
+    return investigate.root_outcome(unique, traces.tree_of(unique))
 
 
 @query("error_signals", duck_with("spans", **INVESTIGATION) + "select * from signals")
 def _(spark, sf):
-    return investigate.error_signals(investigate.base_spans(_reported(spark, sf))[0])
+    return investigate.error_signals(investigate.base_spans(_reported(spark, sf)))
 
 
 @query(
@@ -418,12 +416,14 @@ _SEG = 4
 _CHAIN = f"""
   base as (select o_custkey as chain, row_number() over (partition by o_custkey order by o_orderkey) - 1 as block_index,
     '{{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}' as payload from orders),
-  anchors as (select chain, block_index // {_SEG} + 1 as seg, sha256(string_agg(sha256(payload), '' order by block_index)) as anchor
+  digests as (select chain, block_index // {_SEG} as seg, sha256(string_agg(sha256(payload), '' order by block_index)) as digest
     from base group by 1, 2),
+  anchors(chain, seg, anchor) as (
+    select chain, seg, repeat('0', 64) from digests where seg = 0
+    union all select d.chain, d.seg + 1, sha256(a.anchor || '|' || d.digest) from anchors a join digests d on d.chain = a.chain and d.seg = a.seg),
   chained(chain, block_index, payload, previous_hash, hash) as (
-    select b.chain, b.block_index, payload, coalesce(anchor, repeat('0', 64)),
-      sha256(b.chain || '|' || b.block_index || '|' || coalesce(anchor, repeat('0', 64)) || '|' || payload)
-    from base b left join anchors a on a.chain = b.chain and a.seg = b.block_index // {_SEG} where b.block_index % {_SEG} = 0
+    select b.chain, b.block_index, payload, anchor, sha256(b.chain || '|' || b.block_index || '|' || anchor || '|' || payload)
+    from base b join anchors a on a.chain = b.chain and a.seg = b.block_index // {_SEG} where b.block_index % {_SEG} = 0
     union all
     select b.chain, b.block_index, b.payload, c.hash, sha256(b.chain || '|' || b.block_index || '|' || c.hash || '|' || b.payload)
     from chained c join base b on b.chain = c.chain and b.block_index = c.block_index + 1 and b.block_index % {_SEG} <> 0)
@@ -462,6 +462,33 @@ def _(spark, sf):
     return ledger.ledger_verify(tampered, segment=_SEG)
 
 
+@query("ledger_append_twice", "with recursive " + _CHAIN + "select * from chained")
+def _(spark, sf):
+    """The older half of every chain, then the rest appended to it."""
+    orders = derive(spark, sf, "select o_custkey, o_orderkey, o_orderstatus, ntile(2) over (partition by o_custkey order by o_orderkey) as half from orders")
+    shape = ("o_custkey", ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    first = keep(ledger.ledger_append(orders.filter("half = 1"), *shape, segment=_SEG), "ledger")
+    return first.unionByName(ledger.ledger_append(orders.filter("half = 2"), *shape, existing=first, segment=_SEG))
+
+
+@query(
+    "ledger_forgery",
+    f"""select o_custkey as chain, not (o_custkey % 10 = 5 and count(*) > {2 * _SEG}) as intact,
+      case when o_custkey % 10 = 5 and count(*) > {2 * _SEG} then {2 * _SEG} end as first_bad_index,
+      not (o_custkey % 10 = 5 and count(*) between 2 and {2 * _SEG}) as same_head from orders group by 1""",
+)
+def _(spark, sf):
+    """Block 1 of some chains replaced, and its segment and the next one hashed again as if nothing had happened."""
+    true = keep(_ledger(spark, sf), "ledger")
+    c = F.col
+    payload = F.when((c("chain") % 10 == 5) & (c("block_index") == 1), "{}").otherwise(c("payload"))
+    forged = ledger._link(true.filter(c("block_index") < 2 * _SEG).select("chain", "block_index", payload.alias("payload")), None, _SEG)
+    mixed = forged.unionByName(true.filter(c("block_index") >= 2 * _SEG))
+    heads = true.groupBy("chain").agg(F.max_by("hash", "block_index").alias("true_head"))
+    found = ledger.ledger_verify(mixed, segment=_SEG).join(heads, "chain")
+    return found.select("chain", "intact", "first_bad_index", (c("head_hash") == c("true_head")).alias("same_head"))
+
+
 QUEUE = """select concat(cast(o_custkey as varchar(20)), '-', o_orderstatus) as idempotency_key, o_orderkey as queued_seq,
   o_orderpriority as operation from orders"""
 DONE = """select concat(cast(o_custkey as varchar(20)), '-', o_orderstatus) as idempotency_key from orders

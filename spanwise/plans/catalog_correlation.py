@@ -404,11 +404,10 @@ def _(spark, sf):
     + _JOURNEY
     + """select trace_id, case when causal_confidence >= 0.8 then 'STRONGLY_SUPPORTED' else 'PARTIALLY_SUPPORTED' end
         as correlation_status,
-      case identity_level when 'LEVEL_1_EXACT' then 'All hops carry the exact trace identifier [' || trace_id || '].'
-        when 'LEVEL_2_PROTOCOL' then 'Hops were associated by protocol identity; the trace id was missing on a boundary of ['
-          || trace_id || '].'
-        when 'LEVEL_3_TOPOLOGY' then 'Hops were associated by process and host topology for [' || trace_id || '].'
-        else 'Only partial evidence links the hops of [' || trace_id || '].' end as explanation from journeys""",
+      case identity_level when 'LEVEL_1_EXACT' then 'Joined on trace id ' || trace_id || '.'
+        when 'LEVEL_2_PROTOCOL' then 'Joined on protocol keys where ' || trace_id || ' has no trace id.'
+        when 'LEVEL_3_TOPOLOGY' then 'Joined on host or process for ' || trace_id || '.'
+        else 'No identity level covers all of ' || trace_id || '.' end as explanation from journeys""",
 )
 def _(spark, sf):
     rows = _journeys(spark, sf).select(

@@ -251,9 +251,9 @@ def _timed(spark, sf):
     return spans(spark, sf).withColumn("timing_valid", timing_valid(F.col("start_ns"), F.col("end_ns")))
 
 
-_STATE = """case when {a}.declared_by = '' then 'inventory lacks attribution, evidence or packages'
-  when {s}.service_version is null then 'missing reported or declared version'
-  when {s}.service_version <> '1.1.0' then 'reported version disagrees with inventory' end"""
+_STATE = """case when {a}.declared_by = '' then 'INVENTORY_UNATTRIBUTED'
+  when {s}.service_version is null then 'VERSION_MISSING'
+  when {s}.service_version <> '1.1.0' then 'VERSION_DISAGREES' end"""
 _INTACT = """select trace_id, trace_id <> repeat('0', 32) and count(*) filter (where parent_span_id is null) = 1
     and not bool_or(ext) and bool_and(start_ns is not null and end_ns >= start_ns and end_ns > 0) as intact from flagged group by 1"""
 _BOUNDARY = f"""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanwise.operators import baseline, fleet, observations, traces
-from spanwise.plans.fixtures import VIEWS, duck_with, spans, view
+from spanwise.operators import baseline, fleet, investigate, observations, traces
+from spanwise.plans.fixtures import VIEWS, derive, duck_with, spans, view
 from spanwise.plans.registry import query
+from spanwise.schema import ATTRIBUTES
 from spanwise.session import keep
 
 # --- oracle building blocks -------------------------------------------------------------------
@@ -203,10 +204,7 @@ union all select trace_id, span_id, parent_span_id, service, duration_ms + 1, in
   where trace_id like '%5' and ingest_seq = 1"""
 
 
-@query(
-    "trace_tree",
-    duck_with("spans", planted=PLANTED)
-    + """, firsts as (select *, row_number() over (partition by trace_id, span_id order by ingest_seq) as r from planted),
+_TREE_FACTS = """firsts as (select *, row_number() over (partition by trace_id, span_id order by ingest_seq) as r from planted),
     uniq as (select trace_id, span_id, parent_span_id, service, duration_ms from firsts where r = 1),
     extra as (select f.trace_id, sum(case when f.duration_ms = u.duration_ms then 1 else 0 end) as same,
         count(distinct case when f.duration_ms <> u.duration_ms then f.span_id end) as conf
@@ -229,18 +227,73 @@ union all select trace_id, span_id, parent_span_id, service, duration_ms + 1, in
       cast(coalesce(same, 0) as bigint) as duplicates_collapsed, coalesce(conf, 0) as conflicts,
       case when f.trace_id <> repeat('0', 32) and roots = 1 and coalesce(conf, 0) = 0 and not missing and not cyc
         then 'OBSERVED_TREE' else 'UNKNOWN' end as state
-    from facts f left join extra e on e.trace_id = f.trace_id""",
-)
-def _(spark, sf):
-    planted = view(spark, sf, "spans")
-    planted.createOrReplaceTempView("spans")
-    frame = spark.sql(PLANTED)
+    from facts f left join extra e on e.trace_id = f.trace_id"""
+
+
+def _tree_row(frame):
     return traces.trace_tree(frame).select(
         "trace_id", F.array_join("reasons", "; ").alias("reasons"), "duplicates_collapsed",
         F.size("conflicts").cast("bigint").alias("conflicts"), "state",
     )
 
 
+@query("trace_tree", duck_with("spans", planted=PLANTED) + ", " + _TREE_FACTS)
+def _(spark, sf):
+    planted = view(spark, sf, "spans")
+    planted.createOrReplaceTempView("spans")
+    return _tree_row(spark.sql(PLANTED))
+
+
+# Eight traces that hold all lines: heaps, one of them with a chain a thousand spans deep, one with a cycle, one with
+# missing parents, one with conflicting observations, one with a resend of every span.
+LARGE = """
+with n as (select l_suppkey % 8 as t, row_number() over (partition by l_suppkey % 8 order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) as i, l_quantity from lineitem),
+  s as (select t, lpad(lower(hex(t + 1)), 32, '0') as trace_id, i, case when i = 1 then null when t = 1 and i <= 1000 then i - 1
+      when t = 2 and i = 5 then 10 when t = 3 and i % 97 = 0 then i + 100000000 else cast(floor(i / 2) as bigint) end as p, cast(l_quantity as bigint) as duration_ms from n)
+select trace_id, lpad(lower(hex(i)), 16, '0') as span_id, lpad(lower(hex(p)), 16, '0') as parent_span_id, concat('svc-', cast(i % 5 as varchar(5))) as service,
+  duration_ms, i as ingest_seq from s
+union all select trace_id, lpad(lower(hex(i)), 16, '0'), lpad(lower(hex(p)), 16, '0'), concat('svc-', cast(i % 5 as varchar(5))), duration_ms, i + 500000000 from s where t = 5
+union all select trace_id, lpad(lower(hex(i)), 16, '0'), lpad(lower(hex(p)), 16, '0'), concat('svc-', cast(i % 5 as varchar(5))), duration_ms + 1, i + 500000000 from s where t = 4 and i % 50 = 0"""
+
+
+@query("trace_tree_large", duck_with(planted=LARGE) + ", " + _TREE_FACTS)
+def _(spark, sf):
+    return _tree_row(derive(spark, sf, LARGE))
+
+
+@query(
+    "request_dna_large",
+    duck_with(planted=LARGE) + """ select trace_id, md5(string_agg(service, '->' order by ingest_seq)) as path_md5, count(*) as hop_count,
+      cast(sum(duration_ms) as bigint) as total_ms from planted group by 1""",
+)
+def _(spark, sf):
+    nothing = {"status": "string", "service_version": "string", "deployment_environment": "string", "attributes": ATTRIBUTES}
+    frame = derive(spark, sf, LARGE).withColumns({k: F.lit(None).cast(t) for k, t in nothing.items()})
+    return traces.request_dna(frame).select("trace_id", F.md5("path").alias("path_md5"), "hop_count", "total_ms")
+
+
+@query(
+    "revisions_large",
+    duck_with(planted=LARGE) + """ select 'observations of ' || trace_id as what, count(*) as observations from planted group by 1
+      union all select 'traces whose revision changes with one observation', count(distinct trace_id) from planted
+      union all select 'traces whose revision changes with the order of arrival', 0""",
+)
+def _(spark, sf):
+    frame = derive(spark, sf, LARGE)
+    now = investigate.revisions(frame)
+    changed = frame.withColumn("duration_ms", F.col("duration_ms") + (F.col("ingest_seq") == 1).cast("int"))
+    moved = frame.withColumn("ingest_seq", -F.col("ingest_seq"))
+
+    def differing(other, text):
+        after = investigate.revisions(other).select("trace_id", F.col("revision").alias("after"))
+        return now.join(after, "trace_id").agg(F.lit(text).alias("what"), F.sum((F.col("revision") != F.col("after")).cast("bigint")).alias("observations"))
+
+    counts = now.select(F.concat(F.lit("observations of "), "trace_id").alias("what"), "observations")
+    return counts.unionByName(differing(changed, "traces whose revision changes with one observation")).unionByName(
+        differing(moved, "traces whose revision changes with the order of arrival")
+    )
+
+
 EDGES = """
 select c.trace_id, c.service as from_service, min(t.service) as to_service, c.span_id as client_span_id,
   min(t.span_id) as server_span_id
@@ -333,7 +386,8 @@ def _(spark, sf):
     + "select request_key, trace_id, first_seen_ms, cast(total_ms as bigint) as total_ms, signature from samples",
 )
 def _(spark, sf):
-    return learned_from(spans(spark, sf))[1]
+    samples = learned_from(spans(spark, sf))[1].drop("signature")
+    return samples.withColumn("structure", F.array_join("structure", "|")).withColumnRenamed("structure", "signature")
 
 
 @query(

@@ -402,10 +402,10 @@ TREES = """select p_partkey, concat('{"name":"root","dependencies":{"a":{"versio
 @query(
     "components_from_npm_ls",
     """select p_partkey, 'a' as name, p_size || '.0.0' as version from part union all select p_partkey, 'd', null from part
-    union all select p_partkey, 'b', '1.0.0' from part""",
+    union all select p_partkey, 'b', '1.0.0' from part union all select p_partkey, 'c', '9' from part""",
 )
 def _(spark, sf):
-    return inventory.components_from_npm_ls(derive(spark, sf, TREES), depth=1).select("p_partkey", "name", "version")
+    return inventory.components_from_npm_ls(derive(spark, sf, TREES)).select("p_partkey", "name", "version")
 
 
 RAW_ADVISORIES = """select case when p_partkey % 10 = 0 then null else concat('ADV-', p_brand) end as id, case when p_partkey % 17 = 0 then '' else p_brand end as package,

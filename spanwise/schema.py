@@ -13,7 +13,6 @@ EDGE_TYPES = (
     "OBSERVED_AT", "ROUTED_TO", "FORWARDED_TO", "CALLS", "WAITS_FOR", "BLOCKED_BY", "DEPENDS_ON",
     "RETRIED_BY", "TIMED_OUT_AT", "CAUSED", "CORRELATED_WITH", "CHANGED_BY", "RECOVERED_AFTER", "VERIFIED_BY",
 )
-MAX_TRACE_SPANS = 1000
 DNA_VERSION = "2.1.0"
 
 ATTRIBUTE_VALUE = T.StructType(

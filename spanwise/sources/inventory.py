@@ -15,6 +15,9 @@ _VIA = (
 _TREE = "map<string,struct<version:string,dependencies:string>>"
 
 
+MAX_DEPTH = 1_000
+
+
 def load_components(reports: DataFrame) -> DataFrame:
     """Components of the latest report of each service: a new report replaces the old one.
 
@@ -31,8 +34,11 @@ def load_components(reports: DataFrame) -> DataFrame:
     )
 
 
-def components_from_npm_ls(trees: DataFrame, column: str = "tree", depth: int = 0) -> DataFrame:
-    """Flatten `npm ls --json` output to the given depth (0: direct dependencies)."""
+def components_from_npm_ls(trees: DataFrame, column: str = "tree", depth: int = MAX_DEPTH) -> DataFrame:
+    """Flatten `npm ls --json` output with all nested dependencies, or down to ``depth`` (0: direct ones).
+
+    Levels are opened until none is left, which is looked up when the plan is built.
+    """
     kept = [c for c in trees.columns if c != column]
     level = trees.select(*kept, F.from_json(column, "struct<dependencies:string>")["dependencies"].alias("deps"))
     found = None
@@ -43,6 +49,8 @@ def components_from_npm_ls(trees: DataFrame, column: str = "tree", depth: int =
         )
         found = part if found is None else found.unionByName(part)
         level = opened.select(*kept, F.col("info.dependencies").alias("deps")).filter(F.col("deps").isNotNull())
+        if level.isEmpty():
+            break
     return found
 
 

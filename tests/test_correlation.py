@@ -233,3 +233,18 @@ def test_sql_functions(spark):
     assert (row.a, row.b, row.c, row.d, row.e, row.f) == (
         "ERROR", "select N from t where x = '?'", "ssn [REDACTED_SSN]", None, '{"token":"[REDACTED_FIELD]"}', 3,
     )
+
+
+def test_the_first_listed_component_counts(spark):
+    inventory = spark.createDataFrame([("s", "p", "npm", "9.0.0", 1), ("s", "p", "npm", "10.0.0", 2)], "service string, package string, ecosystem string, version string, position int")
+    advisory = spark.createDataFrame([("A", "p", "npm")], "advisory_id string, package string, ecosystem string")
+    assert change.affected_services(advisory, inventory).first().component_version == "9.0.0"
+
+
+def test_a_ledger_goes_on_from_its_head(spark):
+    rows = spark.range(11).selectExpr("1 as chain", "id as seq", "id * 2 as amount")
+    whole = ledger.ledger_append(rows, "chain", ["seq"], ["amount"], segment=4)
+    for cut in (4, 6, 8):
+        first = ledger.ledger_append(rows.filter(f"seq < {cut}"), "chain", ["seq"], ["amount"], segment=4)
+        rest = ledger.ledger_append(rows.filter(f"seq >= {cut}"), "chain", ["seq"], ["amount"], existing=first, segment=4)
+        assert sorted(map(tuple, first.unionByName(rest).collect())) == sorted(map(tuple, whole.collect()))

@@ -50,10 +50,14 @@ def test_long_chain_is_no_cycle(spark):
     assert traces.trace_tree(frame(spark, *rows)).first().state == "OBSERVED_TREE"
 
 
-def test_over_limit_gives_no_partial_conclusion(spark):
-    rows = [span(1)] + [span(n, 1) for n in range(2, 12)]
-    row = traces.trace_tree(frame(spark, *rows), max_spans=10).first()
-    assert row.state == "UNKNOWN" and row.reasons == ["Analysis span limit exceeded"]
+def test_large_and_small_traces_are_judged_alike(spark):
+    chain = [span(1)] + [span(n, n - 1) for n in range(2, 40)]
+    cases = [chain, chain[1:], chain + [span(50, 51), span(51, 50)], chain + [span(3, 2, ingest_seq=99, duration_ms=77)], [span(1), span(2)]]
+    for rows in cases:
+        data = frame(spark, *rows)
+        for boundary in (False, True):
+            small, large = (traces.trace_tree(data, boundary, gather=g).first() for g in (1000, 1))
+            assert small.asDict() == large.asDict()
 
 
 def test_exact_copies_collapse_and_conflicts_do_not(spark):
@@ -184,3 +188,18 @@ def test_hot_trace_profile(spark):
     })).first().hop_count == 20_001
     chunks = traces.request_path_chunks(both)
     assert chunks.count() == 21 and chunks.selectExpr("sum(size(latencies_ms)) n").first().n == 20_001
+
+
+def test_a_bar_in_a_hop_name_is_part_of_the_name(spark):
+    rows = [span(1, trace_id=f"{t:032x}", name="a|b", observed_ms=t, ingest_seq=t) for t in range(1, 7)]
+    profile = traces.trace_profile(frame(spark, *rows))
+    verdicts = baseline.baseline_verdict(profile, baseline.baselines(baseline.healthy_samples(profile))).collect()
+    assert {r.verdict for r in verdicts} == {"HEALTHY"}, verdicts
+
+
+def test_an_unknown_path_is_not_identical(spark):
+    shape = "trace_id string, k string, path string, total_ms long, http_status int"
+    golden = spark.createDataFrame([("g", "k", "a->b", 5, 200)], shape)
+    live = spark.createDataFrame([("x", "k", None, 5, 200), ("y", "k", "a->b", 5, 200), ("z", "k", None, 9, 200)], shape)
+    got = {r.trace_id: r.is_identical for r in traces.dna_diff(golden, live, "k").collect()}
+    assert got == {"x": None, "y": True, "z": False}
