@@ -7,9 +7,10 @@ retrieves the template: a window that holds three quarters of a template window
 similarity 0.45 or more, so it is missed with probability (1 - 0.45) ** 16 < 1e-4. A retrieved template
 counts when at least THRESHOLD of its shingles are among the text's.
 
-Texts that lack every key word of a template cannot reach the threshold (each template's key words are
-chosen so that fewer than THRESHOLD of its shingles avoid all of them), so they are passed over before
-the windows are built. This is exact and holds at every size.
+A stretch of text that lacks every key word of a template cannot hold THRESHOLD of its shingles (key words are
+chosen so that fewer avoid all of them). So windows are built in passages around key words only, which reach
+further than any template on both sides; a text without a key word has none. This drops nothing that could
+match, and holds at every size.
 
 Defined results: texts that are null, empty or have fewer than five words match nothing; rows without a
 doc_id are not reported; rows that repeat a doc_id count as one document whose best containment is kept;
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORDS, WINDOW, BANDS, THRESHOLD = 5, 24, 16, 0.75
+#: Template minima that may stand in the plan as a set; with more, all windows' minima go to the join.
+LITERALS = 5000
 
 #: Customary notices that name a licence.
 TEMPLATES = {
@@ -82,12 +85,15 @@ def _minima(hashes: Column, starts: Column, size: int) -> Column:
     return F.transform(starts, lambda at: F.transform(hashes, lambda row: F.array_min(F.slice(row, at, size))))
 
 
-def _banded(frame: DataFrame, size: int) -> DataFrame:
+def _bands(size: int, values: list[int] | None) -> Column:
+    """(size, band, value) of all windows of one size; with ``values``, only those that have one of them."""
     stride = max(1, size // 4)
     last = F.greatest(F.size("shingles") - size + 1, F.lit(1))
     starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, F.lit(stride)), F.array(last)))
-    windows = frame.select("key", F.explode(_minima(F.col("hashes"), starts, size)).alias("minima"))
-    return windows.select("key", F.posexplode("minima").alias("band", "value")).distinct().withColumn("size", F.lit(size))
+    minima = _minima(F.col("hashes"), starts, size)
+    if values is not None:
+        minima = F.filter(minima, lambda m: F.exists(m, lambda v: v.isin(values)))
+    return F.flatten(F.transform(minima, lambda m: F.transform(m, lambda v, i: F.struct(F.lit(size).alias("size"), i.alias("band"), v.alias("value")))))
 
 
 def _hashed(frame: DataFrame) -> DataFrame:
@@ -117,13 +123,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         condition = condition | lowered.contains(w)
     possible = possible.where(condition).select(F.col("doc_id").alias("key"), _words(F.col("text")).alias("words"))
     shingled = possible.select("key", F.array_distinct(_shingles(F.col("words"))).alias("shingles")).where(F.size("shingles") > 0)
-    hashed = _hashed(shingled)
-    banded = None
-    for size in sorted({s for _, s, _ in cut}):
-        part = _banded(hashed, size)
-        banded = part if banded is None else banded.unionByName(part)
-    if banded is None:
+    reach = max([1, *(len(template_words(v)) for v in templates.values())])
+    spots = F.array_distinct(F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(keys), F.floor(i / reach).cast("int")))))
+    passages = possible.select("key", "words", F.explode(spots).alias("at")).select(
+        "key", F.slice("words", F.greatest(F.col("at") - 1, F.lit(0)) * reach + 1, F.when(F.col("at") > 0, 3 * reach).otherwise(2 * reach)).alias("passage")
+    )
+    hashed = _hashed(passages.distinct().select("key", _shingles(F.col("passage")).alias("shingles")).where(F.size("shingles") > 0))
+    values = [r["value"] for r in wanted.select("value").distinct().collect()] if len(cut) * BANDS <= LITERALS else None
+    if not cut:
         return docs.where(F.lit(False)).selectExpr("doc_id", "'' template", "0 n_shared", "0 n_template", "0.0D containment")
+    bands = F.array_distinct(F.concat(*[_bands(size, values) for size in sorted({s for _, s, _ in cut})]))
+    banded = hashed.select("key", F.explode(bands).alias("b")).select("key", "b.*")
     found = banded.join(wanted, ["size", "band", "value"]).select("key", "template").distinct()
     whole = whole.select(F.col("key").alias("template"), F.col("shingles").alias("t_shingles"))
     both = found.join(whole, "template").join(shingled, "key")
