@@ -7,7 +7,7 @@ source_system.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -286,46 +286,82 @@ def rejected_candidates(matches: DataFrame) -> DataFrame:
 
 def stitch_async(
     producers: DataFrame, consumers: DataFrame, ids: Sequence[str] = ("message_id", "correlation_id"),
-    delayed_ms: int = 2000,
+    delayed_ms: int = 2000, scope: str | None = None,
 ) -> DataFrame:
-    """Producer to consumer over message boundaries; one row per id value on either side.
-
-    Both sides (``evidence_id``, ``event_ms``, id columns) are reduced to the earliest envelope per
-    id value before the join; how many shared the value is reported. Without a counterpart the
-    transit is unknown, never a default.
+    """Producer to consumer over message boundaries: one row per consumer, and one per producer nobody consumed.
+
+    Both sides have ``evidence_id``, ``event_ms`` and id columns, tried in the order of ``ids``. A consumer
+    meets the earliest producer that holds its id value (``producer_count`` says how many do), so fan-out
+    loses nobody and no pairs are built. A producer is unmatched only if none of its ids has a consumer.
+    With ``scope`` (a column of both, a trace say), a consumer without a match is aligned by timing with the
+    earliest unmatched producer of its scope that carries no first id, and says so. Without a counterpart
+    the transit is unknown, never a default.
     """
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        keyed = None
-        for rank, i in enumerate(ids):
-            if i not in df.columns:
-                continue
-            part = df.filter(F.col(i).isNotNull()).select(
-                F.lit(rank).alias("rank"), F.lit(i).alias("id_type"), F.col(i).cast("string").alias("id_value"),
-                "evidence_id", "event_ms",
-            )
-            keyed = part if keyed is None else keyed.unionByName(part)
-        return keyed.groupBy("rank", "id_type", "id_value").agg(
-            F.min_by("evidence_id", F.struct("event_ms", "evidence_id")).alias(name),
-            F.min("event_ms").alias(f"{name}_ms"),
-            F.count(F.lit(1)).alias(f"{name}_count"),
+    c = F.col
+    ids = [i for i in ids if i in producers.columns and i in consumers.columns]
+    order = F.struct("event_ms", "evidence_id")
+
+    def key(i: str) -> Column:
+        # A missing id gets a key of its own, so that rows without one do not meet in one task.
+        return F.coalesce(c(i).cast("string"), F.concat(F.lit("\x00"), c("evidence_id").cast("string")))
+
+    rows = consumers
+    matched = None
+    for n, i in enumerate(ids):
+        held = producers.filter(c(i).isNotNull()).groupBy(c(i).cast("string").alias("_key")).agg(
+            F.min_by(F.struct(c("evidence_id").alias("producer"), "event_ms"), order).alias(f"_p{n}"), F.count(F.lit(1)).alias(f"_n{n}")
         )
-
-    joined = side(producers, "producer").join(side(consumers, "consumer"), ["rank", "id_type", "id_value"], "full")
-    both = F.col("producer").isNotNull() & F.col("consumer").isNotNull()
-    transit = F.col("consumer_ms") - F.col("producer_ms")
-    return joined.select(
-        "id_type",
-        "id_value",
-        "producer",
-        "consumer",
-        F.coalesce("producer_count", F.lit(0)).alias("producer_count"),
-        F.coalesce("consumer_count", F.lit(0)).alias("consumer_count"),
-        both.alias("correlated"),
-        F.when(both, "EXACT_MESSAGE_CORRELATION").otherwise("UNMATCHED").alias("correlation_level"),
-        transit.alias("transit_ms"),
-        (transit > delayed_ms).alias("is_delayed"),
-        F.when(both, 1.0).otherwise(0.0).alias("confidence"),
+        rows = rows.withColumn("_key", key(i)).join(held, "_key", "left").drop("_key")
+        taken = consumers.filter(c(i).isNotNull()).select(c(i).cast("string").alias("_key")).distinct().withColumn(f"_t{n}", F.lit(True))
+        matched = (producers if matched is None else matched).withColumn("_key", key(i)).join(taken, "_key", "left").drop("_key")
+
+    def first(column: Callable[[int, str], Column]) -> Column:
+        out = F.lit(None)
+        for n, i in reversed(list(enumerate(ids))):
+            out = F.when(c(f"_p{n}").isNotNull(), column(n, i)).otherwise(out)
+        return out
+
+    met = rows.select(
+        first(lambda n, i: F.lit(i)).cast("string").alias("id_type"),
+        first(lambda n, i: c(i).cast("string")).alias("id_value"),
+        first(lambda n, i: c(f"_p{n}.producer")).alias("producer"),
+        c("evidence_id").alias("consumer"),
+        F.coalesce(first(lambda n, i: c(f"_n{n}")), F.lit(0)).cast("bigint").alias("producer_count"),
+        first(lambda n, i: c(f"_p{n}.event_ms")).cast("bigint").alias("producer_ms"),
+        c("event_ms").alias("consumer_ms"),
+        *([c(scope).alias("_scope")] if scope else []),
+    )
+    loose = matched.filter(~F.greatest(F.lit(False), *[F.coalesce(f"_t{n}", F.lit(False)) for n in range(len(ids))]))
+    level = F.when(c("producer").isNotNull(), "EXACT_MESSAGE_CORRELATION").otherwise("UNMATCHED")
+    met = met.withColumn("correlation_level", level)
+    used = None
+    if scope:
+        plain = loose.filter(c(scope).isNotNull() & (c(ids[0]).isNull() if ids else F.lit(True)))
+        earliest = plain.groupBy(c(scope).alias("_scope")).agg(F.min_by(F.struct("evidence_id", "event_ms"), order).alias("_e"))
+        met = met.withColumn("_key", F.when(c("producer").isNull(), c("_scope").cast("string")))
+        met = met.withColumn("_key", F.coalesce("_key", F.concat(F.lit("\x00"), c("consumer").cast("string"))))
+        met = met.join(earliest.select(c("_scope").cast("string").alias("_key"), "_e"), "_key", "left")
+        aligned = c("_e").isNotNull() & c("consumer_ms").isNotNull()
+        met = met.withColumns({
+            "correlation_level": F.when(aligned, "PROBABILISTIC_TIMING_ALIGNMENT").otherwise(c("correlation_level")),
+            "producer": F.when(aligned, c("_e.evidence_id")).otherwise(c("producer")),
+            "producer_ms": F.when(aligned, c("_e.event_ms")).otherwise(c("producer_ms")),
+            "producer_count": F.when(aligned, F.lit(1)).otherwise(c("producer_count")).cast("bigint"),
+        })
+        used = met.filter(c("correlation_level") == "PROBABILISTIC_TIMING_ALIGNMENT").select(c("producer").alias("evidence_id")).distinct()
+    if used is not None:
+        loose = loose.join(used, "evidence_id", "left_anti")
+    alone = loose.select(
+        F.lit(None).cast("string").alias("id_type"), F.lit(None).cast("string").alias("id_value"), c("evidence_id").alias("producer"),
+        F.lit(None).cast(dict(consumers.dtypes)["evidence_id"]).alias("consumer"), F.lit(1).cast("bigint").alias("producer_count"),
+        F.lit(None).cast("bigint").alias("producer_ms"), F.lit(None).cast("bigint").alias("consumer_ms"), F.lit("UNMATCHED").alias("correlation_level"),
+    )
+    both = met.select(alone.columns).unionByName(alone)
+    transit = c("consumer_ms") - c("producer_ms")
+    return both.select(
+        "id_type", "id_value", "producer", "consumer", "producer_count", (c("correlation_level") != "UNMATCHED").alias("correlated"), "correlation_level",
+        transit.alias("transit_ms"), (transit > delayed_ms).alias("is_delayed"),
+        F.when(c("correlation_level") == "EXACT_MESSAGE_CORRELATION", 1.0).when(c("correlation_level") == "UNMATCHED", 0.0).otherwise(0.85).alias("confidence"),
     )
 
 

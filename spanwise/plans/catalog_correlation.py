@@ -178,33 +178,32 @@ def _(spark, sf):
 
 PRODUCERS = """select concat('P', cast(correlation_id as varchar(20))) as evidence_id, producer_ms as event_ms,
   case when correlation_id % 10 = 0 then concat('M', cast(correlation_id % 70 as varchar(20))) end as message_id,
-  correlation_id from messages"""
+  correlation_id, cast(floor(correlation_id / 4) as bigint) as scope from messages"""
 CONSUMERS = """select concat('C', cast(correlation_id as varchar(20))) as evidence_id, consumer_ms as event_ms,
   case when correlation_id % 10 = 0 then concat('M', cast(correlation_id % 90 as varchar(20))) end as message_id,
-  correlation_id from messages where consumer_ms is not null"""
-
-
-def _side(source: str, name: str) -> str:
-    return f"""select id_type, id_value, (list(evidence_id order by event_ms, evidence_id))[1] as {name},
-      min(event_ms) as {name}_ms, count(*) as {name}_count
-    from (select 'message_id' as id_type, message_id as id_value, evidence_id, event_ms from {source} where message_id is not null
-      union all select 'correlation_id', cast(correlation_id as varchar), evidence_id, event_ms from {source}) group by 1, 2"""
-
-
-@query(
-    "async_stitch",
-    duck_with("messages", producers=PRODUCERS, consumers=CONSUMERS, p=_side("producers", "producer"), c=_side("consumers", "consumer"))
-    + """select id_type, id_value, producer, consumer, coalesce(producer_count, 0) as producer_count,
-      coalesce(consumer_count, 0) as consumer_count, producer is not null and consumer is not null as correlated,
-      case when producer is not null and consumer is not null then 'EXACT_MESSAGE_CORRELATION' else 'UNMATCHED' end
-        as correlation_level,
-      consumer_ms - producer_ms as transit_ms, consumer_ms - producer_ms > 2000 as is_delayed,
-      case when producer is not null and consumer is not null then 1.0 else 0.0 end as confidence
-    from p full join c using (id_type, id_value)""",
-)
+  case when correlation_id % 7 <> 0 then correlation_id end as correlation_id, cast(floor(correlation_id / 4) as bigint) as scope
+  from messages where consumer_ms is not null"""
+_STITCH = """, by_m as (select message_id as v, arg_min(evidence_id, (event_ms, evidence_id)) as p, min(event_ms) as ms, count(*) as n from producers where message_id is not null group by 1),
+    by_x as (select correlation_id as v, arg_min(evidence_id, (event_ms, evidence_id)) as p, min(event_ms) as ms, count(*) as n from producers where correlation_id is not null group by 1),
+    met as (select case when m.v is not null then 'message_id' when x.v is not null then 'correlation_id' end as id_type,
+        case when m.v is not null then m.v when x.v is not null then cast(x.v as varchar) end as id_value, coalesce(m.p, x.p) as producer, c.evidence_id as consumer,
+        case when m.v is not null then m.n else coalesce(x.n, 0) end as producer_count, case when m.v is not null then m.ms else x.ms end as p_ms, c.event_ms as c_ms, c.scope
+      from consumers c left join by_m m on m.v = c.message_id left join by_x x on x.v = c.correlation_id),
+    loose as (select * from producers p where not exists (select 1 from consumers c where c.message_id = p.message_id)
+      and not exists (select 1 from consumers c where c.correlation_id = p.correlation_id)),
+    lead as (select scope, arg_min(evidence_id, (event_ms, evidence_id)) as p, arg_min(event_ms, (event_ms, evidence_id)) as ms from loose where message_id is null group by 1),
+    timed as (select met.*, l.p as t_p, l.ms as t_ms from met left join lead l on met.producer is null and l.scope = met.scope),
+    stitched as (select id_type, id_value, coalesce(producer, t_p) as producer, consumer, case when t_p is not null then 1 else producer_count end as producer_count,
+        coalesce(p_ms, t_ms) as p_ms, c_ms, case when t_p is not null then 'PROBABILISTIC_TIMING_ALIGNMENT' when producer is not null then 'EXACT_MESSAGE_CORRELATION' else 'UNMATCHED' end as correlation_level
+      from timed union all select null, null, evidence_id, null, 1, null, null, 'UNMATCHED' from loose where evidence_id not in (select t_p from timed where t_p is not null))
+    select id_type, id_value, producer, consumer, producer_count, correlation_level <> 'UNMATCHED' as correlated, correlation_level, c_ms - p_ms as transit_ms,
+      c_ms - p_ms > 2000 as is_delayed, case correlation_level when 'UNMATCHED' then 0.0 when 'EXACT_MESSAGE_CORRELATION' then 1.0 else 0.85 end as confidence from stitched"""
+
+
+@query("async_stitch", duck_with("messages", producers=PRODUCERS, consumers=CONSUMERS) + _STITCH)
 def _(spark, sf):
     view(spark, sf, "messages").createOrReplaceTempView("messages")
-    return correlate.stitch_async(spark.sql(PRODUCERS), spark.sql(CONSUMERS))
+    return correlate.stitch_async(spark.sql(PRODUCERS), spark.sql(CONSUMERS), scope="scope")
 
 
 # --- evidence graph ---------------------------------------------------------------------------

@@ -248,3 +248,12 @@ def test_a_ledger_goes_on_from_its_head(spark):
         first = ledger.ledger_append(rows.filter(f"seq < {cut}"), "chain", ["seq"], ["amount"], segment=4)
         rest = ledger.ledger_append(rows.filter(f"seq >= {cut}"), "chain", ["seq"], ["amount"], existing=first, segment=4)
         assert sorted(map(tuple, first.unionByName(rest).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_fan_out_loses_no_consumer_and_no_matched_producer(spark):
+    shape = "evidence_id string, event_ms long, message_id string, correlation_id string, trace string"
+    producers = spark.createDataFrame([("e1", 0, "m1", "x1", "t"), ("e2", 5, None, None, "u"), ("e3", 6, "m9", None, "u")], shape)
+    consumers = spark.createDataFrame([("f1", 10, "m1", None, "t"), ("f2", 20, "m1", "zz", "t"), ("f3", 30, None, None, "u"), ("f4", 40, None, None, "w")], shape)
+    got = {(r.producer, r.consumer, r.correlation_level) for r in correlate.stitch_async(producers, consumers, scope="trace").collect()}
+    exact, timed = "EXACT_MESSAGE_CORRELATION", "PROBABILISTIC_TIMING_ALIGNMENT"
+    assert got == {("e1", "f1", exact), ("e1", "f2", exact), ("e2", "f3", timed), (None, "f4", "UNMATCHED"), ("e3", None, "UNMATCHED")}
