@@ -9,9 +9,11 @@ pairs, and a pair counts only after the exact Jaccard similarity of the full set
 Large groups are never expanded into pairs: documents with equal sets are one node; in every round each
 node proposes to one node per band bucket, of the bucket's smallest component, and links are followed. Only
 nodes of *different* components that still share a bucket are then compared, signature with signature, in
-blocks of bounded size; a pair goes on to the exact check when its signatures agree in ESTIMATE of the
-coordinates (a pair of similarity 0.75 misses that with probability below 1e-4). Both sets of a pair meet
-at a salted leader, so a hot leader is spread over many tasks and two sets at a time are in memory.
+blocks of bounded size; a node goes on when its signature agrees with another component's in ESTIMATE of the
+coordinates (a pair of similarity 0.75 misses that with probability below 1e-4). Among these nodes the exact
+prefix rule finds every pair that can still reach the similarity: two such sets share one of the rarest
+shingles, at places that leave room for the overlap. Both sets of a pair meet at a salted leader, so a hot
+leader is spread over many tasks and two sets at a time are in memory.
 
 Defined results: a null text, an empty text and a text of white space have the empty set (n_shingles 0)
 and link with nothing; rows without a doc_id are ignored by linking and come back with their own null
@@ -42,6 +44,8 @@ STAR_ROUNDS = 3
 #: Nodes per salted part of a leader's proposals, and per block of a bucket.
 PART, BLOCK = 500, 1024
 ESTIMATE = 0.6
+#: Counters that order shingles by rarity; any order is exact, a good one leaves fewer pairs.
+SLOTS = 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,11 +178,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     )
 
 
-def unlinked_pairs(member: DataFrame, signed: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures are close enough, each once.
+def unlinked_nodes(member: DataFrame, signed: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+    """Nodes that share a bucket with a node of another component whose signature is close enough.
 
-    ``member`` has bucket, band, node, n_shingles and component_id. A bucket of more than BLOCK nodes is
-    compared block against block, each combination of blocks in a group of its own.
+    ``member`` has bucket, node, n_shingles and component_id. A bucket of more than BLOCK nodes is compared
+    block against block, each combination of blocks in a group of its own.
     """
     open_ = member.groupBy("bucket").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b"), F.count("*").alias("size")).where("a < b")
     left = member.join(open_.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
@@ -186,35 +190,83 @@ def unlinked_pairs(member: DataFrame, signed: DataFrame, percent: int, bands: in
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select(
         "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "band", "node", "component_id", "n_shingles", "signature",
+        "node", "component_id", "n_shingles", "signature",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ("bucket", "lo", "hi")):
-            band = group.column("band")[0].as_py()
             node, component, size, side = (group.column(c).to_numpy() for c in ("node", "component_id", "n_shingles", "side"))
             low = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(node), bands * rows)
             inside = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
             first = np.arange(len(node)) if inside else np.flatnonzero(side == 0)
             second = first if inside else np.flatnonzero(side == 1)
-            out: tuple[list, list] = ([], [])
+            close = np.zeros(len(node), bool)
             for at in first:
                 to = second[second > at] if inside else second
                 to = to[component[to] != component[at]]
-                if not len(to):
-                    continue
-                to = to[100 * np.minimum(size[to], size[at]) >= percent * np.maximum(size[to], size[at])]
-                same = low[to] == low[at]
-                near = same.mean(axis=1) >= ESTIMATE
-                to, same = to[near], same[near]
-                to = to[same.reshape(len(to), bands, rows).all(axis=2).argmax(axis=1) == band]
-                out[0].append(np.minimum(node[to], node[at]))
-                out[1].append(np.maximum(node[to], node[at]))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], ["leader", "node"])
+                if len(to):
+                    to = to[100 * np.minimum(size[to], size[at]) >= percent * np.maximum(size[to], size[at])]
+                    to = to[(low[to] == low[at]).mean(axis=1) >= ESTIMATE]
+                    close[to] = True
+                    close[at] |= len(to) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(node[close])], ["node"])
 
     keys = ("bucket", "lo", "hi")
-    return left.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "leader bigint, node bigint")
+    return left.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node bigint").distinct()
+
+
+def prefix_pairs(close: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every pair (leader, node) of different components that can reach the similarity, from full sets.
+
+    ``close`` has node, component_id and shingles. With shingles ordered from rare to frequent, two sets x and
+    y, x not larger, reach the similarity t only if one of the first |x| - ceil(2t/(1+t)|x|) + 1 shingles of x
+    is among the first |y| - ceil(t|y|) + 1 of y, and at the first such place enough of both is left.
+    """
+    spark = close.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column("shingles").to_pylist():
+                np.add.at(total, (np.frombuffer(raw, np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    slots = close.select("shingles").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(SLOTS, np.int64)
+    table[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
+    held = spark.sparkContext.broadcast(table)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for node, component, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "component_id", "shingles")), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                often = held.value[(own % np.uint64(SLOTS)).astype(np.int64)]
+                order = np.lexsort((own, often))
+                n = len(own)
+                probe, index = n + 1 + (-percent * n) // 100, n + 1 + (-2 * percent * n) // (100 + percent)
+                place = np.arange(min(probe, n))
+                place = place[often[order[place]] > 1]
+                for kept, new in zip(out, (own[order[place]].view(np.int64), place, place < index, [node] * len(place), [component] * len(place), [n] * len(place)), strict=True):
+                    kept.append(np.asarray(new))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x) if x else [], k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                ["shingle", "place", "indexed", "node", "component_id", "n"],
+            )
+
+    rows = keep(close.mapInArrow(prefix, "shingle bigint, place bigint, indexed boolean, node bigint, component_id bigint, n bigint"), "near-prefixes")
+    mixed = rows.groupBy("shingle").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select("shingle")
+    rows = rows.join(mixed, "shingle")
+    x = rows.where("indexed").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "component_id", "n", "place")])
+    y = rows.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "component_id", "n", "place")])
+    room = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    fits = (
+        (F.col("x_component_id") != F.col("y_component_id")) & (F.struct("x_n", "x_node") < F.struct("y_n", "y_node"))
+        & (100 * F.col("x_n") >= percent * F.col("y_n")) & (room * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n")))
+    )
+    pairs = x.join(y, "shingle").where(fits)
+    return pairs.select(F.least("x_node", "y_node").alias("leader"), F.greatest("x_node", "y_node").alias("node")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -224,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     solid = named.where("n_shingles > 0")
     nodes = solid.groupBy("n_shingles", "id1", "id2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = keep(nodes, "near-nodes")
-    buckets = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    buckets = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     buckets = keep(buckets.join(shared, "bucket"), "near-buckets")
     sets = keep(_sets(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id")), "near-sets")
@@ -240,8 +292,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         found = keep(verified(pairs, sets, percent), "near-links")
         links = found if links is None else links.unionByName(found)
         member = keep(_relabel(buckets, links), "near-members")
-    left = keep(unlinked_pairs(member, nodes, percent, bands, rows), "near-pairs")
-    links = links.unionByName(keep(verified(left, sets, percent), "near-links"))
+    apart = unlinked_nodes(member, nodes, percent, bands, rows).join(member.select("node", "component_id").distinct(), "node")
+    close = keep(apart.join(sets.withColumnRenamed("doc_id", "node"), "node"), "near-close")
+    links = links.unionByName(keep(verified(prefix_pairs(close, percent), sets, percent), "near-links"))
     groups = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
 
     labelled = nodes.join(groups, "node", "left").select("n_shingles", "id1", "id2", F.coalesce("component_id", "node").alias("component_id"))
