@@ -14,9 +14,10 @@ A part's base is the prefix sum of the id counts of the parts before it, taken o
 are written once the bases are known. Executors reach the files through the file system of the folder's
 own address; on a local or mounted one they are memory-mapped.
 
-A text is cut at white space before the library encodes it: this vocabulary drops white space and no
-pretoken crosses it, so pieces can be remembered (bounded cache per task). Texts with the separators
-0x1C-0x1F, on which libraries differ, are encoded whole.
+A text is cut at white space before the library encodes it, and a piece further between letters, digits and
+marks where that is certain: this vocabulary drops white space and case, and no pretoken crosses such a
+place, so parts can be remembered (bounded caches per task). Texts with the separators 0x1C-0x1F, on which
+libraries differ, are encoded whole.
 
 Defined results: a null or empty text is the end id alone; rows that repeat a doc_id are written each, in
 the order of their texts; rows without a doc_id come first; empty input writes nothing and gives no rows;
@@ -27,7 +28,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,9 +44,22 @@ from pyspark.sql import functions as F
 from spanwise.session import keep, run_folder
 
 END_ID = 1
-CACHED = 400_000
+#: Pieces of one generation of the cache; the generation before it is kept as well.
+CACHED = 500_000
 NO_ID = -(1 << 63)
 _DIFFER = re.compile("[\x1c-\x1f]")
+_RUNS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def parts_of(piece: str) -> list[str]:
+    """Strings that encode on their own to the ids of the piece: it holds no white space."""
+    if piece.isascii():
+        low = piece.lower()
+        # Apostrophes and special strings have rules that look across marks.
+        return [piece] if "'" in low or "<|" in low else _RUNS.findall(low)
+    if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return [piece]
 
 
 def _place(folder: str, name: str) -> tuple[fs.FileSystem, str]:
@@ -83,21 +99,33 @@ class Encoder:
         self.library = _tokenizer(path)
         self.kind = kind_of(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.code = "H" if self.kind == "<u2" else "I"
 
     def _fresh(self, pieces: list[str]) -> Iterator[bytes]:
         for e in self.library.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(e.ids, self.kind).tobytes()
+            ids = array(self.code, e.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            yield ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
+        if len(self.known) >= CACHED:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
         cut = [None if _DIFFER.search(t) else t.split() for t in texts]
-        fresh = list({p for own in cut if own for p in own if p not in known})
-        if len(known) + len(fresh) > CACHED:
-            known.clear()
-            fresh = list({p for own in cut if own for p in own})
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            known.update(zip(part, self._fresh(part), strict=True))
+        fresh = {p for own in cut if own for p in own if p not in known}
+        known.update([(p, old[p]) for p in fresh if p in old])
+        cuts = {p: parts_of(p) for p in fresh if p not in old}
+        if len(self.parts) >= CACHED:
+            self.parts = {}
+        parts = self.parts
+        new = list({q for own in cuts.values() for q in own if q not in parts})
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            parts.update(zip(some, self._fresh(some), strict=True))
+        known.update([(p, b"".join([parts[q] for q in own])) for p, own in cuts.items()])
         return [next(self._fresh([t])) if own is None else b"".join([known[p] for p in own]) for t, own in zip(texts, cut, strict=True)]
 
 
