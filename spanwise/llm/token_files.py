@@ -29,6 +29,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -57,7 +58,8 @@ def parts_of(piece: str) -> list[str]:
         low = piece.lower()
         # Apostrophes and special strings have rules that look across marks.
         return [piece] if "'" in low or "<|" in low else _RUNS.findall(low)
-    if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+    # Some letters become a letter and a mark, which would join the mark that follows.
+    if piece[-1] in ".,;:!?" and unicodedata.normalize("NFC", piece[:-1]).lower().isalpha():
         return [piece[:-1], piece[-1]]
     return [piece]
 
