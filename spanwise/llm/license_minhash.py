@@ -122,13 +122,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     for w in keys:
         condition = condition | lowered.contains(w)
     possible = possible.where(condition).select(F.col("doc_id").alias("key"), _words(F.col("text")).alias("words"))
-    shingled = possible.select("key", F.array_distinct(_shingles(F.col("words"))).alias("shingles")).where(F.size("shingles") > 0)
+    # Filters stay on the words: one on the shingles would be pushed down and split the text again for each of them.
+    possible = possible.where(F.size("words") >= WORDS)
+    shingled = possible.select("key", F.array_distinct(_shingles(F.col("words"))).alias("shingles"))
     reach = max([1, *(len(template_words(v)) for v in templates.values())])
     spots = F.array_distinct(F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(keys), F.floor(i / reach).cast("int")))))
     passages = possible.select("key", "words", F.explode(spots).alias("at")).select(
         "key", F.slice("words", F.greatest(F.col("at") - 1, F.lit(0)) * reach + 1, F.when(F.col("at") > 0, 3 * reach).otherwise(2 * reach)).alias("passage")
     )
-    hashed = _hashed(passages.distinct().select("key", _shingles(F.col("passage")).alias("shingles")).where(F.size("shingles") > 0))
+    hashed = _hashed(passages.where(F.size("passage") >= WORDS).distinct().select("key", _shingles(F.col("passage")).alias("shingles")))
     values = [r["value"] for r in wanted.select("value").distinct().collect()] if len(cut) * BANDS <= LITERALS else None
     if not cut:
         return docs.where(F.lit(False)).selectExpr("doc_id", "'' template", "0 n_shared", "0 n_template", "0.0D containment")
