@@ -45,7 +45,7 @@ STAR_ROUNDS = 3
 PART, BLOCK = 500, 1024
 ESTIMATE = 0.6
 #: Counters that order shingles by rarity; any order is exact, a good one leaves fewer pairs.
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,9 +232,9 @@ def prefix_pairs(close: DataFrame, percent: int = PERCENT) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    slots = close.select("shingles").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    slots = close.select("shingles").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(SLOTS, np.int64)
-    table[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
+    table[slots["slot"].to_numpy()] = slots["n"].to_numpy()
     held = spark.sparkContext.broadcast(table)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
