@@ -131,6 +131,12 @@ class Encoder:
         return [next(self._fresh([t])) if own is None else b"".join([known[p] for p in own]) for t, own in zip(texts, cut, strict=True)]
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process, so that what it remembers serves the next task too."""
+    return Encoder(path)
+
+
 @lru_cache(4)
 def kind_of(path: str) -> str:
     return "<u2" if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
@@ -149,7 +155,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, folder: str |
             if not len(batch):
                 continue
             if encoder is None:
-                encoder = Encoder(vocabulary)
+                encoder = encoder_of(vocabulary)
                 end = np.array([end_id], encoder.kind).tobytes()
                 width = np.dtype(encoder.kind).itemsize
                 system, path = _place(folder, part + ".ids")
