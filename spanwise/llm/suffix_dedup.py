@@ -181,7 +181,7 @@ def _resolved(dealt: DataFrame) -> DataFrame:
 
 
 def _contexts(open_: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
-    """The bytes of the phrases left open, with their shard."""
+    """The bytes of the phrases left open, with their shard; rows that repeat a document ask once."""
     asked = open_.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "size", "h")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def _contexts(open_: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
                     ["shard", "doc", "tie", "at", "context"],
                 )
 
-    return _key(docs).join(asked, ["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(run, "shard bigint, doc bigint, tie bigint, at bigint, context binary")
+    return _key(docs).join(asked, ["doc", "tie"]).dropDuplicates(["doc", "tie"]).select("doc", "tie", "text", "asked").mapInArrow(run, "shard bigint, doc bigint, tie bigint, at bigint, context binary")
 
 
 def repeated_windows(contexts: list[bytes], length: int = LENGTH, memory: int = 1 << 22) -> np.ndarray:

@@ -111,6 +111,16 @@ def test_suffix_dedup(spark, docs, empty, memory):
     assert suffix_dedup.spans(empty, suffix_dedup.repeats(empty)).collect() == []
 
 
+def test_a_repeated_row_that_shares_a_passage(spark):
+    """Rows of one document are no later copies of each other, also where another document opens its anchors."""
+    passage = prose(21, 60)
+    texts = {1: prose(22, 40) + passage + prose(23, 40), 2: prose(24, 40) + passage + prose(25, 40)}
+    frame = spark.createDataFrame([(1, texts[1]), (2, texts[2]), (1, texts[1]), (2, texts[2])], "doc_id bigint, text string").repartition(4)
+    want = {d: sum(flags) for d, flags in brute.removed_bytes(texts).items()}
+    got = suffix_dedup.spans(frame, suffix_dedup.repeats(frame, shard_bytes=2000)).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == sorted([*want.items()] * 2) and want[2] > 0
+
+
 def test_text_without_repeats_keeps_columns(spark, docs):
     out = suffix_dedup.without_repeats(docs, suffix_dedup.repeats(docs))
     assert out.columns == docs.columns
