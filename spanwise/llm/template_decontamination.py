@@ -2,8 +2,8 @@
 
 Words are runs of bytes outside white space, reduced to letters, digits and non-ASCII bytes. Numbers, names
 (capitalised words inside a sentence) and units (after a number) become typed placeholders; the rest is
-lower-cased. Windows of WINDOW canonical words with at least LITERAL literal ones are hashed, and windows of
-the documents are joined with those of the benchmark by hash. For every document and item the matching
+lower-cased. Windows of WINDOW canonical words with at least LITERAL literal ones are hashed, those with fewer
+by their very words, and windows of the documents are joined with those of the benchmark by hash. For every document and item the matching
 windows then have to agree on the slots: one item value always stands at one document value, and the other
 way round, which also catches re-parameterised questions and separates them from accidental templates.
 
@@ -12,8 +12,8 @@ RUN of them. ``kind`` is ``verbatim`` when every slot holds the item's own value
 
 The benchmark's window hashes filter the documents inside the scan while there are at most FILTER_MAX of
 them (counted first; 8 bytes each are broadcast); beyond that all windows go through the shuffled join. Both
-ways give the same rows. Items shorter than WINDOW words, or without a window of enough literal words, count
-as one window of all their words.
+ways give the same rows. An item shorter than WINDOW words is one window of all its words, looked for at
+every place of every document; so an item of one word is found wherever that word stands.
 
 Defined results: null and empty texts match nothing; rows without an id are ignored on both sides; rows that
 repeat an id count as one document (or item) that holds all of them; items with the same text are each
@@ -101,52 +101,74 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return of, token, np.where(number | unit | name, value, np.uint64(0))
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, width: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place, hash, number of words and slots (one row of ``width`` values) of every window.
+def _own_width(n: np.ndarray, k: int, width: int) -> np.ndarray:
+    """Which items of ``n`` words have windows of ``k`` words."""
+    return np.minimum(n, width) == k
 
-    ``whole``: texts without a window of their own give one window of all their words (up to ``width``).
+
+def windows(data: np.ndarray, offsets: np.ndarray, width: int, widths: tuple[int, ...], own: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """For every width: text, words of the text, place, hash and slots (one row of values) of every window.
+
+    Windows with LITERAL literal words are hashed by their canonical words. Others, and also all windows below
+    ``width``, are hashed by their very words, which are all slots then. ``own``: only the windows of an item.
     """
     of, token, slot = canonical(data, offsets)
     n = len(of)
+    if not n:
+        return
+    value = np.where(slot == 0, token, slot)
     first = np.searchsorted(of, np.arange(len(offsets)))
-    place = np.arange(n) - first[of] if n else of
-    left = first[of + 1] - np.arange(n) if n else of
+    place = np.arange(n) - first[of]
+    size = (first[1:] - first[:-1])[of]
     literal = np.concatenate([[0], np.cumsum(slot == 0)])
-    reach = np.minimum(left, width)
-    enough = literal[np.arange(n) + reach] - literal[:n] >= LITERAL if n else np.zeros(0, bool)
-    use = (left >= width) & enough
-    if whole:
-        bare = np.bincount(of[use], minlength=len(offsets) - 1) == 0
-        use |= bare[of] & (place == 0) if n else use
-    at = np.flatnonzero(use)
-    key = np.zeros(len(at), np.uint64)
-    slots = np.zeros((len(at), width), np.uint64)
-    for k in range(width):
-        inside = reach[at] > k
-        i = at[inside] + k
-        key[inside] = mix(key[inside] + token[i] + np.uint64(k + 1))
-        slots[inside, k] = slot[i]
-    return of[at], place[at], key, reach[at], slots
-
-
-def _window_rows(frame: DataFrame, name: str, width: int, whole: bool, wanted=None) -> DataFrame:
+    chained = own or min(widths) < width
+    loose, exact = np.zeros(n, np.uint64), np.full(n, 1, np.uint64)
+    for k in range(1, max(widths) + 1):
+        starts = max(n - k + 1, 0)
+        step = np.uint64(k)
+        loose[:starts] = mix(loose[:starts] + token[k - 1 :] + step)
+        if chained:
+            exact[:starts] = mix(exact[:starts] + value[k - 1 :] + step)
+        if k not in widths:
+            continue
+        use = size - place >= k
+        if own:
+            use &= _own_width(size, k, width)
+        at = np.flatnonzero(use)
+        enough = literal[at + k] - literal[at] >= LITERAL
+        for some, key, words_ in ((at[enough], loose, slot), (at[~enough] if k == width else at, exact, value)):
+            if not len(some):
+                continue
+            keys = key[some]
+            if key is exact and not chained:
+                # Few windows are short of literal words, so theirs are hashed alone.
+                keys = np.full(len(some), 1, np.uint64)
+                for j in range(k):
+                    keys = mix(keys + value[some + j] + np.uint64(j + 1))
+            yield of[some], size[some], place[some], keys, words_[some[:, None] + np.arange(k)]
+
+
+def _window_rows(frame: DataFrame, name: str, width: int, widths: tuple[int, ...], own: bool, wanted=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if wanted is None else wanted.value
         for batch in batches:
-            of, place, key, _, slots = windows(*text_bytes(batch.column("text")), width, whole)
-            if known is not None:
-                at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-                hit = known[at] == key if len(known) else np.zeros(len(key), bool)
-                of, place, key, slots = of[hit], place[hit], key[hit], slots[hit]
-            for k in range(0, len(of), 50_000):
-                part = slice(k, k + 50_000)
-                listed = pa.FixedSizeListArray.from_arrays(pa.array(slots[part].view(np.int64).ravel()), width).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(name).take(pa.array(of[part])), pa.array(place[part].astype(np.int64)), pa.array(key[part].view(np.int64)), listed], [name, "place", "key", "slots"]
-                )
-
-    rows = frame.where(F.col(name).isNotNull()).select(name, "text")
-    return rows.mapInArrow(run, f"{name} {dict(frame.dtypes)[name]}, place bigint, key bigint, slots array<bigint>")
+            part_of = batch.column("part")
+            for of, size, place, key, slots in windows(*text_bytes(batch.column("text")), width, widths, own):
+                if known is not None:
+                    at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                    hit = known[at] == key if len(known) else np.zeros(len(key), bool)
+                    of, size, place, key, slots = of[hit], size[hit], place[hit], key[hit], slots[hit]
+                for k in range(0, len(of), 50_000):
+                    part = slice(k, k + 50_000)
+                    rows = pa.array(of[part])
+                    listed = pa.FixedSizeListArray.from_arrays(pa.array(slots[part].view(np.int64).ravel()), slots.shape[1]).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(name).take(rows), part_of.take(rows), pa.array(size[part].astype(np.int64)), pa.array(place[part].astype(np.int64)), pa.array(key[part].view(np.int64)), listed],
+                        [name, "part", "size", "place", "key", "slots"],
+                    )
+
+    rows = frame.where(F.col(name).isNotNull()).select(name, F.xxhash64("text").alias("part"), "text")
+    return rows.mapInArrow(run, f"{name} {dict(frame.dtypes)[name]}, part bigint, size bigint, place bigint, key bigint, slots array<bigint>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover: float = COVER, run_of: int = RUN, filter_max: int = FILTER_MAX) -> DataFrame:
@@ -154,12 +176,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover: f
     spark = docs.sparkSession
     if width < LITERAL:
         raise ValueError("windows must hold the literal words asked for")
-    items = _window_rows(benchmark, "item_id", width, True).select("item_id", "key", F.col("slots").alias("item_slots")).distinct()
+    windowed = _window_rows(benchmark, "item_id", width, tuple(range(1, width + 1)), True)
+    items = windowed.select("item_id", "key", F.col("slots").alias("item_slots")).distinct()
+    widths = tuple(sorted(r["k"] for r in items.select(F.size("item_slots").alias("k")).distinct().collect())) or (width,)
     hashes = items.select("key").distinct()
     wanted = None
     if hashes.limit(filter_max + 1).count() <= filter_max:
         wanted = spark.sparkContext.broadcast(np.sort(hashes.toPandas()["key"].to_numpy(np.int64).view(np.uint64)))
-    found = _window_rows(docs, "doc_id", width, True, wanted).select("doc_id", "key", "slots")
+    found = _window_rows(docs, "doc_id", width, widths, False, wanted).select("doc_id", "key", "slots")
     both = found.join(items, "key").select("doc_id", "item_id", "key", "slots", "item_slots")
     # Slot values that stand at each other, each pair once per document and item.
     paired = (

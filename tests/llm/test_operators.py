@@ -241,6 +241,21 @@ def test_decontamination(spark, docs, empty):
     assert template_decontamination.matches(empty, items).collect() == [] and template_decontamination.matches(docs, empty.selectExpr("doc_id item_id", "text")).collect() == []
 
 
+def test_short_and_wordless_items_inside_documents(spark):
+    """Items below a window, and items of names and numbers, stand in ordinary documents; their parts and likes do not count."""
+    items = {1: "17 + 25 = 42", 2: "Ada Bela Cora Dora Emma Fred Gina Hans Ines Jan Kurt Lena", 3: "what do red apples cost", 4: "42 17"}
+    around = lambda seed, x: f"{prose(seed, 30)} {x} {prose(seed + 1, 30)}"
+    texts = {d: around(30 + 2 * d, x) for d, x in items.items()}
+    texts |= {11: "17", 12: "Ada Bela Cora Dora Emma Fred Gina Hans", 13: around(60, "Otto Bela Cora Olga Emma Paul Gina Hans Rosa Jan Kurt Lena"), 14: around(62, "18 + 25 = 43"), 15: prose(64, 5)}
+    frame = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([*items.items()], "item_id bigint, text string")
+    for filter_max in (1_000_000, 0):
+        got = {(r["doc_id"], r["item_id"], r["kind"]) for r in template_decontamination.matches(frame, bench, filter_max=filter_max).collect()}
+        assert {x for x in got if x[0] != 12} == {(d, d, "verbatim") for d in items}
+    short = {r["doc_id"]: r["coverage"] for r in template_decontamination.matches(frame, bench).where("item_id = 2").collect()}
+    assert short[2] == 1 and short.get(12, 0) < 1
+
+
 def test_stages_on_messy_and_empty_documents(spark, docs, empty, labels, tmp_path):
     folder = str(tmp_path)
     labels.write.parquet(f"{folder}/labels.parquet")
