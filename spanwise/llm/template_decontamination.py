@@ -4,8 +4,10 @@ Words are runs of bytes outside white space, reduced to letters, digits and non-
 (capitalised words inside a sentence) and units (after a number) become typed placeholders; the rest is
 lower-cased. Windows of WINDOW canonical words with at least LITERAL literal ones are hashed, those with fewer
 by their very words, and windows of the documents are joined with those of the benchmark by hash. For every document and item the matching
-windows then have to agree on the slots: one item value always stands at one document value, and the other
-way round, which also catches re-parameterised questions and separates them from accidental templates.
+windows are put together by copy: windows at one distance between the places in document and item, up to
+SHIFT words put in or left out. Inside a copy they have to agree on the slots: one item value always stands at
+one document value, and the other way round, which also catches re-parameterised questions and separates them
+from accidental templates. Copies do not mix; the best one counts.
 
 A document is contaminated by an item when windows that agree cover at least COVER of the item's windows, or
 RUN of them. ``kind`` is ``verbatim`` when every slot holds the item's own value, else ``reparameterised``.
@@ -22,17 +24,22 @@ reported; empty input gives no rows; columns other than the id and the text are
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanwise.llm.common import letter_codes, mix, owners, pieces, powers, text_bytes, words
 
 WINDOW, LITERAL, COVER, RUN = 8, 5, 0.5, 12
 FILTER_MAX = 4_000_000
+SHIFT = 2
 
 #: Words that measure, after a number.
 UNITS = (
@@ -171,39 +178,88 @@ def _window_rows(frame: DataFrame, name: str, width: int, widths: tuple[int, ...
     return rows.mapInArrow(run, f"{name} {dict(frame.dtypes)[name]}, part bigint, size bigint, place bigint, key bigint, slots array<bigint>")
 
 
+def _consistent(rows: list[tuple]) -> list[tuple]:
+    """The windows of one copy whose slots agree: one item value always stands at one document value, and back."""
+    votes: Counter = Counter()
+    for _, _, slots, item_slots in rows:
+        votes.update({(v, w) for v, w in zip(slots, item_slots, strict=True) if v})
+    best: dict[int, tuple] = {}
+    for (v, w), c in votes.items():
+        best[v] = max(best.get(v, (0, False, 0)), (c, v == w, w))
+    top: dict[int, tuple] = {}
+    for v, (c, same, w) in best.items():
+        top[w] = max(top.get(w, (0, False, 0)), (c, same, v))
+    agreed = {v: w for w, (_, _, v) in top.items()}
+    return [r for r in rows if all(not v or agreed.get(v) == w for v, w in zip(r[2], r[3], strict=True))]
+
+
+def best_copy(rows: list[tuple]) -> tuple[int, int, bool]:
+    """Windows of the item in its best copy, those of them with enough literal words, and are all slots the item's own.
+
+    ``rows``: places in a document and an item, and slots of both, of all windows that one text shares with an item's.
+    A copy is what lies at one distance between the places, give or take SHIFT words put in or left out.
+    """
+    by_distance: dict[int, list] = defaultdict(list)
+    for row in rows:
+        by_distance[row[0] - row[1]].append(row)
+    best = (0, 0, False)
+    for d in by_distance:
+        copy = _consistent([r for k in range(SHIFT + 1) for r in by_distance.get(d + k, ())])
+        held = {(r[1], len(r[3])) for r in copy}, {(r[1], len(r[3])) for r in copy if 0 in r[3]}
+        best = max(best, (len(held[0]), len(held[1]), all(r[2] == r[3] for r in copy)))
+    return best
+
+
+def _copies(both: DataFrame) -> DataFrame:
+    """Windows in the best copy of each item text in each document text."""
+    pair = ["doc_id", "item_id", "item_part", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged() -> Iterator[tuple]:
+            for key, group in groupby(flat(), key=itemgetter(0)):
+                yield (*key, *best_copy([r for _, r in group]))
+
+        def flat() -> Iterator[tuple]:
+            for batch in batches:
+                keys = zip(*(batch.column(c).to_pylist() for c in pair), strict=True)
+                values = zip(*(batch.column(c).to_pylist() for c in ("place", "item_place", "slots", "item_slots")), strict=True)
+                yield from zip(keys, values, strict=True)
+
+        found = judged()
+        while some := list(islice(found, 10_000)):
+            columns = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
+    kinds = dict(both.dtypes)
+    text = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, item_part bigint, part bigint, n_windows bigint, n_loose bigint, same boolean"
+    schema = to_arrow_schema(both.sparkSession.createDataFrame([], text).schema)
+    return both.repartition(*pair).sortWithinPartitions(*pair).select(*pair, "place", "item_place", "slots", "item_slots").mapInArrow(run, text)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover: float = COVER, run_of: int = RUN, filter_max: int = FILTER_MAX) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, coverage and kind of every contaminated pair."""
     spark = docs.sparkSession
     if width < LITERAL:
         raise ValueError("windows must hold the literal words asked for")
     windowed = _window_rows(benchmark, "item_id", width, tuple(range(1, width + 1)), True)
-    items = windowed.select("item_id", "key", F.col("slots").alias("item_slots")).distinct()
+    items = windowed.select("item_id", F.col("part").alias("item_part"), F.col("place").alias("item_place"), "key", F.col("slots").alias("item_slots")).distinct()
     widths = tuple(sorted(r["k"] for r in items.select(F.size("item_slots").alias("k")).distinct().collect())) or (width,)
     hashes = items.select("key").distinct()
     wanted = None
     if hashes.limit(filter_max + 1).count() <= filter_max:
         wanted = spark.sparkContext.broadcast(np.sort(hashes.toPandas()["key"].to_numpy(np.int64).view(np.uint64)))
-    found = _window_rows(docs, "doc_id", width, widths, False, wanted).select("doc_id", "key", "slots")
-    both = found.join(items, "key").select("doc_id", "item_id", "key", "slots", "item_slots")
-    # Slot values that stand at each other, each pair once per document and item.
-    paired = (
-        both.where(F.exists("slots", lambda v: v != 0))
-        .select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "item_slots")).alias("z")).where("z.slots <> 0")
-        .groupBy("doc_id", "item_id", F.col("z.slots").alias("v"), F.col("z.item_slots").alias("w")).agg(F.count("*").alias("c"))
-    )
-    by_doc = paired.groupBy("doc_id", "item_id", "v").agg(F.max(F.struct("c", F.col("w"))).alias("best")).select("doc_id", "item_id", "v", "best")
-    agreed = by_doc.groupBy("doc_id", "item_id", F.col("best.w").alias("w")).agg(F.max(F.struct("best.c", "v")).alias("top")).select("doc_id", "item_id", "w", "top.v")
-    # With the agreed slot values in one small map per pair, windows that contradict it do not count.
-    maps = agreed.groupBy("doc_id", "item_id").agg(F.map_from_entries(F.collect_set(F.struct("v", "w"))).alias("m"))
-    judged = both.join(maps, ["doc_id", "item_id"], "left").where(
-        F.coalesce(F.forall(F.arrays_zip("slots", "item_slots"), lambda z: (z["slots"] == 0) | (F.col("m")[z["slots"]] == z["item_slots"])), F.lit(False))
-    )
-    own = judged.select("doc_id", "item_id", "key", F.forall(F.arrays_zip("slots", "item_slots"), lambda z: z["slots"] == z["item_slots"]).alias("same"))
-    counted = own.groupBy("doc_id", "item_id", "key").agg(F.max("same").alias("same")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.min("same").alias("same"))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("key").alias("item_windows"))
+    found = _window_rows(docs, "doc_id", width, widths, False, wanted).select("doc_id", "part", "place", "key", "slots")
+    copies = _copies(found.join(items, "key"))
+    # Of the texts of one document the best copy counts; the texts of one item add up.
+    best = copies.groupBy("doc_id", "item_id", "item_part").agg(F.max(F.struct("n_windows", "n_loose", "same")).alias("best"))
+    counted = best.groupBy("doc_id", "item_id").agg(F.sum("best.n_windows").alias("n_windows"), F.sum("best.n_loose").alias("n_loose"), F.min("best.same").alias("same"))
+    each = items.groupBy("item_id", "item_part", "item_place", F.size("item_slots")).agg(F.max(F.array_contains("item_slots", 0)).alias("loose"))
+    sizes = each.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.count_if("loose").alias("loose_windows"))
+    # A re-parameterised copy cannot hold the windows that are matched by their very words.
+    coverage = F.greatest(F.col("n_windows") / F.col("item_windows"), F.try_divide("n_loose", "loose_windows"))
     return (
-        counted.join(sizes, "item_id").where((F.col("n_windows") >= cover * F.col("item_windows")) | (F.col("n_windows") >= run_of))
-        .select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"))
+        counted.join(sizes, "item_id").withColumn("coverage", coverage).where((F.col("coverage") >= cover) | (F.col("n_windows") >= run_of))
+        .select("doc_id", "item_id", "n_windows", "item_windows", "coverage", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"))
     )
 
 

@@ -256,6 +256,17 @@ def test_short_and_wordless_items_inside_documents(spark):
     assert short[2] == 1 and short.get(12, 0) < 1
 
 
+def test_several_copies_of_one_item(spark):
+    """Copies with other slot values are judged one by one, however many a document holds."""
+    item = "On monday the baker Anna sold 12 loaves for 3 dollars each and then Anna paid 7 dollars for flour so how much money is left at the end of the day"
+    like = lambda name, a, b, c: item.replace("Anna", name).replace("12", a).replace("for 3", f"for {b}").replace("paid 7", f"paid {c}")
+    copies = [like("Bruno", "40", "5", "9"), like("Carla", "41", "6", "8"), like("Dora", "9", "40", "5"), like("Emil", "5", "9", "40"), like("Gina", "6", "41", "12")]
+    texts = [(1, ". ".join(copies)), (2, f"{copies[0]}. {item}"), (3, ". ".join(copies * 3))]
+    frame, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["coverage"], r["kind"]) for r in template_decontamination.matches(frame, bench).collect()}
+    assert got == {1: (1, "reparameterised"), 2: (1, "verbatim"), 3: (1, "reparameterised")}
+
+
 def test_stages_on_messy_and_empty_documents(spark, docs, empty, labels, tmp_path):
     folder = str(tmp_path)
     labels.write.parquet(f"{folder}/labels.parquet")
