@@ -9,8 +9,10 @@ SHIFT words put in or left out. Inside a copy they have to agree on the slots: o
 one document value, and the other way round, which also catches re-parameterised questions and separates them
 from accidental templates. Copies do not mix; the best one counts.
 
-A document is contaminated by an item when windows that agree cover at least COVER of the item's windows, or
-RUN of them. ``kind`` is ``verbatim`` when every slot holds the item's own value, else ``reparameterised``.
+A document is contaminated by an item when windows that agree cover at least COVER of the item's words (of those
+in windows with enough literal words, if that is more) and WINDOW words (the whole of shorter items), or RUN words
+in a row. So one changed word hides no item of 12 words or more; in one of 9 to 11 words it does unless WINDOW words
+in a row are left. ``coverage`` is the covered share of the words. ``kind`` is ``verbatim`` when every slot holds the item's own value, else ``reparameterised``.
 
 The benchmark's window hashes filter the documents inside the scan while there are at most FILTER_MAX of
 them (counted first; 8 bytes each are broadcast); beyond that all windows go through the shuffled join. Both
@@ -25,7 +27,7 @@ reported; empty input gives no rows; columns other than the id and the text are
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby, islice
 from operator import itemgetter
 
@@ -37,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanwise.llm.common import letter_codes, mix, owners, pieces, powers, text_bytes, words
 
-WINDOW, LITERAL, COVER, RUN = 8, 5, 0.5, 12
+WINDOW, LITERAL, COVER, RUN = 8, 5, 0.5, 13
 FILTER_MAX = 4_000_000
 SHIFT = 2
 
@@ -109,8 +111,12 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _own_width(n: np.ndarray, k: int, width: int) -> np.ndarray:
-    """Which items of ``n`` words have windows of ``k`` words."""
-    return np.minimum(n, width) == k
+    """Which items of ``n`` words have windows of ``k`` words.
+
+    One changed word leaves 12 to 15 words without enough whole windows; of the parts beside it, one holds ``width``
+    words or both hold ``n - width``.
+    """
+    return (np.minimum(n, width) == k) | ((n >= width + width // 2) & (n < 2 * width) & (k == n - width))
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, width: int, widths: tuple[int, ...], own: bool) -> Iterator[tuple[np.ndarray, ...]]:
@@ -193,8 +199,19 @@ def _consistent(rows: list[tuple]) -> list[tuple]:
     return [r for r in rows if all(not v or agreed.get(v) == w for v, w in zip(r[2], r[3], strict=True))]
 
 
-def best_copy(rows: list[tuple]) -> tuple[int, int, bool]:
-    """Windows of the item in its best copy, those of them with enough literal words, and are all slots the item's own.
+def _covered(starts_ends: Iterable[tuple[int, int]]) -> tuple[int, int]:
+    """Words in the union of ranges, and in its longest stretch."""
+    total, longest, lo, hi = 0, 0, 0, 0
+    for a, b in sorted(starts_ends):
+        if a > hi:
+            total, longest, lo, hi = total + hi - lo, max(longest, hi - lo), a, b
+        hi = max(hi, b)
+    return total + hi - lo, max(longest, hi - lo)
+
+
+def best_copy(rows: list[tuple]) -> tuple[int, int, int, int, bool]:
+    """Words of the item covered in its best copy, those covered by windows with enough literal words, the longest run
+    of consecutive words in any copy, the windows, and are all slots the item's own.
 
     ``rows``: places in a document and an item, and slots of both, of all windows that one text shares with an item's.
     A copy is what lies at one distance between the places, give or take SHIFT words put in or left out.
@@ -202,12 +219,15 @@ def best_copy(rows: list[tuple]) -> tuple[int, int, bool]:
     by_distance: dict[int, list] = defaultdict(list)
     for row in rows:
         by_distance[row[0] - row[1]].append(row)
-    best = (0, 0, False)
+    best, run = (0, 0, 0, False), 0
     for d in by_distance:
         copy = _consistent([r for k in range(SHIFT + 1) for r in by_distance.get(d + k, ())])
-        held = {(r[1], len(r[3])) for r in copy}, {(r[1], len(r[3])) for r in copy if 0 in r[3]}
-        best = max(best, (len(held[0]), len(held[1]), all(r[2] == r[3] for r in copy)))
-    return best
+        held = [(r[1], r[1] + len(r[3])) for r in copy]
+        loose = [x for x, r in zip(held, copy, strict=True) if 0 in r[3]]
+        best = max(best, (_covered(held)[0], _covered(loose)[0], len(set(held)), all(r[2] == r[3] for r in copy)))
+        run = max(run, _covered([x for x, r in zip(held, copy, strict=True) if r[0] - r[1] == d])[1])
+    words_, loose_words, n_windows, same = best
+    return words_, loose_words, run, n_windows, same
 
 
 def _copies(both: DataFrame) -> DataFrame:
@@ -231,7 +251,7 @@ def _copies(both: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], names=schema.names)
 
     kinds = dict(both.dtypes)
-    text = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, item_part bigint, part bigint, n_windows bigint, n_loose bigint, same boolean"
+    text = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, item_part bigint, part bigint, n_words bigint, n_loose bigint, run bigint, n_windows bigint, same boolean"
     schema = to_arrow_schema(both.sparkSession.createDataFrame([], text).schema)
     return both.repartition(*pair).sortWithinPartitions(*pair).select(*pair, "place", "item_place", "slots", "item_slots").mapInArrow(run, text)
 
@@ -251,14 +271,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover: f
     found = _window_rows(docs, "doc_id", width, widths, False, wanted).select("doc_id", "part", "place", "key", "slots")
     copies = _copies(found.join(items, "key"))
     # Of the texts of one document the best copy counts; the texts of one item add up.
-    best = copies.groupBy("doc_id", "item_id", "item_part").agg(F.max(F.struct("n_windows", "n_loose", "same")).alias("best"))
-    counted = best.groupBy("doc_id", "item_id").agg(F.sum("best.n_windows").alias("n_windows"), F.sum("best.n_loose").alias("n_loose"), F.min("best.same").alias("same"))
-    each = items.groupBy("item_id", "item_part", "item_place", F.size("item_slots")).agg(F.max(F.array_contains("item_slots", 0)).alias("loose"))
-    sizes = each.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.count_if("loose").alias("loose_windows"))
-    # A re-parameterised copy cannot hold the windows that are matched by their very words.
-    coverage = F.greatest(F.col("n_windows") / F.col("item_windows"), F.try_divide("n_loose", "loose_windows"))
+    best = copies.groupBy("doc_id", "item_id", "item_part").agg(F.max(F.struct("n_words", "n_loose", "n_windows", "same")).alias("best"), F.max("run").alias("run"))
+    sums = [F.sum(f"best.{c}").alias(c) for c in ("n_words", "n_loose", "n_windows")]
+    counted = best.groupBy("doc_id", "item_id").agg(*sums, F.max("run").alias("run"), F.min("best.same").alias("same"))
+    place = F.explode(F.sequence("item_place", F.col("item_place") + F.size("item_slots") - 1)).alias("word")
+    each = items.select("item_id", "item_part", F.array_contains("item_slots", 0).alias("loose"), place).groupBy("item_id", "item_part", "word").agg(F.max("loose").alias("loose"))
+    item_words = each.groupBy("item_id").agg(F.count("*").alias("item_words"), F.count_if("loose").alias("loose_words"))
+    sizes = items.select("item_id", "item_part", "item_place", F.size("item_slots")).distinct().groupBy("item_id").agg(F.count("*").alias("item_windows")).join(item_words, "item_id")
+    # A re-parameterised copy cannot hold the words that only windows of few literal words cover.
+    coverage = F.greatest(F.col("n_words") / F.col("item_words"), F.try_divide("n_loose", "loose_words"))
+    enough = (F.col("coverage") >= cover) & (F.col("n_words") >= F.least("item_words", F.lit(width)))
     return (
-        counted.join(sizes, "item_id").withColumn("coverage", coverage).where((F.col("coverage") >= cover) | (F.col("n_windows") >= run_of))
+        counted.join(sizes, "item_id").withColumn("coverage", coverage).where(enough | (F.col("run") >= run_of))
         .select("doc_id", "item_id", "n_windows", "item_windows", "coverage", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"))
     )
 

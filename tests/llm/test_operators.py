@@ -267,6 +267,21 @@ def test_several_copies_of_one_item(spark):
     assert got == {1: (1, "reparameterised"), 2: (1, "verbatim"), 3: (1, "reparameterised")}
 
 
+def test_changed_words_and_excerpts(spark):
+    """One changed ordinary word anywhere in an item of 12 to 22 words, and excerpts of 13 words, are found; 12 words of 31 are not."""
+    items = {n: prose(100 + n, n) for n in (*range(12, 23), 31)}
+    texts, want = [], set()
+    for n, item in items.items():
+        own = item.split(" ")
+        for k in range(n):
+            texts.append((n * 100 + k, f"{prose(7, 20)} {' '.join([*own[:k], 'zzz', *own[k + 1 :]])} {prose(8, 20)}"))
+            want.add((n * 100 + k, n))
+    own = items[31].split(" ")
+    texts += [(1, f"{prose(7, 20)} {' '.join(own[9:22])} {prose(8, 20)}"), (2, f"{prose(7, 20)} {' '.join(own[9:21])} {prose(8, 20)}")]
+    frame, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([*items.items()], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in template_decontamination.matches(frame, bench).collect()} == want | {(1, 31)}
+
+
 def test_stages_on_messy_and_empty_documents(spark, docs, empty, labels, tmp_path):
     folder = str(tmp_path)
     labels.write.parquet(f"{folder}/labels.parquet")
