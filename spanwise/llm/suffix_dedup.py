@@ -13,9 +13,12 @@ The corpus is cut into shards that hold every pair of equal strings, and only wh
 3. The remaining dictionary entries of a shard are fetched and all their suffixes are sorted by external
    induced sorting (``induced_sort``); runs of suffixes whose common prefix reaches LENGTH are equal windows,
    and all but the first of a run repeat it.
+4. An anchor with more contexts than fit a quarter of a shard (a line shorter than LENGTH between ever other
+   neighbours) is dealt on: each window of its contexts goes by its own hashes, and the first of equal ones stays.
 
-Contexts count as equal when two independent 64-bit hashes agree. Shards hold about SHARD bytes of text; the
-sorter spills, so a shard may exceed memory.
+Contexts and windows count as equal when two independent 64-bit hashes agree. Shards hold about SHARD bytes of
+text and no anchor weighs more than a quarter of that. The sorter spills its text and queues, but keeps types
+and places of a shard in memory, at tens of bytes a symbol: a shard has to fit in memory, the corpus has not.
 
 Defined results: a null or empty text has no bytes and none removed; rows without a doc_id come before all
 others; rows that repeat a doc_id with the same text count as one document and come back each, with other
@@ -254,14 +257,48 @@ def _sorted_shards(contexts: DataFrame, length: int, memory: int) -> DataFrame:
     return ordered.mapInArrow(run, "doc bigint, tie bigint, at bigint, size bigint")
 
 
+def _hashed(contexts: DataFrame, length: int) -> DataFrame:
+    """Intervals that repeat earlier windows, from two 64-bit hashes of every window of the contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = letter_codes(False)
+        for batch in batches:
+            for lo in range(0, len(batch), 5_000):
+                part = batch.slice(lo, 5_000)
+                data, offsets = text_bytes(part.column("context").cast(pa.large_binary()).cast(pa.binary()))
+                sizes = np.diff(offsets) - length + 1
+                of = np.repeat(np.arange(len(part)), sizes)
+                inside = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                start = offsets[of] + inside
+                up, down = powers(len(data) + 1)
+                keys = []
+                for table in (codes, mix(codes)):
+                    sums = np.zeros(len(data) + 1, np.uint64)
+                    np.cumsum(table[data] * down[: len(data)], out=sums[1:])
+                    keys.append(pa.array(mix((sums[start + length] - sums[start]) * up[start]).view(np.int64)))
+                rows = pa.array(of)
+                at = part.column("at").to_numpy()[of] + inside
+                yield pa.RecordBatch.from_arrays([*keys, part.column("doc").take(rows), pa.array(at), part.column("tie").take(rows)], ["h", "c", "doc", "at", "tie"])
+
+    windows = contexts.select("doc", "tie", "at", "context").mapInArrow(run, "h bigint, c bigint, doc bigint, at bigint, tie bigint")
+    own = F.struct("doc", "at", "tie")
+    first = windows.groupBy("h", "c").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return windows.join(first, ["h", "c"]).where(own != F.col("first")).select("doc", "tie", "at", F.lit(length).cast("bigint").alias("size"))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD, memory: int = 1 << 22) -> DataFrame:
     """doc, tie and the intervals (at, size) of bytes to remove, one row per document that has any."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     found = keep(_resolved(_dealt(docs, shards, length, anchor)), "suffix-phrases")
-    contexts = _contexts(found.where("h is not null"), docs, shards)
-    sorted_ = keep(_sorted_shards(contexts, length, memory), "suffix-intervals")
-    every = found.where("h is null").select("doc", "tie", "at", "size").unionByName(sorted_)
+    open_, settled = found.where("h is not null"), found.where("h is null").select("doc", "tie", "at", "size")
+    most = max(1, shard_bytes // (4 * (2 * length - anchor)))
+    hot = keep(open_.groupBy("h").count().where(F.col("count") > most).select("h"), "suffix-hot")
+    if not hot.isEmpty():
+        settled = settled.unionByName(_hashed(keep(_contexts(open_.join(hot, "h", "left_semi"), docs, shards), "suffix-hot-contexts"), length))
+        open_ = open_.join(hot, "h", "left_anti")
+    sorted_ = keep(_sorted_shards(_contexts(open_, docs, shards), length, memory), "suffix-intervals")
+    every = settled.unionByName(sorted_)
     return every.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "size")).alias("gone"))
 
 

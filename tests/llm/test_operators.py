@@ -121,6 +121,21 @@ def test_a_repeated_row_that_shares_a_passage(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == sorted([*want.items()] * 2) and want[2] > 0
 
 
+def test_a_hot_line_between_other_neighbours(spark, monkeypatch):
+    """No shard gets the contexts of a line that is in every document; windows longer than the line are still found."""
+    lines, shards = (prose(41, 16)[:70], prose(42, 30)[:120]), []
+    texts = {d: f"{prose(500 + d, 40)}\n{lines[d % 2]}\n{prose(500 + d - d % 5, 40)}" for d in range(60)}
+    frame = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    sort = suffix_dedup._sorted_shards
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", lambda contexts, *rest: (shards.append(contexts.groupBy("shard").agg(F.sum(F.length("context"))).collect()), sort(contexts, *rest))[1])
+    got = suffix_dedup.spans(frame, suffix_dedup.repeats(frame, shard_bytes=4000)).collect()
+    want = brute.removed_bytes(texts)
+    for r in got:
+        raw, flags = texts[r["doc_id"]].encode(), want[r["doc_id"]]
+        assert (r["n_removed"], r["kept_sha256"]) == (sum(flags), hashlib.sha256(bytes(b for b, f in zip(raw, flags, strict=True) if not f)).hexdigest()), r["doc_id"]
+    assert max((size for _, size in shards[0]), default=0) <= 4000
+
+
 def test_text_without_repeats_keeps_columns(spark, docs):
     out = suffix_dedup.without_repeats(docs, suffix_dedup.repeats(docs))
     assert out.columns == docs.columns
