@@ -623,6 +623,18 @@ def _(spark, sf):
     return fleet.journey_rti(scored, {"svc-0": 0.5, "svc-1": 0.3, "svc-2": 0.2})
 
 
+@query(
+    "journey_rti_all",
+    duck_with("spans", scores=_SCORES)
+    + f"""select case when count(performance) = count(*) then round(sum({_RTI} * case service when 'svc-0' then 0.4 when 'svc-1' then 0.3
+      when 'svc-2' then 0.2 else 0.1 end), 1) end as weighted_rti, count(*) as journeys from scores""",
+)
+def _(spark, sf):
+    # Every service, also the one with an unknown dimension.
+    scored = fleet.rti(_scores(spark, sf)).withColumnRenamed("service", "journey")
+    return fleet.journey_rti(scored, {"svc-0": 0.4, "svc-1": 0.3, "svc-2": 0.2, "svc-3": 0.1})
+
+
 @query(
     "storage_report",
     duck_with("spans")
@@ -636,6 +648,37 @@ def _(spark, sf):
     return report.filter("measure <> 'bytes'")
 
 
+def _json_bytes() -> str:
+    """Bytes of a span as JSON, nulls left out, in SQL."""
+    texts = "trace_id span_id parent_span_id service name status service_version artifact_digest deployment_environment".split()
+    numbers = "kind duration_ms observed_ms received_ms otel_status_code start_ns end_ns ingest_seq".split()
+    parts = [f"coalesce(strlen({c}::varchar) + {len(c) + 4 + 2 * (c in texts)}, 0)" for c in texts + numbers]
+    attributes = {
+        "http.response.status_code": "http_status", "db.connection_pool.saturation_pct": "db_pool_pct", "db.cpu_utilization_pct": "db_cpu_pct",
+        "db.query.fingerprint": "db_fingerprint", "db.lock_wait_ms": "db_lock_wait_ms", "db.holding_lock_pid": "db_holder_pid",
+        "db.blocking_trace_id": "db_blocking_trace", "client.package": "client_package",
+    }
+    strings = ("db_fingerprint", "db_blocking_trace", "client_package")
+    for key, c in attributes.items():
+        kind = "stringValue" if c in strings else "intValue"
+        around = len('{"key":"' + key + '","value":{"' + kind + '":""}}') + 1
+        parts.append(f"coalesce(strlen({c}::varchar) + {around}, 0)")
+    none = f"coalesce({', '.join(f'{c}::varchar' for c in attributes.values())}) is null"
+    return " + ".join(parts) + f" + {len('{"attributes":[]}')} - case when {none} then 0 else 1 end"
+
+
+@query(
+    "storage_report_all",
+    duck_with("spans")
+    + f"""select measure, used, maximum, case when used > maximum then 'EXCEEDED' else 'WITHIN' end as state from (
+      select 'traces' as measure, count(distinct trace_id) as used, 10000 as maximum from spans
+      union all select 'spans', count(*), 100000 from spans
+      union all select 'bytes', sum({_json_bytes()})::bigint, {32 << 20} from spans)""",
+)
+def _(spark, sf):
+    return fleet.storage_report(spans(spark, sf), {"traces": 10000, "spans": 100000, "bytes": 32 << 20})
+
+
 _NOW = 946684800000
 
 
