@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, quality_qda, quality_sketch, suffix_dedup, template_decontamination, token_files, toxicity_kn
+from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, periodic_runs, quality_qda, quality_sketch, suffix_dedup, template_decontamination, token_files, toxicity_kn
 from spanwise.llm.common import small_batches, table
 from spanwise.session import keep
 
@@ -96,3 +97,16 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.spans(docs, suffix_dedup.repeats(docs))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document: n_runs, the strongest one, digests of all runs and of the collapsed text."""
+    small_batches(spark)
+    found = periodic_runs.runs(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
