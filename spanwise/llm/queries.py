@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, periodic_runs, quality_qda, quality_sketch, suffix_dedup, template_decontamination, token_files, toxicity_kn
+from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, periodic_runs, quality_qda, quality_sketch, source_mix, suffix_dedup, template_decontamination, token_files, toxicity_kn
 from spanwise.llm.common import small_batches, table
 from spanwise.session import keep
 
@@ -110,3 +110,12 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(periodic_runs.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document: doc_id, size, source_size, target, taken."""
+    return source_mix.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
+
+
+ORACLES["op11_source_mix"] = source_mix.oracle()
