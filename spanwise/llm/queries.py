@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, periodic_runs, quality_qda, quality_sketch, source_mix, suffix_dedup, template_decontamination, token_files, toxicity_kn
+from spanwise.llm import bpe_segment_tree, language_hd, license_minhash, minhash_circulant, periodic_runs, phrase_mining, quality_qda, quality_sketch, source_mix, suffix_dedup, template_decontamination, token_files, toxicity_kn
 from spanwise.llm.common import small_batches, table
 from spanwise.session import keep
 
@@ -119,3 +119,13 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_source_mix"] = source_mix.oracle()
+
+
+@query
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language: lang, rank, phrase, a, l, r, n, score."""
+    small_batches(spark)
+    return phrase_mining.phrases(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrase_mining"] = phrase_mining.oracle()
