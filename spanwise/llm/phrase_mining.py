@@ -2,9 +2,9 @@
 
 Text is cut into pieces at marks and line ends, pieces into words, A-Z lower-cased; every language is on its own.
 
-1. *Coding.* Each Arrow batch is tokenised once: its distinct words with their counts, and the sequence as
-   numbers into them. The counts give the vocabulary; the distinct words of a batch (not its text) are joined with the
-   frequent ones, and the sequence is rewritten in their numbers. Words below the least count become 0, as
+1. *Coding.* Text is tokenised once, in chunks of some megabytes: the distinct words with their counts, and the
+   sequence as numbers into them. The counts give the vocabulary; a chunk's distinct words (not its text) are joined with
+   the frequent ones, and the sequence is rewritten in their numbers. Words below the least count become 0, as
    piece ends do: no phrase that counts holds them.
 2. *Vertical partitioning.* Every position is a suffix, cut at ``DEPTH`` words or the next 0. Suffixes are grouped by
    their first word. A prefix with more than an eighth of a group's budget is extended by its next word, and
@@ -45,8 +45,8 @@ from spanwise.session import run_folder
 DEPTH, LEAST, PERCENT, TOP = 5, 100, 100, 2000
 BUDGET = 4_000_000
 PREFIXES = 4_000_000
-#: Positions that are dealt together.
-CHUNK = 2_000_000
+#: Bytes of text that share a list of distinct words, and positions that are dealt together.
+CODED, CHUNK = 32 << 20, 1_000_000
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n \n\n\n\n")
 
 
@@ -57,24 +57,35 @@ def _written(frame: DataFrame, name: str) -> DataFrame:
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """One row per batch and language: its distinct words, their counts, and the words in sequence as places from 1 (0: a cut)."""
+    """One row per chunk of text and language: its distinct words, their counts, and the words in sequence as places from 1 (0: a cut)."""
+
+    def flushed(places: dict[str, dict], codes: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for lang, own in places.items():
+            sequence = np.concatenate(codes[lang])
+            if len(own) > 1:
+                yield pa.RecordBatch.from_pydict({
+                    "lang": [lang], "words": pa.array([[w.decode() for w in own][1:]], pa.list_(pa.string())),
+                    "counts": pa.array([np.bincount(sequence)[1:]], pa.list_(pa.int64())), "codes": pa.array([sequence.tobytes()], pa.binary()),
+                })
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, codes, size = {}, defaultdict(list), 0
         for batch in batches:
             by_lang = defaultdict(list)
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if text:
                     by_lang[lang].append(text)
+                    size += len(text)
             for lang, texts in by_lang.items():
-                tokens = filter(None, b"\n".join(texts).translate(_FOLD).replace(b"\n", b" \n ").split(b" "))
-                places = defaultdict(count(1).__next__)
-                places[b"\n"] = 0
-                codes = np.fromiter(map(places.__getitem__, tokens), np.uint32)
-                if len(places) > 1:
-                    yield pa.RecordBatch.from_pydict({
-                        "lang": [lang], "words": pa.array([[w.decode() for w in places][1:]], pa.list_(pa.string())),
-                        "counts": pa.array([np.bincount(codes)[1:]], pa.list_(pa.int64())), "codes": pa.array([codes.tobytes()], pa.binary()),
-                    })
+                if lang not in places:
+                    places[lang] = defaultdict(count(1).__next__)
+                    places[lang][b"\n"] = 0
+                tokens = filter(None, b"\n".join([b"", *texts]).translate(_FOLD).replace(b"\n", b" \n ").split(b" "))
+                codes[lang].append(np.fromiter(map(places[lang].__getitem__, tokens), np.uint32))
+            if size >= CODED:
+                yield from flushed(places, codes)
+                places, codes, size = {}, defaultdict(list), 0
+        yield from flushed(places, codes)
 
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(code, "lang string, words array<string>, counts array<long>, codes binary")
@@ -101,17 +112,30 @@ def sequences(batches: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return _written(joined.select("codes", "size", F.col("k.place").alias("places"), F.col("k.id").alias("ids")).mapInArrow(recode, "words binary"), "phrase-words")
 
 
+def _between_cuts(words: np.ndarray) -> Iterator[np.ndarray]:
+    """A sequence in parts of about CHUNK positions, each but the last ending with a 0."""
+    at = 0
+    while len(words) - at > CHUNK:
+        zeros = np.flatnonzero(words[at : at + CHUNK] == 0)
+        if not len(zeros):
+            zeros = CHUNK + np.flatnonzero(words[at + CHUNK :] == 0)[:1]
+        stop = at + int(zeros[-1]) + 1 if len(zeros) else len(words)
+        yield words[at:stop]
+        at = stop
+    yield words[at:]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The sequences of a task, some millions of positions at a time, with a cut between any two."""
+    """The sequences of a task, about CHUNK positions at a time, with a cut between any two."""
     held, size = [], 0
     for batch in batches:
         for value in batch.column("words"):
-            words = np.frombuffer(value.as_buffer(), np.uint32)
-            held += [words, np.zeros(1, np.uint32)]
-            size += len(words) + 1
-            if size >= CHUNK:
-                yield np.concatenate(held)
-                held, size = [], 0
+            for words in _between_cuts(np.frombuffer(value.as_buffer(), np.uint32)):
+                if size + len(words) > CHUNK and held:
+                    yield np.concatenate(held)
+                    held, size = [], 0
+                held += [words, np.zeros(1, np.uint32)]
+                size += len(words) + 1
     if held:
         yield np.concatenate(held)
 
@@ -194,8 +218,9 @@ def _extend(words: DataFrame, vocabulary: DataFrame, above: int, depth: int) ->
                         key |= place.astype(np.uint64) << np.uint64(32)
                     place = _looked_up(key, shared.value[d])
                     rows, place = rows[place >= 0], place[place >= 0]
-                following = padded[rows + level]
-                keys = (place.astype(np.uint64) << np.uint64(32) | following)[following != 0]
+                # A phrase is no more frequent than the one that lacks its first word.
+                both = np.flatnonzero(np.diff(rows) == 1)
+                keys = place[both].astype(np.uint64) << np.uint64(32) | padded[rows[both] + level]
                 keys, n = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], ["key", "f"])
 
