@@ -26,6 +26,8 @@ columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import sys
@@ -42,12 +44,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwise.llm.common import held
 from spanwise.session import keep, run_folder
 
 END_ID = 1
-#: Pieces of one generation of the cache; the generation before it is kept as well.
-CACHED = 500_000
+#: Bytes of one generation of the cache (the generation before it is kept as well), of one entry beside its text
+#: and ids, and the length up to which a piece is remembered.
+CACHED, ENTRY, LONGEST = 64 << 20, 170, 128
 NO_ID = -(1 << 63)
+#: The kind of vocabulary file whose texts may be cut into pieces; texts are encoded whole with any other.
+NORMALIZERS = ["NFC", ("\\s+", " "), "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+END_OF_WORD = "</w>"
 _DIFFER = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -94,6 +102,18 @@ def _tokenizer(path: str):
     return library
 
 
+def _may_be_cut(spec: dict) -> bool:
+    """Whether words of such a file never depend on what is beyond white space or a change of kind of character."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    found = [(n["pattern"].get("Regex"), n["content"]) if n["type"] == "Replace" else n["type"] for n in steps]
+    cutters = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    patterns = [c["pattern"].get("Regex") for c in cutters if c["type"] == "Split" and c["behavior"] == "Removed" and c["invert"]]
+    levels = [c for c in cutters if c["type"] == "ByteLevel" and not c["add_prefix_space"] and not c["use_regex"]]
+    model = spec["model"]
+    plain = not model.get("dropout") and not model.get("fuse_unk") and not model.get("continuing_subword_prefix")
+    return found == NORMALIZERS and patterns == [PATTERN] and len(levels) == 1 and len(cutters) == 2 and model.get("end_of_word_suffix") == END_OF_WORD and plain
+
+
 class Encoder:
     """The library's ids of whole texts, as bytes of the file's integer kind."""
 
@@ -102,39 +122,80 @@ class Encoder:
         self.kind = kind_of(path)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.held = 0
+        words = self.library.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[i for w, i in words.items() if w.endswith(END_OF_WORD)]] = True
+        self.cuts = _may_be_cut(json.loads(self.library.to_str()))
         self.code = "H" if self.kind == "<u2" else "I"
 
-    def _fresh(self, pieces: list[str]) -> Iterator[bytes]:
+    def _whole(self, pieces: list[str]) -> Iterator[bytes]:
         for e in self.library.encode_batch_fast(pieces, add_special_tokens=False):
             ids = array(self.code, e.ids)
             if sys.byteorder == "big":
                 ids.byteswap()
             yield ids.tobytes()
 
+    def _fresh(self, parts: list[str]) -> list[bytes]:
+        """The ids of strings without white space: many in one text, cut after each id that ends a word."""
+        ids = np.array(self.library.encode(" ".join(parts), add_special_tokens=False).ids, self.kind)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(parts) or ends[-1] != len(ids):
+            # Some string is more than one word.
+            return list(self._whole(parts))
+        raw, at = ids.tobytes(), (np.append(0, ends) * ids.itemsize).tolist()
+        return [raw[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) >= CACHED:
-            self.old, self.known = self.known, {}
+        if self.held > CACHED:
+            self.old, self.known, self.held = self.known, {}, 0
         known, old = self.known, self.old
-        cut = [None if _DIFFER.search(t) else t.split() for t in texts]
-        fresh = {p for own in cut if own for p in own if p not in known}
-        known.update([(p, old[p]) for p in fresh if p in old])
-        cuts = {p: parts_of(p) for p in fresh if p not in old}
-        if len(self.parts) >= CACHED:
-            self.parts = {}
-        parts = self.parts
-        new = list({q for own in cuts.values() for q in own if q not in parts})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            parts.update(zip(some, self._fresh(some), strict=True))
-        known.update([(p, b"".join([parts[q] for q in own])) for p, own in cuts.items()])
-        return [next(self._fresh([t])) if own is None else b"".join([known[p] for p in own]) for t, own in zip(texts, cut, strict=True)]
+        out, fresh, open_texts = [], set(), []
+        for i, t in enumerate(texts):
+            if not self.cuts or _DIFFER.search(t):
+                out.append(next(self._whole([t])))
+                continue
+            own = t.split()
+            got = list(map(known.get, own))
+            if None in got:
+                fresh.update([p for p, g in zip(own, got, strict=True) if g is None])
+                open_texts.append((i, own))
+            out.append(None if None in got else b"".join(got))
+        cuts = {}
+        for p in fresh:
+            if p in old:
+                known[p] = old[p]
+            else:
+                cuts[p] = parts_of(p)
+        single = {q for own in cuts.values() if len(own) == 1 and not own[0].isascii() for q in own}
+        new = {q for own in cuts.values() for q in own if q not in known}
+        # Strings of other scripts or with apostrophes may be several words; they are encoded one by one.
+        odd = [q for q in new if q in single or "'" in q or "<" in q or not q.isalpha()]
+        plain = list(new.difference(odd))
+        made = dict(zip(odd, self._whole(odd), strict=True))
+        for k in range(0, len(plain), 4096):
+            some = plain[k : k + 4096]
+            made.update(zip(some, self._fresh(some), strict=True))
+        short = {q: v for q, v in made.items() if len(q) <= LONGEST}
+        known.update(short)
+        self.held += sum(map(len, short)) + sum(map(len, short.values())) + ENTRY * len(short)
+        long = {}
+        for p, own in cuts.items():
+            if p not in known:
+                ids = b"".join([made.get(q) or known[q] for q in own])
+                if len(p) <= LONGEST:
+                    known[p] = ids
+                    self.held += ENTRY + len(p) + len(ids)
+                else:
+                    long[p] = ids
+        for i, own in open_texts:
+            out[i] = b"".join(list(map(known.__getitem__, own)) if not long else [known.get(p) or long[p] for p in own])
+        return out
 
 
-@lru_cache(1)
 def encoder_of(path: str) -> Encoder:
     """One encoder per worker process, so that what it remembers serves the next task too."""
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 @lru_cache(4)
@@ -162,10 +223,13 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, folder: str |
                 system.create_dir(os.path.dirname(path), recursive=True)
                 out = system.open_output_stream(path)
             texts = batch.column("text").to_pylist()
-            for k in range(0, len(texts), 100):
-                for raw in encoder.encode([t or "" for t in texts[k : k + 100]]):
+            # Nothing here is cyclic; the collector would only walk the words of a text again and again.
+            gc.disable()
+            for k in range(0, len(texts), 500):
+                for raw in encoder.encode([t or "" for t in texts[k : k + 500]]):
                     out.write(raw + end)
                     lengths.append(len(raw) // width + 1)
+            gc.enable()
             ids.append(batch.column("doc_id").fill_null(NO_ID).to_numpy())
         if out is not None:
             out.close()
