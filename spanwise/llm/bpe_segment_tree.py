@@ -6,7 +6,10 @@ steps, until the root says that no pair can merge. A pretoken of n bytes costs O
 without white space is no special case.
 
 Texts are cut where a single space is next to a character that is not white space; no pretoken crosses
-such a place, so the pieces are encoded on their own and remembered in a bounded cache per task.
+such a place, so the pieces are encoded on their own. Pieces and pretokens of up to ``LONGEST`` characters are
+remembered in one cache with their ids in packed form; it is bounded in bytes (``CACHED`` a generation, two
+generations), whatever a text holds. Longer pieces are encoded each time, with the same ids. Very long texts are
+encoded whole; memory follows the text.
 
 Defined results: a null text is the empty text (no ids, empty decoded text); the added token's own
 string inside a text becomes its single id, as the tokenizer file says; repeated rows are each encoded;
@@ -18,17 +21,20 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from array import array
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from spanwise.llm.common import held
+
 #: Fixed value: how this kind of vocabulary cuts a text into pretokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of one generation of a cache; the generation before it is kept as well.
-CACHED = 400_000
+#: Bytes of one generation of the cache (the generation before it is kept as well), of one entry beside its text
+#: and ids, and the length up to which a piece is remembered.
+CACHED, ENTRY, LONGEST = 48 << 20, 170, 128
 _NONE = 1 << 62
 _SHIFT = 32
 _PLACE = (1 << _SHIFT) - 1
@@ -44,7 +50,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Bpe:
-    """A vocabulary file and bounded caches of pieces already encoded."""
+    """A vocabulary file and a bounded cache of pieces already encoded."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -55,6 +61,7 @@ class Bpe:
         self.added = added
         self.special = regex.compile("|".join(sorted(map(regex.escape, added), key=len, reverse=True))) if added else None
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if t not in added} | {i: t.encode() for t, i in added.items()}
+        self.decimal = {i: str(i) for i in self.bytes_of}
         self.byte_id = [0] * 256
         for c, b in letters.items():
             self.byte_id[b] = vocab[c]
@@ -65,17 +72,16 @@ class Bpe:
             self.ranks[vocab[left] << _SHIFT | vocab[right]] = rank << _SHIFT
             self.merged.append(vocab[left + right])
         self.pattern = regex.compile(PATTERN)
-        self.tokens: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
-        self.old_tokens: dict[str, tuple[int, ...]] = {}
-        self.old_pieces: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
-    def merge(self, raw: bytes) -> tuple[int, ...]:
-        """The ids of one pretoken."""
+    def merge(self, raw: bytes) -> bytes:
+        """The packed ids of one pretoken."""
         ids = [self.byte_id[b] for b in raw]
         n = len(ids)
         if n < 2:
-            return tuple(ids)
+            return array("I", ids).tobytes()
         rank, merged, pairs = self.ranks.get, self.merged, n - 1
         size = 1 << (pairs - 1).bit_length()
         tree = [_NONE] * (2 * size)
@@ -116,27 +122,35 @@ class Bpe:
                 if c != b:
                     x, y = tree[2 * c], tree[2 * c + 1]
                     tree[c] = x if x < y else y
-        return tuple([t for t in ids if t >= 0])
+        return array("I", [t for t in ids if t >= 0]).tobytes()
 
-    def piece(self, text: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids as text, and the bytes that the ids decode to; remembered."""
-        out = self.old_pieces.get(text)
+    def _remembered(self, text: str, make: Callable[[str], bytes]) -> bytes:
+        out = self.known.get(text)
         if out is None:
-            ids: list[int] = []
-            tokens, old = self.tokens, self.old_tokens
-            for token in self.pattern.findall(text):
-                own = tokens.get(token)
-                if own is None:
-                    own = tokens[token] = old.get(token) or self.merge(token.encode())
-                ids.extend(own)
-            if len(tokens) >= CACHED:
-                self.old_tokens, self.tokens = tokens, {}
-            out = (len(ids), ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids]))
-        self.pieces[text] = out
+            out = self.old.get(text) or make(text)
+            if len(text) <= LONGEST:
+                self.known[text] = out
+                self.held += ENTRY + len(text) + len(out)
+                if self.held > CACHED:
+                    self.old, self.known, self.held = self.known, {}, 0
         return out
 
-    def _ordinary(self, text: str, out: list[tuple[int, str, bytes]]) -> None:
-        known, piece = self.pieces, self.piece
+    def _pretoken(self, text: str) -> bytes:
+        return self.merge(text.encode())
+
+    def _pieced(self, text: str) -> bytes:
+        tokens = self.pattern.findall(text)
+        if len(tokens) == 1:
+            return self.merge(text.encode())
+        return b"".join([self.known.get(t) or self._remembered(t, self._pretoken) for t in tokens])
+
+    def piece(self, text: str) -> bytes:
+        """The packed ids of a piece."""
+        return self._remembered(text, self._pieced)
+
+    def _ordinary(self, text: str, out: list[bytes]) -> None:
+        # The cache may start a new generation meanwhile; what is known here then still holds.
+        known, piece = self.known, self.piece
         if _SPACES_TOUCH.search(text):
             cuts = regex.split(r"(?<=\S) | (?=\S)", text)
             # The split eats the space it stands at; put it back in front of what follows.
@@ -149,35 +163,29 @@ class Bpe:
             c = " " + c
             out.append(known.get(c) or piece(c))
 
-    def encode(self, text: str) -> list[tuple[int, str, bytes]]:
-        """The pieces of a whole text, in order; special strings are pieces of one id."""
-        if len(self.pieces) >= CACHED:
-            self.old_pieces, self.pieces = self.pieces, {}
-        out: list[tuple[int, str, bytes]] = []
+    def ids(self, text: str) -> list[int]:
+        """The ids of a whole text; special strings are one id each."""
+        out: list[bytes] = []
         if self.special is None or not self.special.search(text):
             self._ordinary(text, out)
-            return out
-        at = 0
-        for m in self.special.finditer(text):
-            if m.start() > at:
-                self._ordinary(text[at : m.start()], out)
-            token = self.added[m[0]]
-            out.append((1, str(token), self.bytes_of[token]))
-            at = m.end()
-        if at < len(text):
-            self._ordinary(text[at:], out)
-        return out
-
-    def ids(self, text: str) -> list[int]:
-        return [int(i) for _, joined, _ in self.encode(text) if joined for i in joined.split(",")]
+        else:
+            at = 0
+            for m in self.special.finditer(text):
+                if m.start() > at:
+                    self._ordinary(text[at : m.start()], out)
+                out.append(array("I", [self.added[m[0]]]).tobytes())
+                at = m.end()
+            if at < len(text):
+                self._ordinary(text[at:], out)
+        return array("I", b"".join(out)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(1)
 def vocabulary(path: str) -> Bpe:
-    return Bpe(path)
+    """One vocabulary per worker process, so that what it remembers serves the next task too."""
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -201,12 +209,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         bpe = vocabulary(path)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [])
+            decimal = bpe.decimal.__getitem__
             for text in batch.column("text"):
-                parts = bpe.encode(text.as_py() or "")
-                rows[0].append(sum([p[0] for p in parts]))
-                rows[1].append(hashlib.sha256(",".join([p[1] for p in parts if p[0]]).encode()).hexdigest())
-                decoded = b"".join([p[2] for p in parts])
-                rows[2].append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
+                ids = bpe.ids(text.as_py() or "")
+                rows[0].append(len(ids))
+                rows[1].append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
+                rows[2].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -6,7 +6,8 @@ Arrow batch at once, in pieces of about a megabyte, so memory follows the piece
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -35,6 +36,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """The one large object that a worker process keeps from task to task; one of another key takes its place."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Give back what this worker process holds from earlier tasks: kept objects, free memory of Arrow and of the allocator."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -51,7 +72,6 @@ def letter_codes(fold_case: bool) -> np.ndarray:
     return codes
 
 
-@cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
     inverse = pow(_MULTIPLIER, -1, 1 << 64)
@@ -63,11 +83,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_kept_powers = cache(_powers)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = PIECE
-    while size < n:
-        size *= 2
-    return _powers(size)
+    """The powers below n; only those for a usual piece are kept."""
+    return _kept_powers(PIECE) if n <= PIECE else _powers(n)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import held_out, text_bytes
-from spanwise.llm.textstats import COUNTS, count, with_counts
+from spanwise.llm.common import held_out, let_go, text_bytes
+from spanwise.llm.textstats import count
 
 FEATURES = ("word_length", "upper", "symbols", "marks", "same_next", "distinct", "repeats", "dup_lines", "digits")
 #: Words (lines for the share of lines) of ordinary text that every share is mixed with, so that a text
@@ -60,12 +60,13 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id and FEATURES as an array, of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            rows = transform({k: batch.column(k).to_numpy() for k in COUNTS})
+            rows = transform(count(*text_bytes(batch.column("text"))))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat], ["doc_id", "x"])
 
-    return with_counts(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>")
 
 
 def usable_labels(labels: DataFrame, column: str) -> DataFrame:

@@ -164,3 +164,22 @@ def test_key_words_cover_every_template():
     for text in license_minhash.TEMPLATES.values():
         left = [s for s in license_minhash.template_shingles(text) if not set(license_minhash.key_words(text)) & set(s.split(" "))]
         assert len(left) < 0.75 * len(license_minhash.template_shingles(text))
+
+
+def test_caches_are_bounded_in_bytes(monkeypatch):
+    import sys
+
+    monkeypatch.setattr(bpe_segment_tree, "CACHED", 1 << 20)
+    bpe = bpe_segment_tree.Bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    text = " ".join(f"w{i}x{i * 7}" for i in range(60_000)) + " " + "longest" * 5000
+    assert bpe.decode(bpe.ids(text)) == text
+    held = [c for c in (bpe.known, bpe.old)]
+    assert sum(sys.getsizeof(c) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in c.items()) for c in held) < 3 << 20
+    assert all(len(k) <= bpe_segment_tree.LONGEST for c in held for k in c)
+
+
+def test_other_vocabularies_encode_whole():
+    encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert token_files.Encoder(public_tokenizers.path("word_bpe_49k.json")).cuts and not encoder.cuts
+    library, texts = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), ["Two words, it's", "", "a  b\n"]
+    assert [np.frombuffer(raw, encoder.kind).tolist() for raw in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
