@@ -24,6 +24,7 @@ HEADLINE = (
     "check_drift", "boundary_compatibility", "investigations", "worklist_page", "verify_recovery", "ledger_verify", "settlements",
     "stream_service_health", "stream_sessions", "stream_async_stitch", "stream_verdicts",
 )
+REPLAYED = ("stream_verdicts",)
 #: What the warm-up run leaves behind for the measured one (written tables of the fixtures).
 PREWRITTEN = "the span and envelope fixtures are written by the warm-up run; the measured run reads them"
 
@@ -47,7 +48,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in names:
-        run(spark, name, sf_dir)
+        # The replay of the stream is what is timed, not reading its result; it has no warm-up.
+        if name not in REPLAYED:
+            run(spark, name, sf_dir)
         seconds[name] = round(run(spark, name, sf_dir), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     rows = table(spark, sf_dir, "lineitem").count()

@@ -1,6 +1,7 @@
 """Streams give what the batch operators give, and resends change nothing."""
 
 import json
+import shutil
 
 from pyspark.sql import functions as F
 from test_requests import frame, history, span
@@ -9,35 +10,72 @@ from spanwise.operators import baseline, traces
 from spanwise.session import run_folder
 from spanwise.sources import sinks
 from spanwise.streaming import windows
-from spanwise.streaming.store import EvidenceStore
+from spanwise.streaming.evidence import EvidenceStream
+
+
+class Waves:
+    """Span files that arrive one after the other."""
+
+    def __init__(self, spark, **options):
+        folder = run_folder(spark, "waves")
+        self.spark, self.folder = spark, folder
+        self.store = EvidenceStream(spark, f"{folder}/store", **options)
+
+    def arrive(self, rows):
+        rows.write.mode("append").parquet(f"{self.folder}/in")
+        self.store.run(self.spark.readStream.schema(rows.schema).parquet(f"{self.folder}/in"), f"{self.folder}/checkpoint")
+        return self.store
 
 
 def test_late_bad_evidence_removes_the_sample(spark):
-    store = EvidenceStore(spark, run_folder(spark, "store"))
-    store.process(frame(spark, *history(6)), 0)
+    waves = Waves(spark)
+    store = waves.arrive(frame(spark, *history(6)))
     assert store.baselines().first().observations == 6
     late = span(2, 1, trace=f"{3:032x}", status="ERROR", otel_status_code=2, ingest_seq=50)
-    store.process(frame(spark, late), 1)
+    waves.arrive(frame(spark, late))
     assert store.baselines().first().observations == 5
     assert store.read("late").count() == 1
     verdict = store.verdicts().filter(F.col("trace_id") == f"{3:032x}").first()
     assert verdict.batch_id == 1 and verdict.verdict == "DEVIATION"
 
 
-def test_resend_and_retry_change_nothing(spark):
-    store = EvidenceStore(spark, run_folder(spark, "store"))
-    rows = frame(spark, *history(5))
-    store.process(rows, 0)
-    store.process(rows.withColumn("received_ms", F.lit(9_999)), 1)
+def test_resends_change_nothing_and_streams_equal_batches(spark):
+    waves = Waves(spark)
+    store = waves.arrive(frame(spark, *history(5)))
+    waves.arrive(frame(spark, *history(5)).withColumn("received_ms", F.lit(9_999).cast("long")))
     assert store.read("spans").count() == 5 and store.read("notifications").filter("batch_id = 1").count() == 0
-    store.process(frame(spark, *history(7)), 2)
-    store.process(frame(spark, *history(7)), 2)
+    waves.arrive(frame(spark, *history(7)))
     assert store.read("spans").count() == 7
     profile = traces.trace_profile(frame(spark, *history(7)))
     batch = baseline.baselines(baseline.healthy_samples(profile))
     assert store.baselines().collect() == batch.collect()
 
 
+def test_a_key_that_loses_all_samples_and_a_reserve(spark):
+    waves = Waves(spark, max_samples=2, reserve=4)
+    store = waves.arrive(frame(spark, *history(6)))
+    assert store.baselines().first().observations == 2
+    bad = [span(2, 1, trace=f"{i:032x}", status="ERROR", otel_status_code=2, ingest_seq=50 + i) for i in range(8)]
+    waves.arrive(frame(spark, *bad[4:6]))
+    assert store.baselines().first().observations == 2
+    waves.arrive(frame(spark, *bad[:4], bad[6]))
+    assert store.baselines().count() == 0
+    assert {r["verdict"] for r in store.verdicts().collect()} == {"UNKNOWN"}
+
+
+def test_no_batch_reads_earlier_batches(spark):
+    waves, sizes = Waves(spark), []
+    for wave in range(10):
+        rows = frame(spark, *[span(1, trace=f"{wave * 100 + i:032x}", ingest_seq=i) for i in range(6)])
+        store = waves.arrive(rows)
+        sizes.append(store.read("touched").filter(F.col("batch_id") == wave).count())
+        # What earlier batches wrote may be gone: only the newest marker is looked at.
+        for name in ("spans", "profiles", "verdicts", "samples", "touched", "learned"):
+            shutil.rmtree(f"{store.root}/{name}/batch_id={wave - 1}", ignore_errors=True)
+    assert sizes == [6] * 10
+    assert store.baselines().first().observations == 60 and store.verdicts().count() == 6
+
+
 def test_span_table_append_is_idempotent(spark):
     path = run_folder(spark, "spans")
     for _ in range(2):
