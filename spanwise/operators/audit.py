@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.numbers import round_exact
 from spanwise.operators.correlate import topology_anomalies
+from spanwise.operators.ordered import last_known
+from spanwise.session import keep
 
 RECOVERY_BUDGET_MS = 180
 MAX_STALENESS_MS = 30_000
@@ -376,15 +378,41 @@ def observability_completeness(health: DataFrame) -> DataFrame:
     )
 
 
+def rate_windows(requests: DataFrame, window_ms: int = 60_000, block_windows: int = 16) -> DataFrame:
+    """client, window_start_ms and requests of every fixed window, opened as a limiter opens them: by a request.
+
+    A client's first request opens a window; the first one more than ``window_ms`` after a window's start opens the
+    next. Each distinct request time points to the one that would open the next window after it; the starts are
+    what the pointers reach from the first time. They are found by doubling the pointers, so a client with w windows takes
+    log2(w) rounds of one join on (client, time), and no client is gathered anywhere: times are looked up in
+    blocks of ``block_windows`` windows, which hold as many distinct milliseconds at most.
+
+    Rows without a client or a time are left out; requests of one time belong to one window.
+    """
+    c = F.col
+    block = F.floor(c("at_ms") / (window_ms * block_windows))
+    times = requests.filter("client is not null and at_ms is not null").groupBy("client", "at_ms").agg(F.count(F.lit(1)).alias("n"))
+    times = keep(times, "rate-times")
+    # From the latest time down, the last request seen before a window's end is the first one after it.
+    ends = times.select("client", (c("at_ms") + window_ms).alias("at_ms"), c("at_ms").alias("from_ms"), F.lit(None).cast("long").alias("seen"))
+    both = ends.unionByName(times.select("client", "at_ms", F.lit(None).cast("long").alias("from_ms"), c("at_ms").alias("seen")))
+    # A request at the very end of a window still belongs to it: ends come before requests of their time.
+    pointers = last_known(both, ["client"], [-c("at_ms"), c("seen").isNotNull()], c("seen"), -block, "to_ms")
+    jumps = keep(pointers.filter("from_ms is not null and to_ms is not null").select("client", "from_ms", "to_ms"), "rate-jumps")
+    starts = keep(times.groupBy("client").agg(F.min("at_ms").alias("at_ms")), "rate-starts")
+    while not jumps.isEmpty():
+        reached = starts.join(jumps, (starts["client"] == jumps["client"]) & (starts["at_ms"] == jumps["from_ms"])).select(starts["client"], c("to_ms").alias("at_ms"))
+        starts = keep(starts.unionByName(reached), "rate-starts")
+        further = jumps.select("client", c("from_ms").alias("to_ms"), c("to_ms").alias("further_ms"))
+        jumps = keep(jumps.join(further, ["client", "to_ms"]).select("client", "from_ms", c("further_ms").alias("to_ms")), "rate-jumps")
+    marked = times.join(starts.withColumn("opens", c("at_ms")), ["client", "at_ms"], "left")
+    placed = last_known(marked, ["client"], [c("at_ms")], c("opens"), block, "window_start_ms")
+    return placed.groupBy("client", "window_start_ms").agg(F.sum("n").alias("requests"))
+
+
 def rate_limit_audit(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = 60_000) -> DataFrame:
-    """Clients above the limit in a tumbling window (anchored at the epoch, not at the first request)."""
-    start = F.floor(F.col("at_ms") / window_ms) * window_ms
-    return (
-        requests.groupBy("client", start.alias("window_start_ms"))
-        .agg(F.count(F.lit(1)).alias("requests"))
-        .filter(F.col("requests") > limit)
-        .withColumn("refused", F.col("requests") - limit)
-    )
+    """Clients above the limit in one of their windows, which start with a request; the rest of the window is refused."""
+    return rate_windows(requests, window_ms).filter(F.col("requests") > limit).withColumn("refused", F.col("requests") - limit)
 
 
 def case_evidence_freshness(case_evidence: DataFrame, current: DataFrame) -> DataFrame:

@@ -400,12 +400,24 @@ def _(spark, sf):
 CLIENT_REQUESTS = "select concat('10.0.0.', cast(user_id % 5 as varchar(10))) as client, cast(epoch_ms(ts) as bigint) as at_ms from events"
 
 
-@query(
-    "rate_limit_audit",
+_RATE_WINDOWS = (
     duck_with(requests=CLIENT_REQUESTS)
-    + """select client, at_ms // 3600000 * 3600000 as window_start_ms, count(*) as requests, count(*) - 5 as refused from requests
-    group by 1, 2 having count(*) > 5""",
+    + """, opened(client, start_ms) as (
+      select client, min(at_ms) from requests group by client
+      union all
+      select r.client, min(r.at_ms) from opened o join requests r on r.client = o.client and r.at_ms > o.start_ms + 3600000 group by r.client, o.start_ms),
+    counted as (select r.client, o.start_ms as window_start_ms, count(*) as requests from requests r
+      asof join opened o on r.client = o.client and r.at_ms >= o.start_ms group by all)
+    """
 )
+
+
+@query("rate_windows", _RATE_WINDOWS + "select client, window_start_ms, requests from counted")
+def _(spark, sf):
+    return audit.rate_windows(derive(spark, sf, CLIENT_REQUESTS), window_ms=3_600_000)
+
+
+@query("rate_limit_audit", _RATE_WINDOWS + "select client, window_start_ms, requests, requests - 5 as refused from counted where requests > 5")
 def _(spark, sf):
     return audit.rate_limit_audit(derive(spark, sf, CLIENT_REQUESTS), limit=5, window_ms=3_600_000)
 

@@ -203,3 +203,35 @@ def test_an_unknown_path_is_not_identical(spark):
     live = spark.createDataFrame([("x", "k", None, 5, 200), ("y", "k", "a->b", 5, 200), ("z", "k", None, 9, 200)], shape)
     got = {r.trace_id: r.is_identical for r in traces.dna_diff(golden, live, "k").collect()}
     assert got == {"x": None, "y": True, "z": False}
+
+
+def plain_windows(times, window):
+    out, start = {}, None
+    for t in sorted(times):
+        if start is None or t > start + window:
+            start = t
+            out[start] = 0
+        out[start] += 1
+    return out
+
+
+def test_rate_windows_open_with_a_request(spark):
+    import random
+
+    from spanwise.operators import audit
+
+    rnd = random.Random(5)
+    # A burst over a minute border, a request at the very end of a window, a busy client, ties and a lone request.
+    clients = {
+        "burst": [59_000 + 10 * i for i in range(400)], "edge": [0, 60_000, 60_001, 120_001, 120_002], "lone": [7],
+        "busy": [rnd.randrange(0, 8_000_000) for _ in range(3000)] * 2, "late": [10**12 + rnd.randrange(0, 400_000) for _ in range(200)],
+    }
+    rows = [(c, t) for c, times in clients.items() for t in times] + [(None, 5), ("lone", None)]
+    requests = spark.createDataFrame(rows, "client string, at_ms bigint").withColumn("n", F.lit("clash"))
+    got = {}
+    for r in audit.rate_windows(requests).collect():
+        got.setdefault(r["client"], {})[r["window_start_ms"]] = r["requests"]
+    assert got == {c: plain_windows(times, 60_000) for c, times in clients.items()}
+    over = audit.rate_limit_audit(requests, limit=300).collect()
+    assert [(r["client"], r["window_start_ms"], r["requests"], r["refused"]) for r in over] == [("burst", 59_000, 400, 100)]
+    assert audit.rate_windows(requests.filter("false")).collect() == []
