@@ -615,17 +615,6 @@ def _(spark, sf):
 @query(
     "journey_rti",
     duck_with("spans", scores=_SCORES)
-    + f"""select round(sum({_RTI} * case service when 'svc-0' then 0.5 when 'svc-1' then 0.3 else 0.2 end), 1) as weighted_rti,
-      count(*) as journeys from scores where service <> 'svc-3'""",
-)
-def _(spark, sf):
-    scored = fleet.rti(_scores(spark, sf)).withColumnRenamed("service", "journey").filter("journey <> 'svc-3'")
-    return fleet.journey_rti(scored, {"svc-0": 0.5, "svc-1": 0.3, "svc-2": 0.2})
-
-
-@query(
-    "journey_rti_all",
-    duck_with("spans", scores=_SCORES)
     + f"""select case when count(performance) = count(*) then round(sum({_RTI} * case service when 'svc-0' then 0.4 when 'svc-1' then 0.3
       when 'svc-2' then 0.2 else 0.1 end), 1) end as weighted_rti, count(*) as journeys from scores""",
 )
@@ -635,19 +624,6 @@ def _(spark, sf):
     return fleet.journey_rti(scored, {"svc-0": 0.4, "svc-1": 0.3, "svc-2": 0.2, "svc-3": 0.1})
 
 
-@query(
-    "storage_report",
-    duck_with("spans")
-    + """select * from (
-      select 'traces' as measure, count(distinct trace_id) as used, 10000 as maximum,
-        case when count(distinct trace_id) > 10000 then 'EXCEEDED' else 'WITHIN' end as state from spans
-      union all select 'spans', count(*), 100000, case when count(*) > 100000 then 'EXCEEDED' else 'WITHIN' end from spans)""",
-)
-def _(spark, sf):
-    report = fleet.storage_report(spans(spark, sf), {"traces": 10000, "spans": 100000, "bytes": 32 << 20})
-    return report.filter("measure <> 'bytes'")
-
-
 def _json_bytes() -> str:
     """Bytes of a span as JSON, nulls left out, in SQL."""
     texts = "trace_id span_id parent_span_id service name status service_version artifact_digest deployment_environment".split()
@@ -668,7 +644,7 @@ def _json_bytes() -> str:
 
 
 @query(
-    "storage_report_all",
+    "storage_report",
     duck_with("spans")
     + f"""select measure, used, maximum, case when used > maximum then 'EXCEEDED' else 'WITHIN' end as state from (
       select 'traces' as measure, count(distinct trace_id) as used, 10000 as maximum from spans
