@@ -18,8 +18,8 @@ Text is cut into pieces at marks and line ends, pieces into words, A-Z lower-cas
 
 Sizes: a group is held as a whole and bounded by ``budget`` suffixes (24 bytes each, some ten times that while sorting).
 The lists of extended prefixes go to every task. They are counted first: where more than ``PREFIXES`` of one
-length (8 bytes each) pass an eighth of the budget, the bound and with it the budget are doubled until they fit. Memory of coding follows the batch, or
-one text where it is longer (about 15 times its bytes). Written tables and shuffles follow the input.
+length (8 bytes each) pass an eighth of the budget, the bound and with it the budget are doubled until they fit. Memory of coding follows the batch and its
+distinct words, or one text where it is longer (a few times its bytes: it is split into words block by block). Written tables and shuffles follow the input.
 
 Defined results: a null or empty text has no words; a null language is ``und`` (and one with those that are named
 so); rows without a doc_id and repeated rows count like others; ties in score and count are ordered by the phrase's UTF-8
@@ -38,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanwise.llm.common import mix, runs
+from spanwise.llm.common import let_go, mix, runs
 from spanwise.llm.source_mix import numbered
 from spanwise.session import run_folder
 
 DEPTH, LEAST, PERCENT, TOP = 5, 100, 100, 2000
 BUDGET = 4_000_000
 PREFIXES = 4_000_000
-#: Bytes of text that share a list of distinct words, and positions that are dealt together.
-CODED, CHUNK = 32 << 20, 1_000_000
+#: Bytes of text that share a list of distinct words, positions that are dealt together, and bytes split into words at once.
+CODED, CHUNK, BLOCK = 32 << 20, 1_000_000, 1 << 20
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n \n\n\n\n")
 
 
@@ -56,6 +56,20 @@ def _written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def _blocks(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about BLOCK bytes that start at the space or line end after one."""
+    at = 0
+    while len(text) - at > BLOCK:
+        space = text.find(b" ", at + BLOCK)
+        line = text.find(b"\n", at + BLOCK, space if space >= 0 else len(text))
+        stop = max(space, line) if min(space, line) < 0 else line
+        if stop < 0:
+            break
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
 def coded(docs: DataFrame) -> DataFrame:
     """One row per chunk of text and language: its distinct words, their counts, and the words in sequence as places from 1 (0: a cut)."""
 
@@ -80,12 +94,15 @@ def coded(docs: DataFrame) -> DataFrame:
                 if lang not in places:
                     places[lang] = defaultdict(count(1).__next__)
                     places[lang][b"\n"] = 0
-                tokens = filter(None, b"\n".join([b"", *texts]).translate(_FOLD).replace(b"\n", b" \n ").split(b" "))
-                codes[lang].append(np.fromiter(map(places[lang].__getitem__, tokens), np.uint32))
+                for part in _blocks(b"\n".join([b"", *texts]).translate(_FOLD)):
+                    tokens = filter(None, part.replace(b"\n", b" \n ").split(b" "))
+                    codes[lang].append(np.fromiter(map(places[lang].__getitem__, tokens), np.uint32))
             if size >= CODED:
                 yield from flushed(places, codes)
                 places, codes, size = {}, defaultdict(list), 0
         yield from flushed(places, codes)
+        places, codes = {}, {}
+        let_go()
 
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(code, "lang string, words array<string>, counts array<long>, codes binary")
@@ -103,6 +120,7 @@ def sequences(batches: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 table[places.values.to_numpy()] = ids.values.to_numpy()
                 out.append(table[np.frombuffer(codes.as_buffer(), np.uint32)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
+        let_go()
 
     words = batches.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
     known = words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(
@@ -282,6 +300,7 @@ def frequent(words: DataFrame, vocabulary: DataFrame, positions: int, least: int
                     [pa.array(group[starts[at : at + 1000]]), pa.array([np.ascontiguousarray(table[lo:hi].T).tobytes() for lo, hi in some], pa.binary())],
                     ["group", "leaves"],
                 )
+        let_go()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, ("group",)):
@@ -295,6 +314,7 @@ def frequent(words: DataFrame, vocabulary: DataFrame, positions: int, least: int
                 ids = np.stack([c[first] for c in columns[:d]], axis=1).astype(np.int64)
                 offsets = np.arange(0, d * len(first) + 1, d, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.ravel())), pa.array(total)], ["ids", "f"])
+        let_go()
 
     dealt = words.mapInArrow(deal, "group long, leaves binary").repartition("group").sortWithinPartitions("group")
     found = dealt.mapInArrow(build, "ids array<long>, f long")

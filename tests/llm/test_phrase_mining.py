@@ -92,3 +92,15 @@ def test_suffixes():
 def test_op12(spark):
     ok, message = oracle.compare(spark, oracle.duck("/root/testdata/sf0.01"), "/root/testdata/sf0.01", "op12_phrase_mining", queries.QUERIES["op12_phrase_mining"], queries.ORACLES["op12_phrase_mining"])
     assert ok, message
+
+
+def test_blocks_cut_between_words_only(monkeypatch):
+    monkeypatch.setattr(phrase_mining, "BLOCK", 16)
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "bcd", " ", "\n", "efghijklmnopqrstuvw"]) for _ in range(rng.randrange(60))).encode()
+        parts = list(phrase_mining._blocks(text))
+        assert b"".join(parts) == text
+        assert all(p[:1] in (b" ", b"\n") for p in parts[1:])
+        split = [t for p in parts for t in p.replace(b"\n", b" \n ").split(b" ") if t]
+        assert split == [t for t in text.replace(b"\n", b" \n ").split(b" ") if t]
