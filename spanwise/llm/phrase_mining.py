@@ -47,6 +47,8 @@ BUDGET = 4_000_000
 PREFIXES = 4_000_000
 #: Bytes of text that share a list of distinct words, positions that are dealt together, and bytes split into words at once.
 CODED, CHUNK, BLOCK = 32 << 20, 1_000_000, 1 << 20
+#: Suffixes (24 bytes each) after which a batch of dealt groups is handed on.
+SENT = 200_000
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n \n\n\n\n")
 
 
@@ -114,12 +116,11 @@ def sequences(batches: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     def recode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            out = []
             for codes, size, places, ids in zip(*(batch.column(c) for c in ("codes", "size", "places", "ids")), strict=True):
                 table = np.zeros(size.as_py() + 1, np.uint32)
                 table[places.values.to_numpy()] = ids.values.to_numpy()
-                out.append(table[np.frombuffer(codes.as_buffer(), np.uint32)].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
+                for part in _between_cuts(table[np.frombuffer(codes.as_buffer(), np.uint32)]):
+                    yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary())], ["words"])
         let_go()
 
     words = batches.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
@@ -291,13 +292,16 @@ def frequent(words: DataFrame, vocabulary: DataFrame, positions: int, least: int
             group = np.where(alive, (key % np.uint64(groups)).astype(np.int64), groups)
             order = np.argsort(group, kind="stable")[: int(alive.sum())]
             group = group[order]
-            table = np.stack([c[order] for c in (*columns, numbers)], axis=1)
-            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else []
-            ends = [*starts[1:], len(group)]
-            for at in range(0, len(starts), 1000):
-                some = list(zip(starts[at : at + 1000], ends[at : at + 1000], strict=True))
+            table = np.empty((depth + 1, len(order)), np.uint32)
+            for row, c in zip(table, (*columns, numbers), strict=True):
+                np.take(c, order, out=row)
+            del columns, numbers, part, key, alive, order
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+            ends = np.append(starts[1:], len(group))[: len(starts)]
+            # A batch ends with the group that fills it.
+            for some in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(ends // SENT)) + 1):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(group[starts[at : at + 1000]]), pa.array([np.ascontiguousarray(table[lo:hi].T).tobytes() for lo, hi in some], pa.binary())],
+                    [pa.array(group[starts[some]]), pa.array([table[:, starts[i] : ends[i]].tobytes() for i in some], pa.binary())],
                     ["group", "leaves"],
                 )
         let_go()
