@@ -3,8 +3,9 @@
 Text is cut into pieces at marks and line ends, pieces into words, A-Z lower-cased; every language is on its own.
 
 1. *Coding.* Text is tokenised once, in chunks of some megabytes: the distinct words with their counts, and the
-   sequence as numbers into them. The counts give the vocabulary; a chunk's distinct words (not its text) are joined with
-   the frequent ones, and the sequence is rewritten in their numbers. Words below the least count become 0, as
+   sequence as numbers into them. The counts give the vocabulary; a chunk's distinct words (not its text) are looked
+   up among the frequent ones, sent to the tasks where they are counted to be few bytes and joined else, and the
+   sequence is rewritten in their numbers. Words below the least count become 0, as
    piece ends do: no phrase that counts holds them.
 2. *Vertical partitioning.* Every position is a suffix, cut at ``DEPTH`` words or the next 0. Suffixes are grouped by
    their first word. A prefix with more than an eighth of a group's budget is extended by its next word, and
@@ -34,6 +35,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,6 +49,8 @@ BUDGET = 4_000_000
 PREFIXES = 4_000_000
 #: Bytes of text that share a list of distinct words, positions that are dealt together, and bytes split into words at once.
 CODED, CHUNK, BLOCK = 32 << 20, 1_000_000, 1 << 20
+#: Bytes of vocabulary up to which it is sent to every task.
+SHIPPED = 32 << 20
 #: Suffixes (24 bytes each) after which a batch of dealt groups is handed on.
 SENT = 200_000
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n \n\n\n\n")
@@ -111,16 +115,48 @@ def coded(docs: DataFrame) -> DataFrame:
     return _written(rows.withColumn("chunk", F.monotonically_increasing_id()), "phrase-coded")
 
 
-def sequences(batches: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The coded sequences in numbers of the vocabulary, as unsigned 32-bit integers."""
+def _recoded(codes: pa.Scalar, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for part in _between_cuts(table[np.frombuffer(codes.as_buffer(), np.uint32)]):
+        yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary())], ["words"])
 
+
+def sequences(batches: DataFrame, vocabulary: DataFrame, shipped: int = SHIPPED) -> DataFrame:
+    """The coded sequences in numbers of the vocabulary, as unsigned 32-bit integers.
+
+    A vocabulary measured to be of at most ``shipped`` bytes goes to every task; a larger one is joined with the chunks'
+    words. The sequences are the same.
+    """
+    size = vocabulary.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    frame = _by_lookup(batches, vocabulary) if size <= shipped else _by_join(batches, vocabulary)
+    return _written(frame, "phrase-words")
+
+
+def _by_lookup(batches: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    known = vocabulary.select("lang", "word", "id").toArrow().combine_chunks()
+    by_lang = {lang: known.filter(pc.equal(known["lang"], lang)) for lang in pc.unique(known["lang"]).to_pylist()}
+    shared = batches.sparkSession.sparkContext.broadcast({lang: (t["word"].combine_chunks(), t["id"].to_numpy()) for lang, t in by_lang.items()})
+
+    def recode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for lang, words, codes in zip(*(batch.column(c) for c in ("lang", "words", "codes")), strict=True):
+                if lang.as_py() in shared.value:
+                    names, ids = shared.value[lang.as_py()]
+                    at = pc.index_in(words.values, names.cast(words.values.type)).fill_null(-1).to_numpy()
+                    table = np.zeros(len(at) + 1, np.uint32)
+                    table[1:] = np.where(at >= 0, ids[at], 0)
+                    yield from _recoded(codes, table)
+        let_go()
+
+    return batches.select("lang", "words", "codes").mapInArrow(recode, "words binary")
+
+
+def _by_join(batches: DataFrame, vocabulary: DataFrame) -> DataFrame:
     def recode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for codes, size, places, ids in zip(*(batch.column(c) for c in ("codes", "size", "places", "ids")), strict=True):
                 table = np.zeros(size.as_py() + 1, np.uint32)
                 table[places.values.to_numpy()] = ids.values.to_numpy()
-                for part in _between_cuts(table[np.frombuffer(codes.as_buffer(), np.uint32)]):
-                    yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary())], ["words"])
+                yield from _recoded(codes, table)
         let_go()
 
     words = batches.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
@@ -128,7 +164,7 @@ def sequences(batches: DataFrame, vocabulary: DataFrame) -> DataFrame:
         F.collect_list(F.struct((F.col("place") + 1).alias("place"), "id")).alias("k")
     )
     joined = batches.select("chunk", "codes", F.size("words").alias("size")).join(known, "chunk")
-    return _written(joined.select("codes", "size", F.col("k.place").alias("places"), F.col("k.id").alias("ids")).mapInArrow(recode, "words binary"), "phrase-words")
+    return joined.select("codes", "size", F.col("k.place").alias("places"), F.col("k.id").alias("ids")).mapInArrow(recode, "words binary")
 
 
 def _between_cuts(words: np.ndarray) -> Iterator[np.ndarray]:
@@ -180,6 +216,18 @@ def suffixes(words: np.ndarray, depth: int = DEPTH) -> list[np.ndarray]:
     return [*(c[first] for c in columns), np.diff(np.append(first, len(order))).astype(np.uint32)]
 
 
+def packed(table: np.ndarray) -> bytes:
+    """A table of 32-bit numbers, its rows split into planes of equal bytes and compressed."""
+    rows, n = table.shape
+    planes = np.ascontiguousarray(table).view(np.uint8).reshape(rows, n, 4).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: pa.Buffer | bytes, rows: int, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * rows * n, "zstd"), np.uint8).reshape(rows, 4, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32).reshape(rows, n)
+
+
 def _looked_up(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Place of each key in a sorted table, -1 where it is not in there."""
     if not len(table):
@@ -290,7 +338,8 @@ def frequent(words: DataFrame, vocabulary: DataFrame, positions: int, least: int
             # A suffix that ends with an extended prefix adds nothing to what is known.
             alive = np.choose(np.minimum(part, depth) - 1, columns) != 0
             group = np.where(alive, (key % np.uint64(groups)).astype(np.int64), groups)
-            order = np.argsort(group, kind="stable")[: int(alive.sum())]
+            # Sorted leaves pack well: neighbours share their first words.
+            order = np.lexsort((*columns[::-1], group))[: int(alive.sum())]
             group = group[order]
             table = np.empty((depth + 1, len(order)), np.uint32)
             for row, c in zip(table, (*columns, numbers), strict=True):
@@ -301,15 +350,17 @@ def frequent(words: DataFrame, vocabulary: DataFrame, positions: int, least: int
             # A batch ends with the group that fills it.
             for some in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(ends // SENT)) + 1):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(group[starts[some]]), pa.array([table[:, starts[i] : ends[i]].tobytes() for i in some], pa.binary())],
-                    ["group", "leaves"],
+                    [pa.array(group[starts[some]]), pa.array(ends[some] - starts[some]), pa.array([packed(table[:, starts[i] : ends[i]]) for i in some], pa.binary())],
+                    ["group", "n", "leaves"],
                 )
         let_go()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, ("group",)):
-            parts = [np.frombuffer(v.as_buffer(), np.uint32).reshape(depth + 1, -1) for v in rows.column("leaves")]
-            leaves = np.concatenate(parts, axis=1)
+            ends = np.cumsum(rows.column("n").to_numpy())
+            leaves = np.empty((depth + 1, ends[-1]), np.uint32)
+            for end, n, value in zip(ends, rows.column("n").to_pylist(), rows.column("leaves"), strict=True):
+                leaves[:, end - n : end] = unpacked(value.as_buffer(), depth + 1, n)
             leaves = leaves[:, np.lexsort(leaves[depth - 1 :: -1])]
             columns, part = list(leaves[:depth]), split_depth(list(leaves[:depth]), shared.value)
             for d, first, total in subtree(columns, leaves[depth].astype(np.int64), least):
@@ -320,7 +371,7 @@ def frequent(words: DataFrame, vocabulary: DataFrame, positions: int, least: int
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.ravel())), pa.array(total)], ["ids", "f"])
         let_go()
 
-    dealt = words.mapInArrow(deal, "group long, leaves binary").repartition("group").sortWithinPartitions("group")
+    dealt = words.mapInArrow(deal, "group long, n long, leaves binary").repartition("group").sortWithinPartitions("group")
     found = dealt.mapInArrow(build, "ids array<long>, f long")
     single = vocabulary.select(F.array("id").alias("ids"), "f")
     return _written(found.unionByName(known).unionByName(single), "phrase-counts")

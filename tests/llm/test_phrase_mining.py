@@ -104,3 +104,22 @@ def test_blocks_cut_between_words_only(monkeypatch):
         assert all(p[:1] in (b" ", b"\n") for p in parts[1:])
         split = [t for p in parts for t in p.replace(b"\n", b" \n ").split(b" ") if t]
         assert split == [t for t in text.replace(b"\n", b" \n ").split(b" ") if t]
+
+
+def test_leaves_pack_and_unpack():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 1000):
+        table = rng.integers(0, 1 << 32, (6, n), dtype=np.uint64).astype(np.uint32)
+        whole = np.concatenate([table, table], axis=1)
+        assert (phrase_mining.unpacked(phrase_mining.packed(whole[:, :n]), 6, n) == table).all()
+
+
+def test_looked_up_and_joined_vocabulary_give_the_same_sequences(spark):
+    texts = [(1, "a b c. d é a", "en"), (2, "a b", None), (3, "x y", "de"), (4, None, "en"), (5, "", "fr"), (6, "b " * 50, "und")]
+    batches = phrase_mining.coded(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    vocabulary = spark.createDataFrame([("en", "a", 1), ("en", "é", 2), ("und", "b", 3)], "lang string, word string, id long")
+    kinds = []
+    for shipped in (1 << 20, 0):
+        rows = phrase_mining.sequences(batches, vocabulary, shipped).collect()
+        kinds.append(sorted(tuple(np.frombuffer(r.words, np.uint32)) for r in rows if np.frombuffer(r.words, np.uint32).any()))
+    assert kinds[0] == kinds[1] and sum(map(sum, kinds[0])) == 1 + 2 + 1 + 3 + 150
