@@ -72,6 +72,15 @@ def parts_of(piece: str) -> list[str]:
     return [piece]
 
 
+def _gaps(values: list) -> list[int]:
+    """The places of None."""
+    places, at = [], -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        places.append(at)
+    return places
+
+
 def _place(folder: str, name: str) -> tuple[fs.FileSystem, str]:
     system, path = fs.FileSystem.from_uri(folder)
     return system, os.path.join(path, name)
@@ -157,10 +166,13 @@ class Encoder:
                 continue
             own = t.split()
             got = list(map(known.get, own))
-            if None in got:
-                fresh.update([p for p, g in zip(own, got, strict=True) if g is None])
-                open_texts.append((i, own))
-            out.append(None if None in got else b"".join(got))
+            places = _gaps(got)
+            if places:
+                # Only the gaps are looked at again; a second lookup of every piece would cost as much as the first.
+                missing = [own[j] for j in places]
+                fresh.update(missing)
+                open_texts.append((i, got, places, missing))
+            out.append(None if places else b"".join(got))
         cuts = {}
         for p in fresh:
             if p in old:
@@ -182,14 +194,16 @@ class Encoder:
         long = {}
         for p, own in cuts.items():
             if p not in known:
-                ids = b"".join([made.get(q) or known[q] for q in own])
+                ids = b"".join([made[q] if q in made else known[q] for q in own])
                 if len(p) <= LONGEST:
                     known[p] = ids
                     self.held += ENTRY + len(p) + len(ids)
                 else:
                     long[p] = ids
-        for i, own in open_texts:
-            out[i] = b"".join(list(map(known.__getitem__, own)) if not long else [known.get(p) or long[p] for p in own])
+        for i, got, places, missing in open_texts:
+            for j, p in zip(places, missing, strict=True):
+                got[j] = known[p] if p in known else long[p]
+            out[i] = b"".join(got)
         return out
 
 

@@ -183,3 +183,10 @@ def test_other_vocabularies_encode_whole():
     assert token_files.Encoder(public_tokenizers.path("word_bpe_49k.json")).cuts and not encoder.cuts
     library, texts = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), ["Two words, it's", "", "a  b\n"]
     assert [np.frombuffer(raw, encoder.kind).tolist() for raw in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_gaps_of_a_piece_list_are_found_in_order():
+    from spanwise.llm.token_files import _gaps
+
+    assert _gaps([]) == [] and _gaps([b""]) == []
+    assert _gaps([None, b"a", b"", None, None]) == [0, 3, 4]
