@@ -22,16 +22,20 @@ from collections import defaultdict
 
 import numpy as np
 
-#: Common prefixes longer than this are reported as this.
+#: Common prefixes longer than this are reported as this, unless ``suffix_order`` is given another cap.
 CAP = 120
-_FAR = np.uint8(255)
+
+
+def _kind(cap: int) -> np.dtype:
+    """The type of common prefixes up to a cap; its largest value stands for no bound yet."""
+    return np.dtype(np.uint8 if cap < 255 else np.uint32)
 
 
 class DiskQueue:
     """First-in first-out entries (suffix, common prefix) per key; beyond ``memory`` entries they go to disk."""
 
-    def __init__(self, memory: int):
-        self.memory, self.held, self.file = memory, 0, None
+    def __init__(self, memory: int, kind: np.dtype):
+        self.memory, self.kind, self.held, self.file = memory, kind, 0, None
         self.parts: dict[int, list] = defaultdict(list)
 
     def push(self, key: int, suffixes: np.ndarray, prefixes: np.ndarray) -> None:
@@ -64,7 +68,7 @@ class DiskQueue:
             if isinstance(a, int):
                 self.file.seek(a)
                 s = np.frombuffer(self.file.read(8 * b), np.int64)
-                loaded.append((s, np.frombuffer(self.file.read(b), np.uint8)))
+                loaded.append((s, np.frombuffer(self.file.read(self.kind.itemsize * b), self.kind)))
             else:
                 self.held -= len(a)
                 loaded.append((a, b))
@@ -82,7 +86,7 @@ def _minima(values: np.ndarray):
 
     def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         k = np.frexp((b - a + 1).astype(np.float64))[1] - 1
-        out = np.empty(len(a), np.uint8)
+        out = np.empty(len(a), values.dtype)
         for level in np.unique(k):
             at = k == level
             row = levels[level]
@@ -104,7 +108,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     return step[following] > 0
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = CAP) -> np.ndarray:
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of the suffixes at a and b, symbol by symbol in steps of eight, up to the cap."""
     n = len(text)
     out = np.zeros(len(a), np.int64)
@@ -120,16 +124,17 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = CAP) -> n
         whole = same.all(axis=1)
         out[live] += np.where(whole, 8, same.argmin(axis=1))
         live = live[whole]
-    return np.minimum(out, cap).astype(np.uint8)
+    return np.minimum(out, cap).astype(_kind(cap))
 
 
 class _Scan:
     """The bookkeeping of one scan: pushes predecessors and keeps, per target, the least prefix since its last push."""
 
-    def __init__(self, text: np.ndarray, memory: int, with_prefixes: bool):
-        self.text, self.queue, self.with_prefixes = text, DiskQueue(memory), with_prefixes
+    def __init__(self, text: np.ndarray, memory: int, with_prefixes: bool, cap: int):
+        self.kind = _kind(cap)
+        self.text, self.queue, self.with_prefixes, self.cap = text, DiskQueue(memory, self.kind), with_prefixes, cap
         self.since: dict[int, int] = {}
-        self.all = 255
+        self.all = np.iinfo(self.kind).max
 
     def push(self, suffixes: np.ndarray, prefixes: np.ndarray, take: np.ndarray) -> None:
         """Scan these suffixes, in order; where ``take`` holds, the suffix before is pushed."""
@@ -144,22 +149,22 @@ class _Scan:
         at, before, target = at[order], before[order], target[order]
         cuts = np.flatnonzero(target[1:] != target[:-1]) + 1
         begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]])
-        shared = np.zeros(len(at), np.uint8)
+        shared = np.zeros(len(at), self.kind)
         if self.with_prefixes:
             least = _minima(prefixes)
             shared[1:] = least(np.minimum(at[:-1] + 1, at[1:]), at[1:])
             head = least(np.zeros(len(begins), np.int64), at[begins])
             tail = at[ends - 1] + 1
-            rest = np.full(len(ends), 255, np.uint8)
+            rest = np.full(len(ends), self.all, self.kind)
             some = tail < len(prefixes)
             if some.any():
                 rest[some] = least(tail[some], np.full(int(some.sum()), len(prefixes) - 1))
             keys = target[begins].tolist()
-            old = [min(self.since.get(k, 0), 255) for k in keys]
-            shared[begins] = np.minimum(head, np.array(old, np.uint8))
+            old = [self.since.get(k, 0) for k in keys]
+            shared[begins] = np.minimum(head, np.array(old, self.kind))
             self._lower(int(prefixes.min()))
             self.since.update(zip(keys, rest.tolist(), strict=True))
-            shared = np.minimum(shared, CAP - 1) + np.uint8(1)
+            shared = np.minimum(shared, self.cap - 1) + self.kind.type(1)
             fresh = [i for i, k in enumerate(keys) if k not in self.seen]
             shared[begins[fresh]] = 0
             self.seen.update(keys)
@@ -176,25 +181,26 @@ class _Scan:
         return self.__dict__.setdefault("_seen", set())
 
 
-def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_prefixes: np.ndarray, memory: int, prefixes: bool):
+def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_prefixes: np.ndarray, memory: int, prefixes: bool, cap: int):
     """All suffixes in order, and common prefixes with the one before, from the sorted seeds."""
     symbols = np.unique(text).tolist()
     seed_at = np.searchsorted(text[seeds], symbols)
     seed_of = dict(zip(symbols, zip(seed_at, [*seed_at[1:], len(seeds)], strict=True), strict=True))
     n = len(text)
     last = n - 1
+    kind = _kind(cap)
     large: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    scan = _Scan(text, memory, prefixes)
+    scan = _Scan(text, memory, prefixes, cap)
     # The last suffix is larger than the empty one after it, so it is the first large suffix of its symbol.
     first_of = int(text[last])
     if first_of:
-        scan.queue.push(first_of, np.array([last]), np.zeros(1, np.uint8))
+        scan.queue.push(first_of, np.array([last]), np.zeros(1, kind))
         scan.seen.add(first_of)
         scan.since[first_of] = 0
     for c in symbols:
         if c == 0:
             s = np.flatnonzero(text == 0)
-            scan.push(s, np.zeros(len(s), np.uint8), (s > 0) & (text[s - 1] != 0))
+            scan.push(s, np.zeros(len(s), kind), (s > 0) & (text[s - 1] != 0))
             continue
         got: list[tuple[np.ndarray, np.ndarray]] = []
         while (wave := scan.queue.pop(c)) is not None:
@@ -207,33 +213,33 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_prefixe
         if a < b:
             s, p = seeds[a:b], seed_prefixes[a:b].copy()
             if c in large:
-                p[0] = _common(text, large[c][0][-1:], s[:1])[0] if prefixes else 0
+                p[0] = _common(text, large[c][0][-1:], s[:1], cap)[0] if prefixes else 0
             else:
                 p[0] = 0
             scan.push(s, p, s > 0)
-    scan = _Scan(text, memory, prefixes)
+    scan = _Scan(text, memory, prefixes, cap)
     tail: list[tuple[np.ndarray, np.ndarray]] = []
     for c in reversed(symbols):
         got = []
         if c == 0:
             # Separators are ordered by position, whatever follows them.
             s = np.flatnonzero(text == 0)
-            tail.append((s, np.zeros(len(s), np.uint8)))
+            tail.append((s, np.zeros(len(s), kind)))
             break
         while (wave := scan.queue.pop(c)) is not None:
             s, p = wave
             got.append(wave)
             scan.push(s, p, (s > 0) & (text[s - 1] <= c))
         s = np.concatenate([x for x, _ in got])[::-1] if got else np.zeros(0, np.int64)
-        down = np.concatenate([x for _, x in got]) if got else np.zeros(0, np.uint8)
-        up = np.zeros(len(s), np.uint8)
+        down = np.concatenate([x for _, x in got]) if got else np.zeros(0, kind)
+        up = np.zeros(len(s), kind)
         up[1:] = down[1:][::-1]
         if c in large:
             ls, lp = large.pop(c)
             lp = lp.copy()
             lp[0] = 0
-            edge = _common(text, ls[-1:], s[:1])[0] if prefixes and len(s) else np.uint8(0)
-            reverse = np.zeros(len(ls), np.uint8)
+            edge = _common(text, ls[-1:], s[:1], cap)[0] if prefixes and len(s) else kind.type(0)
+            reverse = np.zeros(len(ls), kind)
             reverse[1:] = lp[1:][::-1]
             reverse[0] = edge
             rs = ls[::-1]
@@ -266,11 +272,11 @@ def _doubling(names: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def suffix_order(text: np.ndarray, memory: int = 1 << 22, prefixes: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all suffixes in order, and the common prefix of each with the one before (up to CAP)."""
-    n = len(text)
+def suffix_order(text: np.ndarray, memory: int = 1 << 22, prefixes: bool = True, cap: int = CAP) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all suffixes in order, and the common prefix of each with the one before (up to ``cap``)."""
+    n, kind = len(text), _kind(cap)
     if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        return np.zeros(0, np.int64), np.zeros(0, kind)
     if n > memory:
         shelf = np.memmap(tempfile.TemporaryFile(), text.dtype, "w+", shape=(n,))
         shelf[:] = text
@@ -282,10 +288,10 @@ def suffix_order(text: np.ndarray, memory: int = 1 << 22, prefixes: bool = True)
     # A separator is smaller than all that follows: it always seeds, and bounds every run.
     starts |= (text == 0) & small
     lms = np.flatnonzero(starts)
-    none = np.zeros(len(lms), np.uint8)
+    none = np.zeros(len(lms), kind)
     if len(lms):
         rough = lms[np.argsort(text[lms], kind="stable")]
-        order, _ = _induce(text, small, rough, none, memory, False)
+        order, _ = _induce(text, small, rough, none, memory, False, cap)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         ranked = order[is_lms[order]]
@@ -295,16 +301,16 @@ def suffix_order(text: np.ndarray, memory: int = 1 << 22, prefixes: bool = True)
             if len(reduced) <= memory:
                 inner = _doubling(reduced)
             else:
-                inner, _ = suffix_order(reduced + 1, memory, False)
+                inner, _ = suffix_order(reduced + 1, memory, False, cap)
             ranked = lms[inner]
-        lms_prefixes = np.zeros(len(ranked), np.uint8)
+        lms_prefixes = np.zeros(len(ranked), kind)
         if prefixes and len(ranked) > 1:
             for k in range(0, len(ranked) - 1, 1 << 16):
                 a, b = ranked[k : k + (1 << 16)], ranked[k + 1 : k + 1 + (1 << 16)]
-                lms_prefixes[k + 1 : k + 1 + len(b)] = _common(text, a[: len(b)], b)
+                lms_prefixes[k + 1 : k + 1 + len(b)] = _common(text, a[: len(b)], b, cap)
     else:
         ranked, lms_prefixes = lms, none
-    return _induce(text, small, ranked, lms_prefixes, memory, prefixes)
+    return _induce(text, small, ranked, lms_prefixes, memory, prefixes, cap)
 
 
 def _by_position(names: np.ndarray, ranked: np.ndarray, lms: np.ndarray) -> np.ndarray:

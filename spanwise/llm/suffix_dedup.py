@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm.common import PIECE, letter_codes, mix, owners, powers, runs, text_bytes
-from spanwise.llm.induced_sort import suffix_order
+from spanwise.llm.induced_sort import CAP, suffix_order
 from spanwise.session import keep
 
 LENGTH, ANCHOR = 100, 32
@@ -220,7 +220,7 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH, memory: int =
     text = np.zeros(len(joined) + len(contexts), np.uint16)
     text[place] = joined.astype(np.uint16) + 1
     first = np.concatenate([[0], np.cumsum(sizes + 1)])
-    order, shared = suffix_order(text, memory)
+    order, shared = suffix_order(text, memory, cap=max(CAP, length))
     linked = shared >= length
     run = np.cumsum(~linked)
     again = linked.copy()
@@ -319,12 +319,13 @@ def _cut(raw: bytes, gone: list[tuple[int, int]]) -> tuple[list[tuple[int, int]]
 
 
 def _with_gone(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Every row of ``docs`` as one struct ``row``, whatever its columns are called, and what is gone from its text."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({
-        "__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "__tie": F.crc32(text.cast("binary")),
-    })
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("gone").alias("__gone"))
-    return keyed.join(gone, ["__doc", "__tie"], "left")
+    keyed = docs.select(
+        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.crc32(text.cast("binary")).alias("tie"),
+    )
+    return keyed.join(gone.select("doc", "tie", "gone"), ["doc", "tie"], "left")
 
 
 def _pairs(gone: pa.Array) -> list[list[tuple[int, int]]]:
@@ -339,7 +340,7 @@ def spans(docs: DataFrame, gone: DataFrame) -> DataFrame:
             data, offsets = text_bytes(batch.column("text"))
             raw = data.tobytes()
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for a, b, own in zip(offsets[:-1], offsets[1:], _pairs(batch.column("__gone")), strict=True):
+            for a, b, own in zip(offsets[:-1], offsets[1:], _pairs(batch.column("gone")), strict=True):
                 found, left = _cut(raw[a:b], own)
                 for kept, value in zip(rows, (b - a, b - a - len(left), len(found), hashlib.sha256(left).hexdigest(), [x for s in found for x in s]), strict=True):
                     kept.append(value)
@@ -348,7 +349,7 @@ def spans(docs: DataFrame, gone: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names)
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>"
-    return _with_gone(docs.select("doc_id", "text"), gone).select("doc_id", "text", "__gone").mapInArrow(run, schema)
+    return _with_gone(docs.select("doc_id", "text"), gone).select("row.doc_id", "row.text", "gone").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -363,8 +364,9 @@ def without_repeats(docs: DataFrame, gone: DataFrame) -> DataFrame:
         raw = data.tobytes()
         return pa.array([_cut(raw[a:b], own)[1].decode("utf-8", "ignore") for a, b, own in zip(offsets[:-1], offsets[1:], _pairs(gone), strict=True)], pa.string())
 
-    out = _with_gone(docs, gone).withColumn("__left", left("text", "__gone")).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.col("__left")))
+    whole = F.col("gone").isNull()
+    out = _with_gone(docs, gone).withColumn("left", left("row.text", "gone"))
+    changed = {"text": F.when(whole, F.col("row.text")).otherwise(F.col("left"))}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.char_length("left").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -144,6 +144,29 @@ def test_text_without_repeats_keeps_columns(spark, docs):
     assert by_id[5]["text"] is None and by_id[8]["n_chars"] == 7 and by_id[13]["n_chars"] == len(by_id[13]["text"])
 
 
+def test_columns_of_any_name_pass_with_their_values(spark):
+    names = ("__doc", "__tie", "__gone", "__left", "row", "doc", "tie", "gone", "left", "a.b")
+    same = prose(61, 60)
+    frame = spark.createDataFrame([(1, same, 9), (2, f"x {same}", 9), (3, None, None)], "doc_id bigint, text string, n_chars bigint")
+    frame = frame.withColumns({f"{c}": F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
+    out = suffix_dedup.without_repeats(frame, suffix_dedup.repeats(frame))
+    assert out.columns == frame.columns and dict(out.dtypes) == dict(frame.dtypes)
+    got = {r["doc_id"]: r.asDict() for r in out.collect()}
+    assert {d: (r["text"], r["n_chars"]) for d, r in got.items()} == {1: (same, 9), 2: ("x ", 2), 3: (None, None)}
+    assert all(r[c] == f"{c} of {d}" for d, r in got.items() for c in names)
+
+
+@pytest.mark.parametrize("length", [100, 130, 260])
+def test_repeats_of_any_length(spark, length):
+    """Common prefixes reach as far as the length asked for."""
+    same = prose(62, 90)[:350]
+    texts = {d: f"{prose(700 + d, 8)}{same}{prose(800 + d, 8)}" for d in range(6)} | {7: same[:length], 8: same[5 : length + 4], 9: same[:200] + "!" + same[200:]}
+    frame = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.spans(frame, suffix_dedup.repeats(frame, length)).collect()}
+    want = {d: sum(flags) for d, flags in brute.removed_bytes(texts, length).items()}
+    assert got == want
+
+
 def test_quality_rules(spark, docs, empty):
     got = quality_sketch.quality_rules(docs).collect()
     assert len(got) == len(rows())
@@ -271,6 +294,28 @@ def test_short_and_wordless_items_inside_documents(spark):
     assert short[2] == 1 and short.get(12, 0) < 1
 
 
+def test_items_of_one_word_sentence_starts_and_capitals(spark):
+    """One word is no evidence, an excerpt from an item's start is found inside a sentence, and capitals hide nothing."""
+    item = "A train leaves the old station at noon with 12 heavy cars and the driver Anna must cross 3 long bridges before her evening meal with Bruno"
+    loud = "THE TALL SHIP CARRIED SEVEN BARRELS OF SALT ACROSS THE NARROW STRAIT WHILE THE CAPTAIN SLEPT BELOW"
+    named = "Anna gave each of her quiet neighbours two small baskets of ripe plums and asked for nothing back"
+    items = {1: item, 2: "the", 3: "42", 4: loud, 5: named}
+    start = " ".join(item.split(" ")[:13])
+    texts = {
+        11: f"{prose(71, 20)} the {prose(72, 20)} 42", 12: f"{prose(73, 20)} and {start} {prose(74, 20)}", 13: item.upper(),
+        14: f"{prose(75, 20)} {item.upper()} {prose(76, 20)}", 15: f"{prose(77, 20)}\n{loud.lower()}\n{prose(78, 20)}", 16: " The ", 17: "42 42",
+        18: f"{prose(79, 20)} {named.replace('Anna', 'Bruno')} {prose(80, 20)}", 19: f"{prose(81, 20)}. {named.replace('Anna', 'Bruno')}", 20: loud.capitalize(), 21: prose(82, 40).upper(),
+    }
+    frame = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([*items.items()], "item_id bigint, text string")
+    want = {(12, 1, "verbatim"), (13, 1, "verbatim"), (14, 1, "verbatim"), (15, 4, "verbatim"), (16, 2, "verbatim"), (18, 5, "reparameterised"), (19, 5, "verbatim"), (20, 4, "verbatim")}
+    for filter_max in (1_000_000, 0):
+        got = {(r["doc_id"], r["item_id"], r["kind"]) for r in template_decontamination.matches(frame, bench, filter_max=filter_max).collect()}
+        assert {x[:2] for x in got} == {x[:2] for x in want}
+        assert {x for x in got if x[0] not in (18, 19)} == {x for x in want if x[0] not in (18, 19)}
+    assert {r["doc_id"] for r in template_decontamination.clean(frame, bench).collect()} == {11, 17, 21}
+
+
 def test_several_copies_of_one_item(spark):
     """Copies with other slot values are judged one by one, however many a document holds."""
     item = "On monday the baker Anna sold 12 loaves for 3 dollars each and then Anna paid 7 dollars for flour so how much money is left at the end of the day"
