@@ -2,8 +2,9 @@
 
 Words are runs of bytes outside white space, reduced to letters, digits and non-ASCII bytes. Numbers, names
 (capitalised words inside a sentence) and units (after a number) become typed placeholders; the rest is
-lower-cased. Windows of WINDOW canonical words with at least LITERAL literal ones are hashed, those with fewer
-by their very words, and windows of the documents are joined with those of the benchmark by hash. For every document and item the matching
+lower-cased, as is everything in lines without lower-case letters. Whether a capitalised word opens a sentence depends on
+what stands before it, so one that opens a window is read both ways. Windows of WINDOW canonical words with at least LITERAL literal ones are hashed, those with fewer
+by their very words (those of items and those in capitals also), and windows of the documents are joined with those of the benchmark by hash. For every document and item the matching
 windows are put together by copy: windows at one distance between the places in document and item, up to
 SHIFT words put in or left out. Inside a copy they have to agree on the slots: one item value always stands at
 one document value, and the other way round, which also catches re-parameterised questions and separates them
@@ -17,7 +18,7 @@ in a row are left. ``coverage`` is the covered share of the words. ``kind`` is `
 The benchmark's window hashes filter the documents inside the scan while there are at most FILTER_MAX of
 them (counted first; 8 bytes each are broadcast); beyond that all windows go through the shuffled join. Both
 ways give the same rows. An item shorter than WINDOW words is one window of all its words, looked for at
-every place of every document; so an item of one word is found wherever that word stands.
+every place of every document. An item of one word is no evidence inside a text: it is found in texts of that word alone.
 
 Defined results: null and empty texts match nothing; rows without an id are ignored on both sides; rows that
 repeat an id count as one document (or item) that holds all of them; items with the same text are each
@@ -58,6 +59,8 @@ _SOLID = np.zeros(256, bool)
 _SOLID[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:")] = True
+_LOWER = np.zeros(256, bool)
+_LOWER[97:123] = True
 NUMBER, NAME, UNIT = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
 
 
@@ -79,35 +82,47 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, canonical hash and slot value (0 for a literal word) of every word of a batch."""
+    return _readings(data, offsets)[:3]
+
+
+def _readings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As ``canonical``; also the value of every word, can it be a name or a literal, and has it a lower-case letter."""
     start, end, _ = words(data, offsets)
     of = owners(offsets, start)
     value = np.zeros(len(start), np.uint64)
+    small = np.zeros(len(start), bool)
     for lo, hi in pieces(data, offsets):
         i, j = np.searchsorted(start, (lo, hi))
         if i < j:
             value[i:j] = _hashes(data[lo:hi], start[i:j] - lo, end[i:j] - lo)
+            lower = np.concatenate([[0], np.cumsum(_LOWER[data[lo:hi]], dtype=np.int32)])
+            small[i:j] = lower[end[i:j] - lo] > lower[start[i:j] - lo]
     some = value != 0
     # A word of marks only closes a sentence if one of its marks does; then it is gone.
     closes = np.zeros(len(start), bool)
     if len(start):
         closes = _STOP[data[end - 1]] | (_STOP[data[start]] & ~some)
     opens = np.ones(len(start), bool)
-    if len(start) > 1:
+    loud = np.zeros(len(start), bool)
+    if len(start):
         line = np.searchsorted(np.flatnonzero(data == 10), start)
-        opens[1:] = (of[1:] != of[:-1]) | closes[:-1] | (line[1:] != line[:-1])
+        fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (line[1:] != line[:-1])])
+        opens[1:] = fresh[1:] | closes[:-1]
+        loud = ~np.logical_or.reduceat(small, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
     first = data[start] if len(start) else np.zeros(0, np.uint8)
     after = data[np.minimum(start + 1, len(data) - 1)] if len(start) else first
     capital = _UPPER[first] | ((first == 0xC3) & (after >= 0x80) & (after <= 0x9E))
     number = _DIGIT[first] | (~_SOLID[first] & _DIGIT[after] & (end - start > 1))
-    name = capital & ~opens & ~number
-    of, value, number, name = of[some], value[some], number[some], name[some]
+    either = capital & ~number & ~loud
+    name = either & ~opens
+    of, value, number, name, either, small = of[some], value[some], number[some], name[some], either[some], small[some]
     unit = np.zeros(len(of), bool)
     if len(of) > 1:
         known = np.sort(np.array([_word_hash(u) for u in UNITS], np.uint64))
         at = np.minimum(np.searchsorted(known, value), len(known) - 1)
         unit[1:] = (known[at] == value)[1:] & number[:-1] & (of[1:] == of[:-1])
     token = np.select([number, unit, name], [NUMBER, UNIT, NAME], value).astype(np.uint64)
-    return of, token, np.where(number | unit | name, value, np.uint64(0))
+    return of, token, np.where(number | unit | name, value, np.uint64(0)), value, either & ~unit, small
 
 
 def _own_width(n: np.ndarray, k: int, width: int) -> np.ndarray:
@@ -122,24 +137,29 @@ def _own_width(n: np.ndarray, k: int, width: int) -> np.ndarray:
 def windows(data: np.ndarray, offsets: np.ndarray, width: int, widths: tuple[int, ...], own: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """For every width: text, words of the text, place, hash and slots (one row of values) of every window.
 
-    Windows with LITERAL literal words are hashed by their canonical words. Others, and also all windows below
-    ``width``, are hashed by their very words, which are all slots then. ``own``: only the windows of an item.
+    Windows with LITERAL literal words are hashed by their canonical words, twice when the first word can be a name or
+    a literal. Others, and also all windows below ``width``, of an item or without lower-case letters, are hashed by
+    their very words, which are all slots then. ``own``: only the windows of an item.
     """
-    of, token, slot = canonical(data, offsets)
+    of, token, slot, value, either, small = _readings(data, offsets)
     n = len(of)
     if not n:
         return
-    value = np.where(slot == 0, token, slot)
     first = np.searchsorted(of, np.arange(len(offsets)))
     place = np.arange(n) - first[of]
     size = (first[1:] - first[:-1])[of]
     literal = np.concatenate([[0], np.cumsum(slot == 0)])
+    lower = np.concatenate([[0], np.cumsum(small)])
+    two = np.flatnonzero(either)
+    was = slot[two] == 0
+    other = np.zeros(len(two), np.uint64)
     chained = own or min(widths) < width
     loose, exact = np.zeros(n, np.uint64), np.full(n, 1, np.uint64)
     for k in range(1, max(widths) + 1):
         starts = max(n - k + 1, 0)
         step = np.uint64(k)
         loose[:starts] = mix(loose[:starts] + token[k - 1 :] + step)
+        other = mix(other + (np.where(was, NAME, value[two]) if k == 1 else token[np.minimum(two + k - 1, n - 1)]) + step)
         if chained:
             exact[:starts] = mix(exact[:starts] + value[k - 1 :] + step)
         if k not in widths:
@@ -149,7 +169,8 @@ def windows(data: np.ndarray, offsets: np.ndarray, width: int, widths: tuple[int
             use &= _own_width(size, k, width)
         at = np.flatnonzero(use)
         enough = literal[at + k] - literal[at] >= LITERAL
-        for some, key, words_ in ((at[enough], loose, slot), (at[~enough] if k == width else at, exact, value)):
+        by_words = at if own or k < width else at[~enough | (lower[at + k] == lower[at])]
+        for some, key, words_ in ((at[enough], loose, slot), (by_words, exact, value)):
             if not len(some):
                 continue
             keys = key[some]
@@ -159,6 +180,13 @@ def windows(data: np.ndarray, offsets: np.ndarray, width: int, widths: tuple[int
                 for j in range(k):
                     keys = mix(keys + value[some + j] + np.uint64(j + 1))
             yield of[some], size[some], place[some], keys, words_[some[:, None] + np.arange(k)]
+        fits = use[two]
+        fits[fits] = literal[two[fits] + k] - literal[two[fits]] + np.where(was[fits], -1, 1) >= LITERAL
+        some = two[fits]
+        if len(some):
+            slots = slot[some[:, None] + np.arange(k)]
+            slots[:, 0] = np.where(was[fits], value[some], np.uint64(0))
+            yield of[some], size[some], place[some], other[fits], slots
 
 
 def _window_rows(frame: DataFrame, name: str, width: int, widths: tuple[int, ...], own: bool, wanted=None) -> DataFrame:
@@ -268,8 +296,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover: f
     wanted = None
     if hashes.limit(filter_max + 1).count() <= filter_max:
         wanted = spark.sparkContext.broadcast(np.sort(hashes.toPandas()["key"].to_numpy(np.int64).view(np.uint64)))
-    found = _window_rows(docs, "doc_id", width, widths, False, wanted).select("doc_id", "part", "place", "key", "slots")
-    copies = _copies(found.join(items, "key"))
+    found = _window_rows(docs, "doc_id", width, widths, False, wanted).select("doc_id", "part", "size", "place", "key", "slots")
+    # Windows of one word are those of items of one word.
+    copies = _copies(found.join(items, "key").where((F.size("item_slots") > 1) | (F.col("size") == 1)))
     # Of the texts of one document the best copy counts; the texts of one item add up.
     best = copies.groupBy("doc_id", "item_id", "item_part").agg(F.max(F.struct("n_words", "n_loose", "n_windows", "same")).alias("best"), F.max("run").alias("run"))
     sums = [F.sum(f"best.{c}").alias(c) for c in ("n_words", "n_loose", "n_windows")]
