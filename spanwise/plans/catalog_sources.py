@@ -254,7 +254,7 @@ def _(spark, sf):
 # --- ingest -----------------------------------------------------------------------------------
 
 
-def _payloads(spark, sf):
+def otlp_payloads(spark, sf):
     """OTLP JSON of up to 100 spans of a trace each, written from the span view."""
 
     def attribute(key, value, kind="stringValue"):
@@ -288,12 +288,12 @@ def _payloads(spark, sf):
     )
 
 
-_TAINTED = "select trace_id from spans where trace_id like '%7' and ingest_seq = 2"
+TAINTED = "select trace_id from spans where trace_id like '%7' and ingest_seq = 2"
 
 
 @query(
     "spans_from_otlp_json",
-    duck_with("spans", tainted=_TAINTED)
+    duck_with("spans", tainted=TAINTED)
     + """, t as (select *, case when start_ns is not null then cast(floor((end_ns - start_ns) / 1e6 + 0.5) as bigint) when duration_ms = 0 then 10
         else duration_ms end as ms from spans where trace_id not in (select trace_id from tainted))
     select trace_id, span_id, parent_span_id, kind, service, name || ' card [REDACTED_PAN]' as name,
@@ -304,7 +304,7 @@ _TAINTED = "select trace_id from spans where trace_id like '%7' and ingest_seq =
       '[REDACTED_FIELD]' as password, 'Bearer [REDACTED_TOKEN]' as note from t""",
 )
 def _(spark, sf):
-    good, _ = otlp.spans_from_otlp_json(_payloads(spark, sf))
+    good, _ = otlp.spans_from_otlp_json(otlp_payloads(spark, sf))
     a = F.col("attributes")
     return good.select(
         "trace_id", "span_id", "parent_span_id", "kind", "service", "name", "timing_ms", "duration_ms", "observed_ms", "status",
@@ -315,12 +315,12 @@ def _(spark, sf):
 
 @query(
     "otlp_rejects",
-    duck_with("spans", tainted=_TAINTED)
+    duck_with("spans", tainted=TAINTED)
     + """select trace_id, case when ingest_seq = 2 then '' else span_id end as span_id, case when ingest_seq = 2 then 'span without trace or span id'
       else 'payload holds a span without trace or span id' end as reason from spans where trace_id in (select trace_id from tainted)""",
 )
 def _(spark, sf):
-    return otlp.spans_from_otlp_json(_payloads(spark, sf))[1].select("trace_id", "span_id", "reason")
+    return otlp.spans_from_otlp_json(otlp_payloads(spark, sf))[1].select("trace_id", "span_id", "reason")
 
 
 LOGS = """select concat('p', cast(event_id as varchar(20))) as payload_id, concat('{"resourceLogs":[{"body":"Bearer abc","n":', cast(event_id as varchar(20)),

@@ -63,5 +63,5 @@ OTLP_TRACES = (
     f"struct<resourceSpans:array<struct<resource:struct<attributes:{_OTLP_ATTRIBUTE}>,"
     "scopeSpans:array<struct<spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,"
     "kind:string,startTimeUnixNano:string,endTimeUnixNano:string,durationMs:double,"
-    f"status:struct<code:string>,attributes:{_OTLP_ATTRIBUTE}>>>>>>>"
+    f"status:struct<code:string>,attributes:{_OTLP_ATTRIBUTE}>>>>>>,torn:string>"
 )

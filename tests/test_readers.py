@@ -1,6 +1,6 @@
 """Readers of files on disk."""
 
-from spanwise.sources import changes, manifests
+from spanwise.sources import changes, manifests, otlp
 
 
 def test_manifest_files_below_a_root(spark, tmp_path):
@@ -30,3 +30,14 @@ def test_git_log_file_to_changes(spark, tmp_path):
     row = accepted.filter(f"commit = '{sha}'").first()
     assert row.change_id == "CHG-GIT-" + sha[:12] and row.change_ms == 1714550400000
     assert row.files_changed == ["src/a.py", "src/b.py"] and accepted.count() == 2 and rejected.count() == 0
+
+
+def test_torn_payloads_are_rejected_and_odd_values_are_not(spark):
+    span = '{"traceId":"a","spanId":"b","name":"n","durationMs":%s}'
+    whole = '{"resourceSpans":[{"scopeSpans":[{"spans":[' + span + "]}]}]}"
+    texts = [whole % "5", (whole % "5")[:-4], "no json", None, whole % '"odd"', '{"resourceSpans":"odd"}', "{}", ""]
+    rows = [(f"p{i}", i, 1, t) for i, t in enumerate(texts)]
+    payloads = spark.createDataFrame(rows, "payload_id string, payload_seq long, received_ms long, payload string")
+    good, rejects = otlp.spans_from_otlp_json(payloads)
+    assert good.count() == 2
+    assert {(r.payload_id, r.reason) for r in rejects.collect()} == {(f"p{i}", "unreadable payload") for i in (1, 2, 3, 5, 7)}
