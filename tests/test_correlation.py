@@ -257,3 +257,9 @@ def test_fan_out_loses_no_consumer_and_no_matched_producer(spark):
     got = {(r.producer, r.consumer, r.correlation_level) for r in correlate.stitch_async(producers, consumers, scope="trace").collect()}
     exact, timed = "EXACT_MESSAGE_CORRELATION", "PROBABILISTIC_TIMING_ALIGNMENT"
     assert got == {("e1", "f1", exact), ("e1", "f2", exact), ("e2", "f3", timed), (None, "f4", "UNMATCHED"), ("e3", None, "UNMATCHED")}
+
+
+def test_a_tie_of_the_pool_rounds_up(spark):
+    # 23 / 40 * 100 is 57.49999999999999 in binary.
+    got = spark.range(1, 1001).select("id", numbers.saturation_pct(F.col("id"), F.lit(40)).alias("pct")).collect()
+    assert [r.pct for r in got] == [(r.id * 100 * 2 + 40) // 80 for r in got]
