@@ -263,3 +263,25 @@ def test_a_tie_of_the_pool_rounds_up(spark):
     # 23 / 40 * 100 is 57.49999999999999 in binary.
     got = spark.range(1, 1001).select("id", numbers.saturation_pct(F.col("id"), F.lit(40)).alias("pct")).collect()
     assert [r.pct for r in got] == [(r.id * 100 * 2 + 40) // 80 for r in got]
+
+
+def test_changes_are_counted_without_pairing(spark):
+    width = change.WINDOW_MINUTES * 60_000
+    times = [0, 1, 60_000, width - 1, width, width + 1, 2 * width, 5 * width]
+    names = ["svc-1", "SVC-1", "svc", "", None, "*", "**", "=svc-1", "db"]
+    changes = spark.createDataFrame(
+        [(f"c{i}-{j}", t, n) for i, t in enumerate(times) for j, n in enumerate(names)] + [("no time", None, "svc-1")],
+        "change_id string, change_ms long, service string",
+    )
+    served = [["svc-1", "web"], ["db", "*"], [], None]
+    requests = spark.createDataFrame(
+        [(f"r{i}-{j}", t, s) for i, t in enumerate([*times, -1, None]) for j, s in enumerate(served)], "trace_id string, observed_ms long, services array<string>"
+    )
+    pairs = change.correlate_changes(requests, changes).groupBy("trace_id").agg(F.count("*").alias("n"), F.sum(F.col("service_match").cast("long")).alias("m"))
+    want = {r.trace_id: (r.n, r.m) for r in pairs.collect()}
+    counted = change.change_reasons(requests, changes)
+    got = counted.collect()
+    assert len(got) == requests.count() and {r.trace_id: (r.correlations, r.matching) for r in got if r.correlations} == want
+    assert all((r.reason is None) == (r.correlations > 0) for r in got)
+    # The join of requests and changes on a slot of time, whose work is that of the pairs, is gone from the plan.
+    assert "bucket" not in counted._jdf.queryExecution().optimizedPlan().toString()
