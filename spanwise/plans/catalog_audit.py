@@ -8,7 +8,7 @@ from spanwise.operators import audit, drift, investigate, ledger, traces
 from spanwise.plans.catalog_correlation import _topology
 from spanwise.plans.catalog_drift import _STATE, BUILDS, _builds
 from spanwise.plans.catalog_requests import EDGES, UNCHECKED
-from spanwise.plans.fixtures import derive, duck_with, spans, view
+from spanwise.plans.fixtures import derive, duck_with, stored_spans, view
 from spanwise.plans.registry import query
 from spanwise.session import keep
 
@@ -22,7 +22,7 @@ def _reported(spark, sf):
         F.lit(None).cast("double").alias("doubleValue"), F.lit(None).cast("boolean").alias("boolValue"),
     )
     second = F.array(F.struct(F.lit("http.status_code").alias("key"), value.alias("value")))
-    frame = spans(spark, sf)
+    frame = stored_spans(spark, sf)
     return frame.withColumn(
         "attributes", F.when(F.col("trace_id").endswith("e"), F.concat("attributes", second)).otherwise(F.col("attributes"))
     )
@@ -151,7 +151,7 @@ def _(spark, sf):
     + "select count(distinct trace_id) as total, case when count(distinct trace_id) > 75 then 75 end as next_offset from spans",
 )
 def _(spark, sf):
-    return investigate.worklist(spans(spark, sf), limit=25, offset=50)[1]
+    return investigate.worklist(stored_spans(spark, sf), limit=25, offset=50)[1]
 
 
 CASE_EVIDENCE = """select concat('case-', cast(o_custkey % 100 as varchar(10))) as case_id, lpad(lower(hex(o_orderkey)), 32, '0') as trace_id,
@@ -165,7 +165,7 @@ CASE_EVIDENCE = """select concat('case-', cast(o_custkey % 100 as varchar(10)))
       when stale = 0 then 'CURRENT' else 'NEW_EVIDENCE_AVAILABLE' end as state from saved""",
 )
 def _(spark, sf):
-    current = investigate.revisions(spans(spark, sf))
+    current = investigate.revisions(stored_spans(spark, sf))
     saved = derive(spark, sf, CASE_EVIDENCE).join(current.select("trace_id", "revision"), "trace_id", "left")
     saved = saved.withColumn("revision", F.when(F.col("stale") == 0, F.col("revision")).otherwise("earlier"))
     return audit.case_evidence_freshness(saved, current).select("case_id", "trace_id", "state")
@@ -241,7 +241,7 @@ def _(spark, sf):
       sum(case when service = 'svc-2' then 18 else duration_ms end) <= 200 as within_budget from spans group by 1""",
 )
 def _(spark, sf):
-    return audit.what_if(spans(spark, sf), "SVC-2", 18)
+    return audit.what_if(stored_spans(spark, sf), "SVC-2", 18)
 
 
 # --- workflows --------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from spanwise.functions import versions
 from spanwise.functions.timing import timing_valid
 from spanwise.operators import drift, traces
 from spanwise.plans.catalog_requests import EDGES
-from spanwise.plans.fixtures import derive, duck_with, spans
+from spanwise.plans.fixtures import derive, duck_with, spans, stored_spans
 from spanwise.plans.registry import query
 from spanwise.session import keep
 
@@ -248,7 +248,7 @@ def _boundary_rules(spark):
 
 
 def _timed(spark, sf):
-    return spans(spark, sf).withColumn("timing_valid", timing_valid(F.col("start_ns"), F.col("end_ns")))
+    return stored_spans(spark, sf).withColumn("timing_valid", timing_valid(F.col("start_ns"), F.col("end_ns")))
 
 
 _STATE = """case when {a}.declared_by = '' then 'INVENTORY_UNATTRIBUTED'
