@@ -99,3 +99,14 @@ def test_payload_files_to_deduplicated_spans(spark, tmp_path):
     query.awaitTermination()
     rows = spark.read.schema(deduplicated.schema).parquet(f"{out}/out").collect()
     assert len(rows) == 1 and rows[0].service == "UnknownService" and rows[0].timing_ms == 0.4
+
+
+def test_traces_keep_no_attributes(spark):
+    waves = Waves(spark)
+    store = waves.arrive(frame(spark, *history(3)))
+    waves.arrive(frame(spark, *history(4)))
+    # What is kept of a trace and handed on again holds its shape only; whole spans are written once.
+    assert not {"attributes", "artifact_digest", "obs_key"} & set(store.read("touched").columns)
+    spans = store.read("spans")
+    assert "attributes" in spans.columns and spans.count() == 4
+    assert spans.groupBy("batch_id").count().orderBy("batch_id").collect() == [(0, 3), (1, 1)]
