@@ -285,3 +285,11 @@ def test_changes_are_counted_without_pairing(spark):
     assert all((r.reason is None) == (r.correlations > 0) for r in got)
     # The join of requests and changes on a slot of time, whose work is that of the pairs, is gone from the plan.
     assert "bucket" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_services_are_matched_once_per_set(spark):
+    changes = spark.createDataFrame([(f"c{i}", i * 60_000, "SVC" if i % 2 else None) for i in range(8)], "change_id string, change_ms long, service string")
+    requests = spark.createDataFrame([(f"r{i}", 600_000, ["svc-1"]) for i in range(50)], "trace_id string, observed_ms long, services array<string>")
+    assert [r.matching for r in change._matching(requests, changes).collect()] == [["SVC"]]
+    got = change.correlate_changes(requests, changes)
+    assert got.count() == 400 and got.filter("service_match").count() == 200
