@@ -223,6 +223,27 @@ def test_toxicity(spark, docs, labels, empty):
     toxicity_kn.fit(docs, labels)
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """Ten ordinary texts to one toxic: words of most ordinary texts only teach as well (a sample would miss them)."""
+    texts = [(k, f"vile filth common {'abcdefghij'[k % 10] * 3}" if k < 200 else f"common {'klmnopqrst'[k % 10] * 4}") for k in range(2200)]
+    many = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = many.selectExpr("doc_id", "int(doc_id < 200) as toxic")
+    chosen = toxicity_kn.teaching_labels(marks, "toxic")
+    teach = {r["doc_id"]: r["aside"] for r in chosen.collect()}
+    usable = toxicity_kn.usable_labels(marks, "toxic")
+    assert len(teach) == usable.count() > 1600
+    counts = {r["word"]: (r["toxic"], r["ordinary"]) for r in toxicity_kn.word_counts(many, chosen).collect()}
+    assert counts["common"] == tuple(sum(not aside and (k < 200) == toxic for k, aside in teach.items()) for toxic in (True, False))
+    model = toxicity_kn.fit(many, marks)
+    n1, n0 = counts["common"]
+    # Whole-class counts, weighed down to the size of the smaller class.
+    assert model.gram_counts[:, 1].max() == pytest.approx(n1, rel=1e-5) and n0 > 5 * n1
+    got = {r["doc_id"]: r["score"] for r in toxicity_kn.score(many, model).collect()}
+    assert min(got[k] for k in range(200)) > 0.5 > max(got[k] for k in range(200, 2200))
+    assert {r["doc_id"]: r["score"] for r in toxicity_kn.fit_score(many, marks).collect()} == pytest.approx(got)
+
+
+
 def test_token_files(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
