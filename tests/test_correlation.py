@@ -1,5 +1,7 @@
 """Correlation, drift, audit and money on literal rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +295,23 @@ def test_services_are_matched_once_per_set(spark):
     assert [r.matching for r in change._matching(requests, changes).collect()] == [["SVC"]]
     got = change.correlate_changes(requests, changes)
     assert got.count() == 400 and got.filter("service_match").count() == 200
+
+
+def test_advisories_meet_sets_of_services_and_not_every_request(spark):
+    spans = spark.createDataFrame(
+        [("t1", "a", 5), ("t1", "b", 6), ("t1", "a", 1), ("t2", "a", 2), ("t3", "c", 3), ("t4", None, 4), (None, "a", 9)],
+        "trace_id string, service string, duration_ms long",
+    )
+    parts = spark.createDataFrame([("a", "x", "1", None), ("b", "x", "1", "npm"), ("b", "y", "2", "npm")], "service string, package string, version string, ecosystem string")
+    advisories = spark.createDataFrame(
+        [("A1", "x", "npm", "high"), ("A2", "y", None, "low"), ("A3", "z", "npm", "low")], "advisory_id string, package string, ecosystem string, severity string"
+    )
+    impact = change.advisory_impact(advisories, parts, spans)
+    got = {(r.advisory_id, r.trace_id): (r.via_services, r.total_ms) for r in impact.collect()}
+    assert got == {("A1", "t1"): (["a", "b"], 12), ("A1", "t2"): (["a"], 2), ("A2", "t1"): (["b"], 12)}
+    ranking = change.advisory_ranking(advisories, parts, spans)
+    assert [(r.advisory_id, r.impacted_requests) for r in ranking.collect()] == [("A1", 3), ("A2", 1), ("A3", 0)]
+    # No exchange of one row per advisory and request.
+    for frame in (impact, ranking):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\([^)]*advisory_id#\d+, trace_id#", plan)
