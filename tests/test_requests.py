@@ -67,6 +67,15 @@ def test_exact_copies_collapse_and_conflicts_do_not(spark):
     assert clash.conflicts == [sid(1)] and clash.state == "UNKNOWN"
 
 
+def test_spans_seen_once_are_not_hashed(spark):
+    def plan(*rows):
+        return traces.unique_spans(observations.with_obs_key(frame(spark, *rows)))._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "sha2" not in plan(span(1), span(2, 1)).lower() and "Join" not in plan(span(1), span(2, 1))
+    twice = traces.unique_spans(frame(spark, span(1), span(2, 1), span(2, 1, ingest_seq=7))).collect()
+    assert sorted((r.span_id, r.exact_copies) for r in twice) == [(sid(1), 0), (sid(2), 1)]
+
+
 def test_reordered_attributes_are_the_same_observation(spark):
     a, b = code(200), code(1, "retries")
     merged = observations.merge_observations(
