@@ -13,3 +13,14 @@ def test_views_project_one_narrow_table(spark):
     read = plan[plan.index("ReadSchema") :]
     assert "okey" in read and "l_extendedprice" not in read
     assert fixtures.stored_spans(spark, SF).exceptAll(folded).isEmpty()
+
+
+def test_span_table_stores_no_second_copy_of_the_spans(spark, tmp_path):
+    import os
+
+    from spanwise.plans import catalog, fixtures
+
+    for file in os.listdir("/root/testdata/sf0.001"):
+        os.symlink(f"/root/testdata/sf0.001/{file}", tmp_path / file)
+    assert catalog.QUERIES["span_table"](spark, str(tmp_path)).count() > 0
+    assert not [k for k in fixtures._stored if k[1:] == (str(tmp_path), "spans")]
