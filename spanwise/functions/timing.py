@@ -9,8 +9,10 @@ _MAX_NS = "18446744073709551615"
 _MAX_SAFE = 2**53 - 1
 
 
-def nano(value: Column) -> Column:
-    """Nanosecond epoch in 1 .. 2^64-1, else NULL."""
+def nano(value: Column, integral: bool = False) -> Column:
+    """Nanosecond epoch in 1 .. 2^64-1, else NULL. ``integral``: a bigint, which needs no reading as text."""
+    if integral:
+        return F.when(value > 0, value)
     text = value.cast("string")
     number = F.when(text.rlike("^[0-9]{1,20}$"), text.try_cast("decimal(20,0)"))
     return F.when((number > 0) & (number <= F.lit(_MAX_NS).cast("decimal(20,0)")), number)
@@ -21,9 +23,9 @@ def timing_valid(start: Column, end: Column) -> Column:
     return F.coalesce(e >= s, F.lit(False))
 
 
-def timing_ms(start: Column, end: Column) -> Column:
+def timing_ms(start: Column, end: Column, integral: bool = False) -> Column:
     """Interval in ms with sub-ms precision; NULL without two valid, ordered timestamps."""
-    delta = nano(end) - nano(start)
+    delta = nano(end, integral) - nano(start, integral)
     return F.when((delta >= 0) & (delta <= F.lit(_MAX_SAFE)), delta.cast("double") / 1e6)
 
 

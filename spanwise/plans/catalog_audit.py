@@ -8,7 +8,7 @@ from spanwise.operators import audit, drift, investigate, ledger, traces
 from spanwise.plans.catalog_correlation import _topology
 from spanwise.plans.catalog_drift import _STATE, BUILDS, _builds
 from spanwise.plans.catalog_requests import EDGES, UNCHECKED
-from spanwise.plans.fixtures import derive, duck_with, stored_spans, view
+from spanwise.plans.fixtures import derive, duck_with, spans, stored_spans, view
 from spanwise.plans.registry import query
 from spanwise.session import keep
 
@@ -22,7 +22,7 @@ def _reported(spark, sf):
         F.lit(None).cast("double").alias("doubleValue"), F.lit(None).cast("boolean").alias("boolValue"),
     )
     second = F.array(F.struct(F.lit("http.status_code").alias("key"), value.alias("value")))
-    frame = stored_spans(spark, sf)
+    frame = spans(spark, sf)
     return frame.withColumn(
         "attributes", F.when(F.col("trace_id").endswith("e"), F.concat("attributes", second)).otherwise(F.col("attributes"))
     )
@@ -69,16 +69,19 @@ INVESTIGATION = {
 
 def _investigation(spark, sf):
     frame = _reported(spark, sf)
-    unique = keep(investigate.base_spans(frame), "unique-spans")
-    tree = keep(traces.tree_of(unique), "trees")
+    unique = investigate.base_spans(frame)
+    # Statuses are read from the attributes of roots and signals only; what every span is looked at for is written once.
+    every = keep(unique.select("trace_id", "span_id", "parent_span_id", "own_ms", "exact_copies", "conflicting"), "unique-spans")
+    tree = keep(traces.tree_of(every), "trees")
     outcomes = investigate.root_outcome(unique, tree)
-    gaps = investigate.evidence_gaps(unique, tree, outcomes, **_evidence(spark, sf, frame))
+    gaps = investigate.evidence_gaps(every, tree, outcomes, **_evidence(spark, sf, frame))
     return tree, unique, outcomes, gaps
 
 
 def _evidence(spark, sf, frame):
     return {
-        "unchecked": traces.unchecked_edges(frame),
+        # Counted and named: found once.
+        "unchecked": keep(traces.unchecked_edges(frame), "unchecked"),
         "deployments": drift.deployment_evidence(frame, _builds(spark, sf)),
     }
 

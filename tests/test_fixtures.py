@@ -24,3 +24,11 @@ def test_span_table_stores_no_second_copy_of_the_spans(spark, tmp_path):
         os.symlink(f"/root/testdata/sf0.001/{file}", tmp_path / file)
     assert catalog.QUERIES["span_table"](spark, str(tmp_path)).count() > 0
     assert not [k for k in fixtures._stored if k[1:] == (str(tmp_path), "spans")]
+
+
+def test_unchecked_edges_are_found_once_for_their_two_readers(spark):
+    from spanwise.plans import catalog_audit, fixtures
+
+    sf = "/root/testdata/sf0.001"
+    unchecked = catalog_audit._evidence(spark, sf, fixtures.spans(spark, sf))["unchecked"]
+    assert "Join" not in unchecked._jdf.queryExecution().optimizedPlan().toString()

@@ -76,6 +76,17 @@ def test_spans_seen_once_are_not_hashed(spark):
     assert sorted((r.span_id, r.exact_copies) for r in twice) == [(sid(1), 0), (sid(2), 1)]
 
 
+def test_integral_timestamps_are_timed_like_text(spark):
+    from spanwise.functions.timing import timing_ms
+
+    rows = [(1, 3_000_001), (5, 4), (0, 7), (-1, 7), (None, 7), (7, None), (1, 2**63 - 1), (4, 4)]
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(rows, "a long, b long").select(timing_ms(a, b, True).alias("x"), timing_ms(a, b).alias("y"))
+    assert all(r.x == r.y for r in got.collect())
+    plan = investigate.base_spans(frame(spark, span(1)).withColumns({k: F.col(k).cast("long") for k in ("start_ns", "end_ns")}))
+    assert "RLIKE" not in plan.select("own_ms")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reordered_attributes_are_the_same_observation(spark):
     a, b = code(200), code(1, "retries")
     merged = observations.merge_observations(
