@@ -355,3 +355,27 @@ def test_advisories_meet_sets_of_services_and_not_every_request(spark):
     for frame in (impact, ranking):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"hashpartitioning\([^)]*advisory_id#\d+, trace_id#", plan)
+
+
+def _messy_envelopes(spark):
+    from spanwise.plans import catalog_correlation
+
+    rows, seq = catalog_correlation.envelopes(spark, "/root/testdata/sf0.001"), F.col("ingest_seq")
+    resent = rows.filter("trace_id % 3 = 1").withColumn("ingest_seq", seq + 50)
+    copied = rows.filter("trace_id % 5 = 1").withColumns({"evidence_id": F.concat("evidence_id", F.lit("x")), "ingest_seq": seq + 20})
+    gaps = rows.filter("trace_id % 7 = 1").withColumns({
+        "event_ms": F.when(seq % 2 == 0, F.col("event_ms")), "component_type": F.when(seq % 3 == 0, F.col("component_type")),
+        "observed_ms": F.col("observed_ms") + 7, "ingest_seq": seq + 200,
+    })
+    return rows.unionByName(resent).unionByName(copied).unionByName(gaps)
+
+
+def test_journeys_shuffle_their_envelopes_once(spark):
+    from spanwise.plans import journeys
+
+    rows = _messy_envelopes(spark)
+    facts = journeys.journey_facts(rows, ["trace_id"])
+    assert facts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    # Resends, copies under other names and gaps; traces of more than eight envelopes take the split way.
+    whole, mixed = (sorted(f.collect(), key=str) for f in (facts, journeys.journey_facts(rows, ["trace_id"], gather=8)))
+    assert whole and whole == mixed
