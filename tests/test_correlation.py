@@ -379,3 +379,12 @@ def test_journeys_shuffle_their_envelopes_once(spark):
     # Resends, copies under other names and gaps; traces of more than eight envelopes take the split way.
     whole, mixed = (sorted(f.collect(), key=str) for f in (facts, journeys.journey_facts(rows, ["trace_id"], gather=8)))
     assert whole and whole == mixed
+
+
+def test_hops_do_not_meet_their_baseline_by_service(spark):
+    hops = spark.createDataFrame([("t1", 1, "a", 40), ("t1", 2, "b", 90), ("t2", 1, "a", 10), ("t3", 1, None, 50)], "trace_id string, ingest_seq long, service string, duration_ms long")
+    base = hops.filter("service = 'a'").groupBy("service").agg(F.lit(10).cast("bigint").alias("baseline_ms"))
+    found = diagnose.first_deviation(hops, base)
+    assert "Exchange hashpartitioning(service" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["trace_id"]: (r["service"], r["expected_ms"], r["multiple"]) for r in found.collect()}
+    assert got == {"t1": ("b", 20, 4.5), "t2": (None, None, None), "t3": (None, 20, 2.5)}
