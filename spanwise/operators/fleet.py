@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanwise.functions.numbers import round_exact, round_half_up
 from spanwise.operators.ordered import newest_per_key
 from spanwise.operators.traces import duration, worst_status
+from spanwise.session import keep
 
 RTI_DIMENSIONS = ("structural", "performance", "semantic", "dependency", "infrastructure", "change", "causal")
 RETENTION_MS = 30 * 86_400_000
@@ -44,7 +45,8 @@ def all_incidents(spans: DataFrame) -> DataFrame:
         .agg(
             worst_status().alias("severity"),
             F.sum(duration()).alias("total_ms"),
-            F.min_by(F.struct("service", "duration_ms"), F.when(bad, F.col("ingest_seq"))).alias("first"),
+            F.min_by("service", F.when(bad, F.col("ingest_seq"))).alias("first_service"),
+            F.min_by("duration_ms", F.when(bad, F.col("ingest_seq"))).alias("first_duration_ms"),
             F.min(F.when(F.col("observed_ms") != 0, F.col("observed_ms"))).alias("observed_ms"),
             F.sort_array(F.collect_set("service")).alias("services"),
         )
@@ -53,8 +55,8 @@ def all_incidents(spans: DataFrame) -> DataFrame:
             "trace_id",
             "severity",
             "total_ms",
-            F.col("first.service").alias("first_service"),
-            F.col("first.duration_ms").alias("first_duration_ms"),
+            "first_service",
+            "first_duration_ms",
             "observed_ms",
             "services",
         )
@@ -73,11 +75,15 @@ def incidents(spans: DataFrame, top: int = 100) -> DataFrame:
 
 
 def incident_clusters(spans: DataFrame, ids_per_cluster: int = 10) -> DataFrame:
-    """Incidents by the service where they began, with the worst few trace ids of each."""
+    """Incidents by the service where they began, with the worst few trace ids of each.
+
+    The incidents are written once, a narrow row each, for the count and for the worst.
+    """
     found = all_incidents(spans).select(
         F.coalesce(F.nullif("first_service", F.lit("")), F.lit("unattributed")).alias("service"),
         "trace_id", "severity", "total_ms",
     )
+    found = keep(found, "incidents")
     counts = found.groupBy("service").agg(F.count(F.lit(1)).alias("incidents"))
     named = newest_per_key(found, ["service"], _worst_first(), ids_per_cluster)
     rank = F.struct(

@@ -1,5 +1,7 @@
 """Traces, baselines and investigations on literal spans."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from spanwise.operators import baseline, fleet, investigate, observations, ordered, traces
@@ -255,3 +257,14 @@ def test_rate_windows_open_with_a_request(spark):
     over = audit.rate_limit_audit(requests, limit=300).collect()
     assert [(r["client"], r["window_start_ms"], r["requests"], r["refused"]) for r in over] == [("burst", 59_000, 400, 100)]
     assert audit.rate_windows(requests.filter("false")).collect() == []
+
+
+def test_incidents_are_found_once_for_their_clusters(spark):
+    def row(trace, seq, service, status, ms):
+        return (trace, service, status, ms, 1000 + seq, seq)
+
+    rows = [row("t1", 1, "a", "OK", 1), row("t1", 2, "b", "ERROR", 5), row("t2", 1, "b", "DEGRADED", 9), row("t3", 1, "a", "OK", 2), row("t4", 1, None, "ERROR", 3)]
+    frame = spark.createDataFrame(rows, "trace_id string, service string, status string, duration_ms long, observed_ms long, ingest_seq long")
+    found = fleet.incident_clusters(frame)
+    assert "trace_id" not in "".join(re.findall(r"Exchange hashpartitioning\(trace_id[^\n]*", found._jdf.queryExecution().executedPlan().toString()))
+    assert [tuple(r) for r in found.collect()] == [("b", 2, ["t1", "t2"]), ("unattributed", 1, ["t4"])]
