@@ -169,9 +169,78 @@ def _span_ids(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id", "span_id").agg(F.count(F.lit(1)).alias("observations"))
 
 
-def trace_profile(spans: DataFrame) -> DataFrame:
+def trace_profile(spans: DataFrame, gather: int = GATHER) -> DataFrame:
     """Per trace: shape, identity, total, health and structure.
 
+    Traces of up to ``gather`` spans are put together in one row each, after one shuffle; larger ones by joins.
+    Whether there are larger ones is counted when the plan is built.
+    """
+    large = oversized(spans, ["trace_id"], gather).select("trace_id")
+    if large.isEmpty():
+        return _profile_gathered(spans)
+    large = keep(large, "large-profiles")
+    few, many = spans.join(large, "trace_id", "left_anti"), spans.join(large, "trace_id", "left_semi")
+    return _profile_gathered(few).unionByName(_profile_joined(many))
+
+
+def _profile_gathered(spans: DataFrame) -> DataFrame:
+    """The profile of traces that fit one row."""
+    c = F.col
+    rows = spans.filter(c("trace_id").isNotNull()).select(
+        "trace_id", "span_id", F.nullif("parent_span_id", F.lit("")).alias("parent"), "service", "name", "observed_ms",
+        duration().alias("ms"), c("status").isin("ERROR", "DEGRADED").cast("int").alias("bad"),
+    )
+    grouped = rows.repartition("trace_id").groupBy("trace_id").agg(
+        F.count(F.lit(1)).alias("span_count"),
+        F.sum("ms").alias("total_ms"),
+        (F.max("bad") == 0).alias("healthy"),
+        F.min("observed_ms").alias("first_seen_ms"),
+        F.collect_list(F.struct("span_id", "parent", "service", "name", "observed_ms")).alias("hops"),
+    )
+    ids = F.transform("hops", lambda h: h["span_id"])
+    parents = F.filter(F.transform("hops", lambda h: h["parent"]), lambda p: p.isNotNull())
+
+    def first_hop(hops: Column) -> Column:
+        return F.array_min(F.transform(hops, lambda h: F.struct(
+            F.coalesce(h["observed_ms"], F.lit(0)).alias("at"), F.coalesce(h["span_id"], F.lit("")).alias("span_id"),
+            h["service"].alias("service"), h["name"].alias("name"),
+        )))
+
+    def roots(missing: Column) -> Column:
+        top = F.filter("hops", lambda h: h["parent"].isNull() | F.array_contains(missing, h["parent"]))
+        return F.struct(F.size(missing).cast("bigint").alias("external"), top.alias("top"))
+
+    def repeated(sorted_ids: Column) -> Column:
+        again = F.filter(sorted_ids, lambda x, i: (i > 0) & x.eqNullSafe(F.get(sorted_ids, i - 1)))
+        return F.size(F.array_distinct(again))
+
+    several = F.size(F.array_distinct(ids)) < F.size(ids)
+    names = F.transform(
+        "hops", lambda h: F.concat(F.coalesce(h["service"], F.lit("")), F.lit("::"), F.coalesce(h["name"], F.lit("")))
+    )
+    shape = grouped.withColumn("walk", let(F.array_except(parents, ids), roots)).select(
+        "trace_id", "span_count",
+        F.size("walk.top").cast("bigint").alias("root_count"),
+        c("walk.external").alias("external_parents"),
+        F.when(several, let(F.array_sort(ids), repeated)).otherwise(0).cast("bigint").alias("duplicate_span_ids"),
+        F.coalesce(first_hop(c("walk.top")), first_hop(c("hops"))).alias("root"),
+        "total_ms", "healthy", "first_seen_ms", F.sort_array(F.array_distinct(names)).alias("structure"),
+    )
+    return shape.select(
+        "trace_id", "span_count", "root_count", "external_parents", "duplicate_span_ids", _request_key(),
+        "total_ms", "healthy", "first_seen_ms", "structure",
+    )
+
+
+def _request_key() -> Column:
+    named = (F.length("root.service") > 0) & (F.length("root.name") > 0)
+    single = (F.col("root_count") <= 1) & (F.col("duplicate_span_ids") == 0)
+    return F.when(named & single, F.concat("root.service", F.lit("::"), "root.name")).alias("request_key")
+
+
+def _profile_joined(spans: DataFrame) -> DataFrame:
+    """The profile of traces of any size.
+
     Children are summed up per (trace, parent) before the parent is looked up, so a parent with
     millions of children costs one row.
     """
@@ -207,12 +276,9 @@ def trace_profile(spans: DataFrame) -> DataFrame:
     repeated = ids.groupBy("trace_id").agg(
         F.sum((F.col("observations") > 1).cast("bigint")).alias("duplicate_span_ids")
     )
-    named = (F.length("root.service") > 0) & (F.length("root.name") > 0)
-    single = (F.col("root_count") <= 1) & (F.col("duplicate_span_ids") == 0)
     structure = structure_of(spans).select("trace_id", "structure")
     return shape.join(repeated, "trace_id").join(structure, "trace_id").select(
-        "trace_id", "span_count", "root_count", "external_parents", "duplicate_span_ids",
-        F.when(named & single, F.concat("root.service", F.lit("::"), "root.name")).alias("request_key"),
+        "trace_id", "span_count", "root_count", "external_parents", "duplicate_span_ids", _request_key(),
         "total_ms", "healthy", "first_seen_ms", "structure",
     )
 

@@ -268,3 +268,26 @@ def test_incidents_are_found_once_for_their_clusters(spark):
     found = fleet.incident_clusters(frame)
     assert "trace_id" not in "".join(re.findall(r"Exchange hashpartitioning\(trace_id[^\n]*", found._jdf.queryExecution().executedPlan().toString()))
     assert [tuple(r) for r in found.collect()] == [("b", 2, ["t1", "t2"]), ("unattributed", 1, ["t4"])]
+
+
+def test_profiles_are_the_same_gathered_and_joined(spark):
+    rows = [
+        ("t1", "1", None, "a", "x", 5, 1, "OK"), ("t1", "2", "1", "b", "y", 4, 2, "OK"), ("t1", "3", "1", "b", "y", 4, None, "ERROR"),
+        ("t2", "1", "9", "a", "x", 5, 1, "OK"), ("t2", "2", "9", "b", None, 5, 1, "OK"), ("t2", "3", "8", "b", "", None, 1, "OK"),
+        ("t3", "1", "2", "a", "x", 5, 1, "OK"), ("t3", "2", "1", "c", "x", 3, 1, "OK"),
+        ("t4", "1", "", "a", "x", 5, 1, "OK"), ("t4", "1", "", "a", "x", 2, 1, "OK"), ("t4", "1", "1", "a", "x", 2, 1, "OK"), ("t4", None, "1", "a", "x", 2, 1, None),
+        ("t4", None, "1", "z", "x", 2, 1, "DEGRADED"), ("t5", "1", "7", "", "x", None, None, "OK"), (None, "1", None, "a", "x", 5, 1, "OK"),
+    ]
+    frame = spark.createDataFrame(
+        rows, "trace_id string, span_id string, parent_span_id string, service string, name string, observed_ms long, duration_ms long, status string"
+    )
+    gathered, joined = traces.trace_profile(frame), traces.trace_profile(frame, gather=0)
+    assert gathered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert gathered.dtypes == joined.dtypes
+    assert sorted(gathered.collect(), key=str) == sorted(joined.collect(), key=str)
+    mixed = traces.trace_profile(frame, gather=2)
+    assert sorted(mixed.collect(), key=str) == sorted(gathered.collect(), key=str)
+    assert {r.trace_id: (r.root_count, r.external_parents, r.duplicate_span_ids) for r in gathered.collect()} == {
+        "t1": (1, 0, 0), "t2": (3, 2, 0), "t3": (0, 0, 0), "t4": (2, 0, 2), "t5": (1, 1, 0)
+    }
+
