@@ -84,23 +84,33 @@ def request_dna(spans: DataFrame, chunk: int = CHUNK) -> DataFrame:
         .groupBy("trace_id")
         .agg(F.sort_array(F.collect_list(F.struct("service", "version"))).alias("service_versions"))
     )
-    parts = rows.groupBy("trace_id", F.floor((seq - 1) / chunk).alias("chunk_no")).agg(
-        F.sort_array(F.collect_list(F.struct("ingest_seq", "service", "duration_ms"))).alias("part")
+    # Each chunk becomes a piece of text, so a trace is put together from pieces and not from its hops.
+    parts = (
+        rows.groupBy("trace_id", F.floor((seq - 1) / chunk).alias("chunk_no"))
+        .agg(F.sort_array(F.collect_list(F.struct("ingest_seq", "service", "duration_ms"))).alias("part"))
+        .select(
+            "trace_id",
+            "chunk_no",
+            F.array_join(F.transform("part", lambda h: F.coalesce(h["service"], F.lit(""))), "->").alias("path"),
+            F.transform("part", lambda h: F.struct(h["service"].alias("service"), h["duration_ms"].alias("ms"))).alias("ms"),
+        )
     )
+
+    def in_order(column: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", column))), lambda p: p[column])
+
     paths = parts.groupBy("trace_id").agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "part"))), lambda p: p["part"])).alias("hops")
+        F.array_join(in_order("path"), "->").alias("path"), F.flatten(in_order("ms")).alias("hop_latencies")
     )
     return (
         facts.join(versions, "trace_id", "left")
         .join(paths, "trace_id", "left")
         .select(
             "trace_id",
-            F.array_join(F.transform("hops", lambda h: F.coalesce(h["service"], F.lit(""))), "->").alias("path"),
+            "path",
             "hop_count",
             "total_ms",
-            F.transform(
-                "hops", lambda h: F.struct(h["service"].alias("service"), h["duration_ms"].alias("ms"))
-            ).alias("hop_latencies"),
+            "hop_latencies",
             "http_status",
             F.when(F.col("http_status").isNotNull(), "OBSERVED")
             .when(F.col("errored") == 1, "UNKNOWN: a span reported an error but no HTTP status was ingested")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanwise.operators import baseline, fleet, investigate, observations, traces
-from spanwise.plans.fixtures import VIEWS, derive, duck_with, spans, view
+from spanwise.operators.ordered import running_total
+from spanwise.plans.fixtures import VIEWS, derive, duck_with, once, spans, spark_sql_text, table, view
 from spanwise.plans.registry import query
 from spanwise.schema import ATTRIBUTES
 from spanwise.session import keep
@@ -246,8 +247,9 @@ def _(spark, sf):
 
 # Eight traces that hold all lines: heaps, one of them with a chain a thousand spans deep, one with a cycle, one with
 # missing parents, one with conflicting observations, one with a resend of every span.
-LARGE = """
-with n as (select l_suppkey % 8 as t, row_number() over (partition by l_suppkey % 8 order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) as i, l_quantity from lineitem),
+_LARGE_NUMBERS = """select l_suppkey % 8 as t, row_number() over (partition by l_suppkey % 8 order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) as i, l_quantity from lineitem"""
+LARGE = f"""
+with n as ({_LARGE_NUMBERS}),
   s as (select t, lpad(lower(hex(t + 1)), 32, '0') as trace_id, i, case when i = 1 then null when t = 1 and i <= 1000 then i - 1
       when t = 2 and i = 5 then 10 when t = 3 and i % 97 = 0 then i + 100000000 else cast(floor(i / 2) as bigint) end as p, cast(l_quantity as bigint) as duration_ms from n)
 select trace_id, lpad(lower(hex(i)), 16, '0') as span_id, lpad(lower(hex(p)), 16, '0') as parent_span_id, concat('svc-', cast(i % 5 as varchar(5))) as service,
@@ -256,9 +258,23 @@ union all select trace_id, lpad(lower(hex(i)), 16, '0'), lpad(lower(hex(p)), 16,
 union all select trace_id, lpad(lower(hex(i)), 16, '0'), lpad(lower(hex(p)), 16, '0'), concat('svc-', cast(i % 5 as varchar(5))), duration_ms + 1, i + 500000000 from s where t = 4 and i % 50 = 0"""
 
 
+def large_spans(spark, sf):
+    """LARGE, its lines numbered in blocks of order keys and written once: no task numbers a whole trace."""
+
+    def numbered():
+        lines = table(spark, sf, "lineitem").withColumn("t", F.expr("l_suppkey % 8"))
+        order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")]
+        block = F.floor(F.col("l_orderkey") / 1000)
+        lines = lines.select("t", *order)
+        return running_total(lines, ["t"], order, F.lit(1).cast("bigint"), block, "i", inclusive=True).select("t", "i", "l_quantity")
+
+    once(spark, sf, "large-numbers", numbered).createOrReplaceTempView("large_numbers")
+    return spark.sql(spark_sql_text(LARGE.replace(_LARGE_NUMBERS, "select t, i, l_quantity from large_numbers")))
+
+
 @query("trace_tree_large", duck_with(planted=LARGE) + ", " + _TREE_FACTS)
 def _(spark, sf):
-    return _tree_row(derive(spark, sf, LARGE))
+    return _tree_row(large_spans(spark, sf))
 
 
 @query(
@@ -268,7 +284,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     nothing = {"status": "string", "service_version": "string", "deployment_environment": "string", "attributes": ATTRIBUTES}
-    frame = derive(spark, sf, LARGE).withColumns({k: F.lit(None).cast(t) for k, t in nothing.items()})
+    frame = large_spans(spark, sf).withColumns({k: F.lit(None).cast(t) for k, t in nothing.items()})
     return traces.request_dna(frame).select("trace_id", F.md5("path").alias("path_md5"), "hop_count", "total_ms")
 
 
@@ -279,7 +295,7 @@ def _(spark, sf):
       union all select 'traces whose revision changes with the order of arrival', 0""",
 )
 def _(spark, sf):
-    frame = derive(spark, sf, LARGE)
+    frame = large_spans(spark, sf)
     now = investigate.revisions(frame)
     changed = frame.withColumn("duration_ms", F.col("duration_ms") + (F.col("ingest_seq") == 1).cast("int"))
     moved = frame.withColumn("ingest_seq", -F.col("ingest_seq"))

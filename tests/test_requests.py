@@ -291,3 +291,23 @@ def test_profiles_are_the_same_gathered_and_joined(spark):
         "t1": (1, 0, 0), "t2": (3, 2, 0), "t3": (0, 0, 0), "t4": (2, 0, 2), "t5": (1, 1, 0)
     }
 
+
+
+def test_large_traces_are_numbered_in_blocks(spark):
+    from spanwise.plans import catalog_requests, fixtures
+
+    sf = "/root/testdata/sf0.001"
+    frame, plain = catalog_requests.large_spans(spark, sf), fixtures.derive(spark, sf, catalog_requests.LARGE)
+    assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert frame.count() == plain.count() and frame.select(plain.columns).exceptAll(plain).isEmpty()
+    rows = [("t", n, f"s{n}" if n != 4 else None, n) for n in range(1, 8)]
+    nothing = {k: F.lit(None).cast("string") for k in ("status", "service_version", "deployment_environment")}
+    hops = spark.createDataFrame(rows, "trace_id string, ingest_seq long, service string, duration_ms long").withColumns(
+        nothing | {"attributes": F.lit(None).cast(SPANS["attributes"].dataType)}
+    )
+    dna = traces.request_dna(hops, chunk=3)
+    assert dna.first().path == "s1->s2->s3->->s5->s6->s7"
+    assert [h.ms for h in dna.first().hop_latencies] == [1, 2, 3, 4, 5, 6, 7]
+    # Where only the path is asked for, no hop is gathered beyond its chunk.
+    plan = dna.select("path")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 2 and "hop_latencies" not in plan
