@@ -68,7 +68,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple
         if (capped, weight) == after:
             break
         capped, weight = after
-    fair = (F.col("weight") * F.lit(amount)).cast("double") / F.lit(float(share[1] * weight))
+    fair = (F.col("weight") * big(amount)).cast("double") / F.lit(float(share[1] * weight))
     return ranked.withColumn("target", F.when(above, most * F.col("source_size").cast("double")).otherwise(fair))
 
 

@@ -83,6 +83,14 @@ def test_empty_tables(spark):
         source_mix.mix(silent, share=(5, 2))
 
 
+@pytest.mark.parametrize("words", [10**6, 1_500_000_000, 10**17])
+def test_targets_of_many_words(spark, words):
+    """Weights times amounts need more than 32 bits long before there are 2**31 words."""
+    sizes = {"a": words // 3, "b": words // 2, "c": words // 10, None: words // 15}
+    got = source_mix.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    assert {r["source"]: r["target"] for r in got} == pytest.approx({s: float(t) for s, t in plain_targets(sizes).items()})
+
+
 def test_no_python_and_no_sort_of_rows(spark):
     docs = spark.createDataFrame(rows(), "doc_id bigint, text string, source string")
     plan = source_mix.mix(docs)._jdf.queryExecution().executedPlan().toString()
