@@ -1,6 +1,7 @@
 """Streams give what the batch operators give, and resends change nothing."""
 
 import json
+import os
 import shutil
 
 from pyspark.sql import functions as F
@@ -110,3 +111,24 @@ def test_traces_keep_no_attributes(spark):
     spans = store.read("spans")
     assert "attributes" in spans.columns and spans.count() == 4
     assert spans.groupBy("batch_id").count().orderBy("batch_id").collect() == [(0, 3), (1, 1)]
+
+
+def test_state_has_the_asked_partitions_and_a_touched_trace_is_one_row(spark):
+    waves = Waves(spark, partitions=2)
+    store = waves.arrive(frame(spark, *history(3), span(2, 1, trace=f"{1:032x}", ingest_seq=50)))
+    for stream in ("spans", "traces", "baselines"):
+        assert {p for p in os.listdir(f"{waves.folder}/checkpoint/{stream}/state/0") if p.isdigit()} == {"0", "1"}
+    assert store.partitions == 2 and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert store.read("touched").count() == store.read("profiles").count() == 3
+
+
+def test_profile_of_observations_is_the_profile(spark):
+    rows = [span(i, i // 2 or None, trace=f"{k:032x}", ingest_seq=i, duration_ms=None if i == 3 else i) for k in range(4) for i in range(1, 3 + 2 * k)]
+    rows += [span(2, 9, trace="b" * 32, status=None, ingest_seq=1, observed_ms=None), span(2, 9, trace="b" * 32, status="ERROR", ingest_seq=2)]
+    rows += [span(1, trace="c" * 32, status=None, ingest_seq=1), span(1, trace="d" * 32, name="", ingest_seq=1)]
+    spans = frame(spark, *rows)
+    gathered = spans.groupBy("trace_id").agg(F.collect_list(F.struct(*[c for c in spans.columns if c != "trace_id"])).alias("observations"))
+    want = sorted(traces.trace_profile(spans).collect())
+    assert len(want) == 7
+    assert sorted(traces.profile_of_observations(gathered, 8).collect()) == want
+    assert sorted(traces.profile_of_observations(gathered, 8, gather=3).collect()) == want
