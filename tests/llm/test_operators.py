@@ -243,6 +243,27 @@ def test_toxicity_learns_from_every_label(spark):
     assert {r["doc_id"]: r["score"] for r in toxicity_kn.fit_score(many, marks).collect()} == pytest.approx(got)
 
 
+def test_toxicity_counts_every_gram(spark, docs):
+    """No gram is left out, however rare; more grams than tasks may hold are joined, with the same evidence for odd rows too."""
+    texts = [(i, prose(i, 30) + (f" vile{i % 7} rare{'klmnopqrstuvw'[i % 13] * (1 + i % 4)}" if i % 3 == 0 else "")) for i in range(120)]
+    many = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = many.selectExpr("doc_id", "int(doc_id % 3 = 0) as toxic")
+    teach = {r["doc_id"] for r in toxicity_kn.teaching_labels(marks, "toxic").where("not aside").collect()}
+    words = {toxicity_kn.expression(c) for i, t in texts if i in teach for c in t.lower().split()}
+    spelled = {f"\x01{w}\x02" for w in words}
+    model = toxicity_kn.fit(many, marks)
+    assert len(model.grams) == len({w[k - n : k] for w in spelled for n in toxicity_kn.ORDERS for k in range(n, len(w) + 1)})
+    joined = toxicity_kn.fit(many, marks, max_grams=10)
+    assert joined.tables is not None and len(joined.grams) == 0
+    assert (joined.bias, joined.slope) == pytest.approx((model.bias, model.slope), rel=1e-3)
+    odd = docs.select("doc_id", "text").unionByName(many).unionByName(many.where("doc_id < 3"))
+    rank = lambda m: sorted((r["doc_id"] or -1, r["evidence"]) for r in toxicity_kn.with_evidence(odd, m).collect())
+    want, got = rank(model), rank(joined)
+    assert [d for d, _ in got] == [d for d, _ in want] and [e for _, e in got] == pytest.approx([e for _, e in want], rel=1e-4, abs=1e-4)
+    scores = {r["doc_id"]: r["score"] for r in toxicity_kn.fit_score(many, marks, max_grams=10).collect()}
+    assert scores == pytest.approx({r["doc_id"]: r["score"] for r in toxicity_kn.score(many, joined).collect()})
+
+
 
 def test_token_files(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
