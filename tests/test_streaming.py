@@ -7,7 +7,7 @@ import shutil
 from pyspark.sql import functions as F
 from test_requests import frame, history, span
 
-from spanwise.operators import baseline, traces
+from spanwise.operators import baseline, observations, traces
 from spanwise.session import run_folder
 from spanwise.sources import sinks
 from spanwise.streaming import windows
@@ -132,3 +132,18 @@ def test_profile_of_observations_is_the_profile(spark):
     assert len(want) == 7
     assert sorted(traces.profile_of_observations(gathered, 8).collect()) == want
     assert sorted(traces.profile_of_observations(gathered, 8, gather=3).collect()) == want
+
+
+def test_span_table_shuffles_hashes_as_bytes(spark):
+    rows = frame(spark, span(1), span(2, 1), span(2, 1, ingest_seq=9), span(2, 1, status="ERROR", ingest_seq=3))
+    first = observations.new_observations(None, rows, F.col("ingest_seq"))
+    assert dict(first.dtypes)["obs_key"] == "binary" and first.count() == 3
+    merged = observations.merge_observations(None, rows, F.col("ingest_seq"))
+    assert {r["obs_key"] for r in merged.collect()} == {r["obs_key"] for r in observations.with_obs_key(rows).collect()}
+    assert observations.merge_observations(merged, rows, F.col("ingest_seq")).count() == 0
+    path = run_folder(spark, "spans")
+    sinks.append_new_spans(spark, rows, path)
+    keyed = observations.with_obs_key(frame(spark, span(2, 1), span(5)))
+    sinks.append_new_spans(spark, keyed, path)
+    kept = sinks.read_spans(spark, path)
+    assert kept.count() == 4 and {r["obs_key"] for r in kept.collect()} == {r["obs_key"] for r in merged.unionByName(keyed).collect()}
